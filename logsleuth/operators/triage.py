@@ -123,11 +123,11 @@ def response_assignment(alerts: DataFrame, max_assignments: int = C.RESPONSE_MAX
         cand = response_candidates(alerts, max_assignments, tuple(gcols))
     else:
         cand = response_candidates(alerts, max_assignments).withColumn("_g", F.lit(0))
-    cand = cand.cache()
-    elig = skill_eligibility(cand, keys=(*gcols, "rank"))
+    cand = cand.checkpoint()            # at most max_assignments rows per group
+    elig = skill_eligibility(cand, keys=(*gcols, "rank")).checkpoint()
     n_analysts = len(C.ANALYSTS)
     caps = [f"_cap{i}" for i in range(n_analysts)]
-    n_in_group = cand.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n"))
+    n_in_group = cand.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
     frontier = cand.select(*gcols).distinct().select(
         *gcols, *[F.lit(max_per_analyst).alias(c) for c in caps],
         F.array().cast("array<int>").alias("_path"))
@@ -142,10 +142,10 @@ def response_assignment(alerts: DataFrame, max_assignments: int = C.RESPONSE_MAX
             F.concat(F.col("_path"), F.array(F.col("analyst_idx"))).alias("_path"))
         # groups with fewer candidates keep their finished paths unchanged
         done = frontier.join(n_in_group, gcols).where(F.size("_path") >= F.col("_n")).drop("_n")
+        # <= 64 capacity states per group: cut the lineage every step
         frontier = (moved.unionByName(done)
-                         .groupBy(*gcols, *caps).agg(F.min("_path").alias("_path")))
-        if (i + 1) % 4 == 0:
-            frontier = frontier.checkpoint()
+                         .groupBy(*gcols, *caps).agg(F.min("_path").alias("_path"))
+                         .checkpoint())
     best = (frontier.join(n_in_group, gcols).where(F.size("_path") == F.col("_n"))
                     .groupBy(*gcols).agg(F.min("_path").alias("_path")))
     names = F.array(*[F.lit(n) for n, _ in C.ANALYSTS])

@@ -389,3 +389,139 @@ QUERIES = {
     "observation_window": q_observation_window,
     "exec_stats": q_exec_stats,
 }
+
+
+# ---- sources, ingestion and streaming -------------------------------------
+
+def aliased_system_log(spark, d) -> DataFrame:
+    """A system log with foreign header names (mixed case, padded)."""
+    e = events(spark, d)
+    return e.select(
+        B.ts_text(F.col("ts")).alias(" Event_Time "),
+        F.concat(F.lit("10.0."), (F.col("user_id") % 50).cast("string"), F.lit(".1")).alias("SRC_IP"),
+        F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("Account"),
+        F.upper(F.col("event_type")).alias("Action"),
+        F.col("props").alias("Extra_Field"),
+        F.col("event_id").alias("row_id"))
+
+
+def q_alias_resolve(spark, d):
+    from ..sources.aliases import normalize_headers, resolve_aliases
+    return resolve_aliases(normalize_headers(aliased_system_log(spark, d)),
+                           C.SYSTEM_COLUMN_ALIASES, "system")
+
+
+def event_xml(spark, d) -> DataFrame:
+    """Windows logon events as exported XML documents, derived from events."""
+    e = events(spark, d)
+    u, eid = F.col("user_id"), F.col("event_id")
+
+    def data(name, value):
+        return F.concat(F.lit(f'<Data Name="{name}">'), value, F.lit("</Data>"))
+    ip = (F.when(u % 4 == 0, F.lit("-"))
+           .when(u % 4 == 1, F.concat(F.lit("  10.0.0."), (u % 250).cast("string"), F.lit("  ")))
+           .when(u % 4 == 2, F.lit(""))
+           .otherwise(F.concat(F.lit("192.168.1."), (u % 200).cast("string"))))
+    target = F.when(eid % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("user"), u.cast("string")))
+    dup = F.when(eid % 7 == 0, data("TargetUserName", F.concat(F.lit("dup"), u.cast("string")))) \
+           .otherwise(F.lit(""))
+    wid = F.when(F.col("event_type") == "error", F.lit("4625")).otherwise(F.lit("4624"))
+    xml = F.concat(
+        F.lit('<Event><System><Provider Name="Security-Auditing"/><EventID>'), wid,
+        F.lit('</EventID><TimeCreated SystemTime="'), B.ts_text(F.col("ts")),
+        F.lit('"/><Channel>Security</Channel></System><EventData>'),
+        data("IpAddress", ip),
+        data("SourceNetworkAddress", F.concat(F.lit("172.16.0."), (eid % 250).cast("string"))),
+        data("TargetUserName", target),
+        data("SubjectUserName", F.concat(F.lit("svc"), (u % 7).cast("string"))),
+        dup,
+        F.lit("</EventData><Message>An  account\n logon "), F.col("event_type"),
+        F.lit("</Message></Event>"))
+    return e.select(eid.alias("row_id"), xml.alias("xml"))
+
+
+def parsed_events(spark, d) -> DataFrame:
+    from ..sources.winevent import parse_events
+    return parse_events(event_xml(spark, d)).withColumn(
+        "time_ts", F.col("time_created").try_cast("timestamp"))
+
+
+def q_event_extract(spark, d):
+    from ..sources.winevent import security_rows
+    return security_rows(parsed_events(spark, d), keep=("row_id",))
+
+
+def q_flow_group(spark, d):
+    from ..operators.flows import group_flows
+    e = events(spark, d)
+    u, eid = F.col("user_id"), F.col("event_id")
+    rows = e.select(
+        B.ts_text(F.col("ts")).alias("timestamp"),
+        F.lit("firewall").alias("log_type"),
+        F.when(u % 3 == 0, "FIREWALL_RULE_ADDED").when(u % 3 == 1, "FIREWALL_RULE_MODIFIED")
+         .otherwise("FIREWALL_BLOCK_NOTIFICATION").alias("event_type"),
+        (F.lit(2000) + u % 3).cast("int").alias("event_id"),
+        F.concat(F.lit("Rule changed "), (u % 4).cast("string")).alias("event_message"),
+        F.when(eid % 2 == 0, F.concat(F.lit("Host-"), (u % 5).cast("string")))
+         .otherwise(F.concat(F.lit("host-"), (u % 5).cast("string"))).alias("source_ip"),
+        F.lit("").alias("destination_ip"),
+        (u % 2).cast("int").alias("source_port"),
+        (F.lit(440) + u % 4).cast("int").alias("destination_port"),
+        F.when(eid % 3 == 0, "TCP").otherwise("tcp").alias("protocol"),
+        F.lit("").alias("user"), F.lit("fw").alias("service"),
+        (eid % 2).cast("int").alias("failed_count"),
+        F.lit("INFORMATION").alias("log_level"),
+        F.lit("").alias("query_name"), F.lit("").alias("query_type"),
+        F.when(eid % 5 == 0, "Allow").otherwise("allow").alias("action"))
+    return group_flows(rows)
+
+
+def q_source_filter(spark, d):
+    from ..sources.winevent import source_filter
+    ev = parsed_events(spark, d)
+    out = source_filter(ev, "2024-01-15 00:00:00", ids=[C.LOGON_FAILED_ID], max_events=800)
+    return out.select("row_id", "win_event_id", "time_created", "provider")
+
+
+def q_table_sink(spark, d):
+    from ..sources.csv_logs import system_table
+    from ..sources.winevent import security_rows
+    return system_table(security_rows(parsed_events(spark, d)))
+
+
+def events_stream(spark, d, schema) -> DataFrame:
+    """The events table as a file stream (new files in the folder arrive as batches)."""
+    return (spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+                 .option("maxFilesPerTrigger", 1).parquet(d))
+
+
+def q_live_counts(spark, d):
+    """Z1 on a stream of the events table: alert rows per event-time hour."""
+    from ..streaming.live import hourly_counts, run_available
+    e = events(spark, d)
+    stream = events_stream(spark, d, e.schema)
+    clean = clean_system(B.security_log(stream))
+    alerts = B.standin_scores(clean).where((F.col("is_anomaly") == 1) | (F.col("event_code") == 2))
+    res = run_available(spark, hourly_counts(alerts), mode="complete")
+    return res.select(F.col("hour_start").cast("timestamp_ntz").alias("hour_start"), "alert_count")
+
+
+def q_rule_stream(spark, d):
+    """Z2 on a stream of the events table: look-back brute-force rule."""
+    from ..streaming.live import brute_force_stream, run_available
+    e = events(spark, d)
+    stream = events_stream(spark, d, e.schema)
+    clean = clean_system(B.security_log(stream))
+    res = run_available(spark, brute_force_stream(clean, W_SHORT), mode="append")
+    return res.select("row_id", "ip_event_count", "ip_failed_count", "heuristic_brute_force")
+
+
+QUERIES.update({
+    "alias_resolve": q_alias_resolve,
+    "event_extract": q_event_extract,
+    "flow_group": q_flow_group,
+    "source_filter": q_source_filter,
+    "table_sink": q_table_sink,
+    "live_counts": q_live_counts,
+    "rule_stream": q_rule_stream,
+})

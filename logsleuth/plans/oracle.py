@@ -526,3 +526,79 @@ SELECT round(CASE WHEN sum(support) > 0 THEN sum(tp) / sum(support) ELSE 0 END,
 
 
 _build()
+
+
+def _ts_iso(x: str) -> str:
+    return f"strftime({x}, '%Y-%m-%dT%H:%M:%S.%f')"
+
+
+def _security_rows_sql() -> str:
+    return f"""
+SELECT eid AS row_id, {_ts_iso('ts')} AS "timestamp", 'security' AS log_type,
+  CASE WHEN et = 'error' THEN 'LOGIN_FAILED' ELSE 'LOGIN_SUCCESS' END AS event_type,
+  CASE WHEN et = 'error' THEN 4625 ELSE 4624 END AS event_id,
+  'An account logon ' || et AS event_message,
+  CASE uid % 4 WHEN 1 THEN '10.0.0.' || CAST(uid % 250 AS VARCHAR)
+       WHEN 3 THEN '192.168.1.' || CAST(uid % 200 AS VARCHAR)
+       ELSE '172.16.0.' || CAST(eid % 250 AS VARCHAR) END AS source_ip,
+  '' AS destination_ip, 0 AS source_port, 0 AS destination_port, '' AS protocol,
+  CASE WHEN eid % 7 = 0 THEN 'dup' || CAST(uid AS VARCHAR)
+       WHEN eid % 5 = 0 THEN 'svc' || CAST(uid % 7 AS VARCHAR)
+       ELSE 'user' || CAST(uid AS VARCHAR) END AS "user",
+  'Security-Auditing' AS service,
+  CASE WHEN et = 'error' THEN 1 ELSE 0 END AS failed_count,
+  CASE WHEN et = 'error' THEN 'WARNING' ELSE 'INFORMATION' END AS log_level,
+  '' AS query_name, '' AS query_type, '' AS action
+FROM ev"""
+
+
+def _flow_sql() -> str:
+    payload = ["timestamp", "log_type", "event_type", "event_id", "event_message", "source_ip",
+               "destination_ip", "source_port", "destination_port", "protocol", "user",
+               "service", "failed_count", "log_level", "query_name", "query_type", "action"]
+    firsts = ", ".join(f'arg_min("{c}", ts) AS "{c}"' for c in payload)
+    keys = ", ".join(f'lower(CAST("{k}" AS VARCHAR))' for k in C.FLOW_KEYS)
+    return f"""
+, r AS (
+  SELECT {_ts_iso('ts')} AS "timestamp", ts, 'firewall' AS log_type,
+    CASE uid % 3 WHEN 0 THEN 'FIREWALL_RULE_ADDED' WHEN 1 THEN 'FIREWALL_RULE_MODIFIED'
+         ELSE 'FIREWALL_BLOCK_NOTIFICATION' END AS event_type,
+    CAST(2000 + uid % 3 AS INTEGER) AS event_id,
+    'Rule changed ' || CAST(uid % 4 AS VARCHAR) AS event_message,
+    CASE WHEN eid % 2 = 0 THEN 'Host-' ELSE 'host-' END || CAST(uid % 5 AS VARCHAR) AS source_ip,
+    '' AS destination_ip, CAST(uid % 2 AS INTEGER) AS source_port,
+    CAST(440 + uid % 4 AS INTEGER) AS destination_port,
+    CASE WHEN eid % 3 = 0 THEN 'TCP' ELSE 'tcp' END AS protocol, '' AS "user", 'fw' AS service,
+    CAST(eid % 2 AS INTEGER) AS failed_count, 'INFORMATION' AS log_level, '' AS query_name,
+    '' AS query_type, CASE WHEN eid % 5 = 0 THEN 'Allow' ELSE 'allow' END AS action
+  FROM ev)
+SELECT {firsts}, CAST(count(*) AS INTEGER) AS connection_observation_count,
+  round_even(greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0) * 1000, 0) / 1000
+    AS duration_sec
+FROM r GROUP BY {keys}"""
+
+
+def _build_sources() -> None:
+    q = SQL
+    q["alias_resolve"] = _with(
+        f"SELECT {_ts_iso('ts')} AS \"timestamp\", 'user' || CAST(uid AS VARCHAR) AS \"user\", "
+        f"'10.0.' || CAST(uid % 50 AS VARCHAR) || '.1' AS ip, upper(et) AS event_type, "
+        f"props AS extra_field, eid AS row_id, 'unknown' AS process_name FROM ev")
+    q["event_extract"] = _with(_security_rows_sql())
+    q["flow_group"] = _with(_flow_sql())
+    q["source_filter"] = _with(
+        f"SELECT eid AS row_id, 4625 AS win_event_id, {_ts_iso('ts')} AS time_created, "
+        f"'Security-Auditing' AS provider FROM ev WHERE et = 'error' "
+        f"AND ts >= TIMESTAMP '2024-01-15 00:00:00' ORDER BY ts DESC LIMIT 800")
+    q["table_sink"] = _with(
+        "SELECT \"timestamp\", source_ip, \"user\", service, event_type AS event, event_id, "
+        f"failed_count, log_level FROM ({_security_rows_sql()})")
+    q["live_counts"] = _with(
+        "SELECT date_trunc('hour', ts) AS hour_start, count(*) AS alert_count FROM sys_clean "
+        "WHERE least(value / 200, CAST(1.0 AS DOUBLE)) >= 0.55 OR event_code = 2 GROUP BY 1")
+    q["rule_stream"] = _with(
+        "SELECT row_id, ip_event_count, ip_failed_count, CASE WHEN failed_count >= 5 OR "
+        "ip_failed_count >= 5 THEN 1 ELSE 0 END AS heuristic_brute_force FROM sys_feat", W_SHORT)
+
+
+_build_sources()

@@ -32,6 +32,8 @@ def get_session(master: str | None = None, app: str = "logsleuth",
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULTS)
+    if master and master.startswith("local"):
+        conf.setdefault("spark.driver.memory", "8g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
