@@ -12,6 +12,14 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _any_prefix(v: Column, prefixes: list[str]) -> Column:
+    out = None
+    for p in prefixes:
+        c = v.startswith(p)
+        out = c if out is None else (out | c)
+    return out
+
+
 def ipv4_to_long(col) -> Column:
     """dotted quad -> a*2^24 + b*2^16 + c*2^8 + d.
 
@@ -21,8 +29,9 @@ def ipv4_to_long(col) -> Column:
     parts = F.split(_c(col).cast("string"), r"\.")
 
     def part(i):
-        # int() accepts surrounding whitespace and a sign, not decimals
-        return py_strip(F.get(parts, i)).try_cast("bigint")
+        # int() accepts surrounding whitespace and a sign, not decimals; the
+        # string -> bigint cast trims whitespace itself
+        return F.get(parts, i).try_cast("bigint")
 
     total = (part(0) * 16_777_216 + part(1) * 65_536 + part(2) * 256 + part(3))
     return F.coalesce(total, F.lit(0).cast("bigint"))
@@ -35,8 +44,7 @@ def is_external_ip(col) -> Column:
     internal = (
         (v == "")
         | F.lower(v).isin(C.EXTERNAL_IP_BLANKS)
-        | F.exists(F.array(*[F.lit(p) for p in C.INTERNAL_IP_PREFIXES]),
-                   lambda p: F.startswith(v, p))
+        | _any_prefix(v, C.INTERNAL_IP_PREFIXES)
         | (F.startswith(v, F.lit("172.")) & second.between(16, 31))
         | v.isin(C.INTERNAL_IP_EXACT)
     )
@@ -82,8 +90,7 @@ def is_external_ip_strict(col) -> Column:
         in_private = cond if in_private is None else (in_private | cond)
     low = F.lower(v)
     v6_ok = low.rlike(r"^[0-9a-f:]+$") & low.contains(":") & (F.length(low) >= 2)
-    v6_private = low.isin(PRIVATE_V6_EXACT) | F.exists(
-        F.array(*[F.lit(p) for p in PRIVATE_V6_PREFIXES]), lambda p: F.startswith(low, p))
+    v6_private = low.isin(PRIVATE_V6_EXACT) | _any_prefix(low, PRIVATE_V6_PREFIXES)
     return (F.when(v.isNull(), 0)
             .when(v4_ok, F.when(in_private, 0).otherwise(1))
             .when(v6_ok, F.when(v6_private, 0).otherwise(1))

@@ -124,28 +124,34 @@ def response_assignment(alerts: DataFrame, max_assignments: int = C.RESPONSE_MAX
     else:
         cand = response_candidates(alerts, max_assignments).withColumn("_g", F.lit(0))
     cand = cand.checkpoint()            # at most max_assignments rows per group
-    elig = skill_eligibility(cand, keys=(*gcols, "rank")).checkpoint()
+    n_in_group = cand.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n"))
+    # one step row per (group, rank, eligible analyst); groups with fewer
+    # candidates get "skip" steps (analyst -1) so every group takes the same
+    # number of steps and the frontier is referenced once per step
+    elig = skill_eligibility(cand, keys=(*gcols, "rank")).select(*gcols, "rank", "analyst_idx")
+    pad = (n_in_group.where(F.col("_n") < max_assignments)
+                     .select(*gcols, F.explode(F.sequence(F.col("_n").cast("int"),
+                                                          F.lit(max_assignments - 1)))
+                             .alias("rank"), F.lit(-1).alias("analyst_idx")))
+    steps = elig.unionByName(pad).checkpoint()   # <= 3 * max_assignments rows per group
     n_analysts = len(C.ANALYSTS)
     caps = [f"_cap{i}" for i in range(n_analysts)]
-    n_in_group = cand.groupBy(*gcols).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
-    frontier = cand.select(*gcols).distinct().select(
+    frontier = n_in_group.select(
         *gcols, *[F.lit(max_per_analyst).alias(c) for c in caps],
         F.array().cast("array<int>").alias("_path"))
     for i in range(max_assignments):
-        step = elig.where(F.col("rank") == i).select(*gcols, "analyst_idx")
+        step = steps.where(F.col("rank") == i).select(*gcols, "analyst_idx")
         moved = frontier.join(step, gcols, "inner")
-        cap_now = F.element_at(F.array(*[F.col(c) for c in caps]), F.col("analyst_idx") + 1)
-        moved = moved.where(cap_now > 0).select(
+        idx = F.col("analyst_idx")
+        cap_now = F.element_at(F.array(*[F.col(c) for c in caps]), F.greatest(idx, F.lit(0)) + 1)
+        moved = moved.where((idx < 0) | (cap_now > 0)).select(
             *gcols,
-            *[F.when(F.col("analyst_idx") == j, F.col(c) - 1).otherwise(F.col(c)).alias(c)
+            *[F.when(idx == j, F.col(c) - 1).otherwise(F.col(c)).alias(c)
               for j, c in enumerate(caps)],
-            F.concat(F.col("_path"), F.array(F.col("analyst_idx"))).alias("_path"))
-        # groups with fewer candidates keep their finished paths unchanged
-        done = frontier.join(n_in_group, gcols).where(F.size("_path") >= F.col("_n")).drop("_n")
-        # <= 64 capacity states per group: cut the lineage every step
-        frontier = (moved.unionByName(done)
-                         .groupBy(*gcols, *caps).agg(F.min("_path").alias("_path"))
-                         .checkpoint())
+            F.when(idx >= 0, F.concat(F.col("_path"), F.array(idx))).otherwise(F.col("_path"))
+             .alias("_path"))
+        # <= 64 capacity states per group survive each step
+        frontier = moved.groupBy(*gcols, *caps).agg(F.min("_path").alias("_path"))
     best = (frontier.join(n_in_group, gcols).where(F.size("_path") == F.col("_n"))
                     .groupBy(*gcols).agg(F.min("_path").alias("_path")))
     names = F.array(*[F.lit(n) for n, _ in C.ANALYSTS])

@@ -8,17 +8,27 @@ Two physical forms are offered:
 
 ``method="prefix"`` (default, skew-proof)
     A windowed sum equals a prefix sum over +v at ``s`` and -v at
-    ``s + window_ms + 1``.  Deltas are pre-aggregated per (key, ms) with a
-    map-side partial aggregate, and the prefix sum is split in two levels:
-    per-bucket totals (``bucket_ms`` wide) prefix-summed over the bucket index,
-    plus a running sum inside one (key, bucket) partition.  A partition holds at
-    most ``bucket_ms`` distinct milliseconds of one key, so even a key holding a
-    third of all rows (the blank source address) is spread over many tasks.
-    Distinct counts (W3) turn each (key, value) into merged activity intervals:
-    +1 where a gap larger than the window opens, -1 one window after the last
-    occurrence; previous/next occurrences are found inside (key, value, bucket)
-    partitions with one window-wide bucket (at most ``window_ms`` distinct ms
-    after de-duplication) and across buckets from per-bucket min/max.
+    ``s + window_ms + 1``.  Every row emits those two deltas (the +v copy
+    carries the row itself), and the prefix sum is split in two levels:
+
+    * rows are hash-partitioned once by (key, time bucket of ``bucket_ms``);
+      inside a bucket a running ``RANGE`` sum over time gives the partial sum
+      (ties at the same ms included);
+    * per-(key, bucket) totals - computed on the same partitioning, so no
+      extra shuffle - are prefix-summed over the bucket index (one row per
+      key and bucket: a small shuffle) and added back as an offset.
+
+    A task therefore holds one key's rows of one ``bucket_ms`` slice (one
+    minute by default), so even a key holding a third of all rows (e.g. the
+    blank source address of IP-less network events) is spread over as many
+    tasks as it has minutes.  One large shuffle, no join back to the input.
+
+    Distinct counts (W3) turn each (key, value) into merged activity
+    intervals: +1 where a gap larger than the window opens, -1 one window
+    after the last occurrence.  Previous/next occurrences come from a lag/lead
+    inside (key, value, window-wide bucket) partitions - at most
+    ``window_ms`` distinct ms each after de-duplication - and across buckets
+    from per-bucket min/max.  The marks then go through the same prefix sum.
 
 ``method="range"``
     ``sum/count(...).over(partitionBy(key).orderBy(ms).rangeBetween(-w, 0))``
@@ -33,22 +43,23 @@ from pyspark.sql import DataFrame, Window, functions as F
 DEFAULT_BUCKET_MS = 60_000
 
 
-def _prefix_sums(deltas: DataFrame, key: str, t: str, value_cols: list[str],
-                 bucket_ms: int) -> DataFrame:
-    """Running sums of ``value_cols`` per key ordered by ``t`` (inclusive of
-    every delta at the same ``t``).  ``deltas`` must hold one row per (key, t)
-    and a ``_q`` query flag.  Returns (key, t, sums) for the rows with ``_q``."""
-    b = F.floor(F.col(t) / bucket_ms)
-    d = deltas.withColumn("_b", b)
-    totals = d.groupBy(key, "_b").agg(*[F.sum(c).alias(c) for c in value_cols])
+def _prefix_sums(events: DataFrame, key: str, value_cols: list[str], bucket_ms: int,
+                 partitions: int | None = None) -> DataFrame:
+    """Running sums of ``value_cols`` per key over ``_t`` (inclusive of every
+    delta at the same ``_t``) for the rows that carry a ``_row`` payload.
+
+    ``events``: (key, _t, value_cols..., _row struct or null)."""
+    ev = events.withColumn("_b", F.floor(F.col("_t") / bucket_ms))
+    ev = ev.repartition(partitions, key, "_b") if partitions else ev.repartition(key, "_b")
+    totals = ev.groupBy(key, "_b").agg(*[F.sum(c).alias(c) for c in value_cols])
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(key, "_b", *[F.coalesce(F.sum(c).over(before), F.lit(0))
                                           .alias(f"_o_{c}") for c in value_cols])
-    inside = Window.partitionBy(key, "_b").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    running = d.select(key, "_b", t, "_q", *[F.sum(c).over(inside).alias(f"_r_{c}")
+    inside = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    running = ev.select(key, "_b", "_row", *[F.sum(c).over(inside).alias(f"_r_{c}")
                                            for c in value_cols])
-    out = running.where(F.col("_q") == 1).join(offsets, [key, "_b"], "left")
-    return out.select(key, t, *[(F.col(f"_r_{c}") + F.coalesce(F.col(f"_o_{c}"), F.lit(0)))
+    out = running.where(F.col("_row").isNotNull()).join(offsets, [key, "_b"], "left")
+    return out.select("_row", *[(F.col(f"_r_{c}") + F.coalesce(F.col(f"_o_{c}"), F.lit(0)))
                                 .alias(c) for c in value_cols])
 
 
@@ -64,20 +75,21 @@ def window_counts(df: DataFrame, key: str, ms: str, window_ms: int,
         cols.update({o: F.coalesce(F.sum(i).over(w), F.lit(0)) for o, i in sums.items()})
         return df.withColumns(cols)
     names = ["_n"] + [f"_s{i}" for i in range(len(sums))]
-    vals = [F.lit(1).cast("bigint")] + [F.coalesce(F.col(c), F.lit(0)) for c in sums.values()]
+    vals = [F.lit(1).cast("bigint")] + [F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+                                        for c in sums.values()]
+    sign = F.explode(F.array(F.lit(1), F.lit(-1))).alias("_sign")
+    base = df.select(F.col(key), F.col(ms).alias("_ms"), F.struct(*df.columns).alias("_p"),
+                     *[v.alias(n) for v, n in zip(vals, names)], sign)
     # each row opens its contribution at ms and closes it one window later
-    events = df.select(key, ms, F.explode(F.array(F.lit(1), F.lit(-1))).alias("_sign"),
-                       *[v.alias(n) for v, n in zip(vals, names)])
-    t = F.when(F.col("_sign") == 1, F.col(ms)).otherwise(F.col(ms) + window_ms + 1)
-    deltas = (events.groupBy(key, t.alias("_t"))
-                    .agg(*[F.sum(F.col(n) * F.col("_sign")).alias(n) for n in names],
-                         F.max((F.col("_sign") == 1).cast("int")).alias("_q")))
-    res = _prefix_sums(deltas, key, "_t", names, bucket_ms)
-    res = res.select(F.col(key).alias("_k"), F.col("_t").alias("_ms"),
-                     F.col("_n").alias(count_out),
-                     *[F.col(n).alias(o) for n, o in zip(names[1:], sums.keys())])
-    joined = df.join(res, (df[key].eqNullSafe(res["_k"])) & (df[ms] == res["_ms"]), "left")
-    return joined.drop("_k", "_ms")
+    events = base.select(
+        key,
+        F.when(F.col("_sign") == 1, F.col("_ms")).otherwise(F.col("_ms") + window_ms + 1)
+         .alias("_t"),
+        *[(F.col(n) * F.col("_sign")).alias(n) for n in names],
+        F.when(F.col("_sign") == 1, F.col("_p")).alias("_row"))
+    res = _prefix_sums(events, key, names, bucket_ms)
+    return res.select("_row.*", F.col("_n").alias(count_out),
+                      *[F.col(n).alias(o) for n, o in zip(names[1:], sums.keys())])
 
 
 def window_distinct(df: DataFrame, key: str, ms: str, value: str, window_ms: int,
@@ -89,7 +101,8 @@ def window_distinct(df: DataFrame, key: str, ms: str, value: str, window_ms: int
         return df.withColumn(out, F.size(F.collect_set(value).over(w)))
     wb = F.floor(F.col(ms) / window_ms)
     occ = (df.where(F.col(value).isNotNull())
-             .select(key, value, ms, wb.alias("_wb")).distinct())
+             .select(key, value, ms, wb.alias("_wb"))
+             .repartition(key, value, "_wb").distinct())
     inb = Window.partitionBy(key, value, "_wb").orderBy(ms)
     occ = occ.withColumns({"_prev": F.lag(ms).over(inb), "_next": F.lead(ms).over(inb)})
     stats = occ.groupBy(key, value, "_wb").agg(F.min(ms).alias("_bmin"), F.max(ms).alias("_bmax"))
@@ -109,15 +122,12 @@ def window_distinct(df: DataFrame, key: str, ms: str, value: str, window_ms: int
             F.when(opens, F.struct(F.col(ms).alias("t"), F.lit(1).cast("bigint").alias("d"))),
             F.when(closes, F.struct((F.col(ms) + window_ms + 1).alias("t"),
                                     F.lit(-1).cast("bigint").alias("d"))))).alias("_m"))
+    payload = F.struct(*df.columns)
     marks = (marks.where(F.col("_m").isNotNull())
                   .select(key, F.col("_m.t").alias("_t"), F.col("_m.d").alias("_d"),
-                          F.lit(0).alias("_q")))
-    queries = df.select(key, F.col(ms).alias("_t"), F.lit(0).cast("bigint").alias("_d"),
-                        F.lit(1).alias("_q"))
-    deltas = (marks.unionByName(queries).groupBy(key, "_t")
-                   .agg(F.sum("_d").alias("_d"), F.max("_q").alias("_q")))
-    res = _prefix_sums(deltas, key, "_t", ["_d"], bucket_ms)
-    res = res.select(F.col(key).alias("_k"), F.col("_t").alias("_ms"),
-                     F.col("_d").cast("int").alias(out))
-    joined = df.join(res, (df[key].eqNullSafe(res["_k"])) & (df[ms] == res["_ms"]), "left")
-    return joined.drop("_k", "_ms")
+                          F.lit(None).cast(df.select(payload.alias("p")).schema["p"].dataType)
+                           .alias("_row")))
+    rows = df.select(key, F.col(ms).alias("_t"), F.lit(0).cast("bigint").alias("_d"),
+                     payload.alias("_row"))
+    res = _prefix_sums(marks.unionByName(rows), key, ["_d"], bucket_ms)
+    return res.select("_row.*", F.col("_d").cast("int").alias(out))

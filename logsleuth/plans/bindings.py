@@ -14,7 +14,19 @@ from .. import constants as C
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a scan yields fewer splits than cores.
+
+    A Parquet file with a single row group is one split, so all row-level
+    work up to the first shuffle would run in one task.  On a large input
+    the scan already has many more splits than cores and nothing changes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def _case(col: Column, pairs: list[tuple], default) -> Column:
