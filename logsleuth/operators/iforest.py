@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .. import constants as C
+from ..session import ship_package
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "size int, depth int")
@@ -93,6 +94,7 @@ def fit_forest(z: DataFrame, zcols: list[str], n_trees: int = C.IFOREST_N_ESTIMA
                max_samples: int = C.IFOREST_MAX_SAMPLES, seed: int = C.RANDOM_SEED,
                key: str = "row_id") -> DataFrame:
     """Node table of a fitted forest (tree, node, feature, threshold, ...)."""
+    ship_package(z.sparkSession)
     n = z.count()
     psi = max(1, min(max_samples, n))
     sample = tree_samples(z, zcols, n_trees, psi, n, seed, key)
@@ -145,6 +147,7 @@ def path_lengths(X: np.ndarray, packed) -> np.ndarray:
 def score_forest(z: DataFrame, nodes: DataFrame, zcols: list[str],
                  out: str = "iforest_raw") -> DataFrame:
     """Add ``out`` = 2 ** (-E[h(x)] / c(psi)); higher is more anomalous."""
+    ship_package(z.sparkSession)
     pdf = nodes.toPandas()          # bounded: n_trees * (2 * psi - 1) rows
     psi = int(pdf["psi"].iloc[0])
     packed = _pack(pdf)

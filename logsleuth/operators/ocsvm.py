@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .. import constants as C
+from ..session import ship_package
 
 
 def _project_capped_simplex(v: np.ndarray, cap: float) -> np.ndarray:
@@ -71,6 +72,7 @@ def fit_ocsvm(z: DataFrame, zcols: list[str], nu: float = C.OCSVM_NU,
               max_rows: int = C.OCSVM_MAX_FIT_ROWS, seed: int = C.RANDOM_SEED,
               key: str = "row_id") -> DataFrame:
     """Support vectors: (sv int, alpha double, rho double, gamma double, x array<double>)."""
+    ship_package(z.sparkSession)
     u = (F.abs(F.xxhash64(F.col(key), F.lit(seed), F.lit("ocsvm"))) % 1_000_000_007) / 1_000_000_007.0
     n = z.count()
     keep = min(1.0, 4.0 * max_rows / max(n, 1))
@@ -91,6 +93,7 @@ def fit_ocsvm(z: DataFrame, zcols: list[str], nu: float = C.OCSVM_NU,
 
 def score_ocsvm(z: DataFrame, model: DataFrame, zcols: list[str],
                 out: str = "ocsvm_raw") -> DataFrame:
+    ship_package(z.sparkSession)
     pdf = model.toPandas()          # bounded: <= max_rows support vectors
     if len(pdf) == 0:
         return z.withColumn(out, F.lit(0.0))

@@ -27,6 +27,7 @@ def load_alerts(spark: SparkSession, path: str) -> DataFrame | None:
     column (the reference returns an empty frame in both cases)."""
     if not _exists(spark, path):
         return None
+    spark.catalog.refreshByPath(path)       # other runs may have appended files
     df = spark.read.option("mergeSchema", True).parquet(path)
     if "data_origin" not in df.columns:
         return None

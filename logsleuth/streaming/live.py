@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import constants as C
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 
 
 def hourly_counts(alerts_stream: DataFrame, time_col: str = "timestamp",
@@ -80,6 +80,7 @@ def brute_force_stream(clean_stream: DataFrame,
                        window_minutes: int = C.WINDOW_MINUTES) -> DataFrame:
     """Z2 on a cleaned system-log stream (``source_ip``, ``ts_ms``,
     ``failed_count``, ``row_id``)."""
+    ship_package(clean_stream.sparkSession)
     wms = window_minutes * 60_000
     src = clean_stream.select("row_id", "source_ip", "ts_ms", "failed_count")
     return src.groupBy("source_ip").applyInPandasWithState(
