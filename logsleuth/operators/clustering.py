@@ -14,10 +14,11 @@ from itertools import product
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..session import checkpoint_dir
+from .ordering import global_position
 from .scaling import standardise
 
 
@@ -125,8 +126,8 @@ def dbscan_labels(alerts: DataFrame, eps: float = C.DBSCAN_EPS,
             break
     first = pts.select("_pid", "_first")
     comp = (labels.join(first, "_pid").groupBy("_lab").agg(F.min("_first").alias("_f")))
-    numbered = comp.select("_lab", (F.dense_rank().over(Window.orderBy("_f")) - 1)
-                           .cast("int").alias("_cid"))      # one row per cluster
+    numbered = (global_position(comp, ["_f", "_lab"], "_pos")   # one row per cluster
+                .select("_lab", F.col("_pos").cast("int").alias("_cid")))
     core_lab = labels.join(numbered, "_lab").select("_pid", "_cid")
     border = (edges.join(core_lab.withColumnRenamed("_pid", "_nid"), "_nid")
                    .join(core, "_pid", "left_anti")

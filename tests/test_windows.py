@@ -46,3 +46,27 @@ def test_windows_match_brute_force(spark, method, bucket):
     got = {r["row_id"]: (r["n"], r["s"], r["dp"]) for r in d.collect()}
     assert len(got) == len(rows)
     assert got == _brute(rows)
+
+
+def test_global_position_matches_row_number(spark):
+    from pyspark.sql import Window, functions as F
+    from logsleuth.operators.ordering import global_position
+    rows = [(i * 7919 % 1000, f"v{i % 13}") for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, s string").dropDuplicates(["k", "s"])
+    got = {(r.k, r.s): r.pos for r in global_position(df, ["k", "s"], "pos", buckets=7).collect()}
+    want = {(r.k, r.s): r.pos for r in
+            df.withColumn("pos", F.row_number().over(Window.orderBy("k", "s")) - 1).collect()}
+    assert got == want
+    plan = global_position(df, ["k", "s"], "pos", buckets=7)._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+
+
+def test_global_position_string_key(spark):
+    from pyspark.sql import Window, functions as F
+    from logsleuth.operators.ordering import global_position
+    df = spark.createDataFrame([(f"k{i * 31 % 97:03d}", i) for i in range(200)], "s string, i long")
+    got = {(r.s, r.i): r.pos for r in global_position(df, ["s", "i"], "pos", buckets=5).collect()}
+    want = {(r.s, r.i): r.pos for r in
+            df.withColumn("pos", F.row_number().over(Window.orderBy("s", "i")) - 1).collect()}
+    assert got == want
