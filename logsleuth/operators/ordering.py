@@ -3,17 +3,17 @@
 ``row_number() OVER (ORDER BY k)`` with no partition moves every row into one
 task.  ``global_position`` gives the same numbers as a distributed job:
 
-1. cut points on the leading order column at approximate quantiles - one
-   small aggregate; ``buckets - 1`` numbers reach the driver (a non-numeric
-   leading column is cut by ``repartitionByRange`` instead);
-2. each row's range is found by a balanced comparison tree (codegen'd);
-3. rows are numbered inside their range (window partitioned by range);
-4. each range is shifted by the row count of all lower ranges - one row per
-   range, so that table is bounded by ``buckets`` and is broadcast.
-
-Any monotone cut gives exact results, because equal leading values always
-fall into the same range and the ranges follow the order; the quantiles only
-balance the work between tasks.
+1. each row gets a range id that is monotone in the leading order column:
+   for numbers a fixed logarithmic scale (``RANGES_PER_OCTAVE`` ranges per
+   power of two, so at most about 4,100 ranges for any 64-bit value, and no
+   job is needed to find the cuts); other types are cut by
+   ``repartitionByRange``;
+2. rows are numbered inside their range (window partitioned by range);
+3. each range is shifted by the row count of all lower ranges - one row per
+   range, a table bounded by the range count, broadcast.
+
+Results are exact for any monotone cut, because equal leading values always
+fall into the same range and the ranges follow the order.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import checkpoint_dir
 
+RANGES_PER_OCTAVE = 32
+
 
-def _range_of(c: Column, cuts: list[float], lo: int = 0) -> Column:
-    """Number of cut points <= ``c`` (``cuts`` ascending), as a balanced tree."""
-    if not cuts:
-        return F.lit(lo)
-    mid = len(cuts) // 2
-    return F.when(c < F.lit(cuts[mid]), _range_of(c, cuts[:mid], lo)).otherwise(
-        _range_of(c, cuts[mid + 1:], lo + mid + 1))
+def log_range(c: Column) -> Column:
+    """Monotone, data-independent range id: sign(x) * floor(log2(1 + |x|) * R)."""
+    x = c.cast("double")
+    mag = F.floor(F.log2(F.abs(x) + 1) * RANGES_PER_OCTAVE)
+    return F.when(x < 0, -mag).otherwise(mag).cast("int")
 
 
 def global_position(df: DataFrame, order: list[str], out: str,
@@ -42,13 +42,7 @@ def global_position(df: DataFrame, order: list[str], out: str,
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if isinstance(df.schema[order[0]].dataType, T.NumericType):
-        lead = F.col(order[0]).cast("double")
-        cuts: list[float] = []
-        if n > 1:
-            probs = [i / n for i in range(1, n)]
-            row = df.agg(F.percentile_approx(lead, probs, 10_000).alias("q")).first()
-            cuts = sorted({float(x) for x in (row["q"] or []) if x is not None})
-        ranged = df.withColumn("_rng", _range_of(lead, cuts))
+        ranged = df.withColumn("_rng", log_range(F.col(order[0])))
     else:
         # other orderable types (strings, structs): Spark's range partitioner
         # picks the cuts; the range id is checkpointed so that the numbers and
@@ -61,7 +55,7 @@ def global_position(df: DataFrame, order: list[str], out: str,
     sizes = ranged.groupBy("_rng").agg(F.count(F.lit(1)).alias("_n"))
     below = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_rng", F.coalesce(F.sum("_n").over(below), F.lit(0))
-                           .alias("_off"))            # <= len(cuts) + 1 rows
+                           .alias("_off"))            # one row per non-empty range
     return (numbered.join(F.broadcast(offsets), "_rng")
                     .withColumn(out, F.col("_off") + F.col("_gp_in"))
                     .drop("_rng", "_gp_in", "_off"))

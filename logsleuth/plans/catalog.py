@@ -10,6 +10,7 @@ themselves are registered separately (rows-only checks).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import constants as C
@@ -32,12 +33,21 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return B.read_table(spark, d, "events")
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """Mark an intermediate that several branches of a plan read (the look-back
+    windows read their input twice, first-seen codes once more).  Persisting
+    it (memory, spilling to executor disk) turns one source scan per branch
+    into one scan per job; lost blocks are recomputed from lineage.  The same
+    plan built again in the session reuses the stored blocks."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def sys_clean_df(spark, d) -> DataFrame:
-    return clean_system(B.security_log(events(spark, d)))
+    return shared(clean_system(B.security_log(events(spark, d))))
 
 
 def net_clean_df(spark, d) -> DataFrame:
-    return clean_network(B.network_log(events(spark, d)))
+    return shared(clean_network(B.network_log(events(spark, d))))
 
 
 def sys_feat_df(spark, d, minutes=W_LONG) -> DataFrame:

@@ -51,7 +51,7 @@ def test_windows_match_brute_force(spark, method, bucket):
 def test_global_position_matches_row_number(spark):
     from pyspark.sql import Window, functions as F
     from logsleuth.operators.ordering import global_position
-    rows = [(i * 7919 % 1000, f"v{i % 13}") for i in range(400)]
+    rows = [(i * 7919 % 1000 - 500, f"v{i % 13}") for i in range(400)] + [(2 ** 40, "big")]
     df = spark.createDataFrame(rows, "k long, s string").dropDuplicates(["k", "s"])
     got = {(r.k, r.s): r.pos for r in global_position(df, ["k", "s"], "pos", buckets=7).collect()}
     want = {(r.k, r.s): r.pos for r in
