@@ -33,21 +33,33 @@ def events(spark: SparkSession, d: str) -> DataFrame:
     return B.read_table(spark, d, "events")
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Mark an intermediate that several branches of a plan read (the look-back
-    windows read their input twice, first-seen codes once more).  Persisting
-    it (memory, spilling to executor disk) turns one source scan per branch
-    into one scan per job; lost blocks are recomputed from lineage.  The same
-    plan built again in the session reuses the stored blocks."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """An intermediate that several branches and queries read: the cleaned
+    logs (the look-back windows read them twice, first-seen codes once more)
+    and the alert table every view reads.  It is persisted (memory, spilling
+    to executor disk; lost blocks are recomputed from lineage), so a job scans
+    the source once instead of once per branch, and the DataFrame is kept per
+    application and folder, so later queries start from the stored table
+    instead of rebuilding its plan."""
+    k = (spark.sparkContext.applicationId, *key)
+    df = _SHARED.get(k)
+    if df is None:
+        df = build().persist(StorageLevel.MEMORY_AND_DISK)
+        _SHARED[k] = df
+    return df
 
 
 def sys_clean_df(spark, d) -> DataFrame:
-    return shared(clean_system(B.security_log(events(spark, d))))
+    return shared(spark, ("sys_clean", d),
+                  lambda: clean_system(B.security_log(events(spark, d))))
 
 
 def net_clean_df(spark, d) -> DataFrame:
-    return shared(clean_network(B.network_log(events(spark, d))))
+    return shared(spark, ("net_clean", d),
+                  lambda: clean_network(B.network_log(events(spark, d))))
 
 
 def sys_feat_df(spark, d, minutes=W_LONG) -> DataFrame:
@@ -70,7 +82,9 @@ def net_alerts_df(spark, d) -> DataFrame:
 
 
 def alerts_df(spark, d) -> DataFrame:
-    return AL.union_alerts(sys_alerts_df(spark, d), net_alerts_df(spark, d))
+    """The alert table every view reads (the stored alerts of a run)."""
+    return shared(spark, ("alerts", d),
+                  lambda: AL.union_alerts(sys_alerts_df(spark, d), net_alerts_df(spark, d)))
 
 
 def scored_df(spark, d) -> DataFrame:
