@@ -18,7 +18,7 @@ from ..functions import (ipv4_to_long, is_external_ip, is_external_ip_strict)
 from ..operators import alerts as AL, evaluate as EV, features as FE, risk as RK
 from ..operators import triage as TR, views as V
 from ..operators.clean import clean_network, clean_system, first_seen_codes
-from ..session import apply_runtime_defaults
+from ..session import apply_runtime_defaults, checkpoint_dir
 from . import bindings as B
 
 W_SHORT = C.WINDOW_MINUTES       # default look-back
@@ -36,18 +36,26 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 _SHARED: dict[tuple, DataFrame] = {}
 
 
-def shared(spark: SparkSession, key: tuple, build) -> DataFrame:
+def shared(spark: SparkSession, key: tuple, build, written: bool = False) -> DataFrame:
     """An intermediate that several branches and queries read: the cleaned
     logs (the look-back windows read them twice, first-seen codes once more)
-    and the alert table every view reads.  It is persisted (memory, spilling
-    to executor disk; lost blocks are recomputed from lineage), so a job scans
-    the source once instead of once per branch, and the DataFrame is kept per
-    application and folder, so later queries start from the stored table
-    instead of rebuilding its plan."""
+    and the alert table every view reads.
+
+    Cleaned logs are persisted (memory, spilling to executor disk; lost
+    blocks are recomputed from lineage), so a job scans the source once
+    instead of once per branch.  The alert table (``written=True``) is written
+    with ``checkpoint()`` to the shared ``spark.checkpoint.dir``, like the
+    stored alerts of a run: views start from that table, so their plans stay
+    small and no lineage back to the source is replayed.  Either DataFrame is
+    kept per application and folder, so later queries reuse it."""
     k = (spark.sparkContext.applicationId, *key)
     df = _SHARED.get(k)
     if df is None:
-        df = build().persist(StorageLevel.MEMORY_AND_DISK)
+        if written:
+            checkpoint_dir(spark)
+            df = build().checkpoint()
+        else:
+            df = build().persist(StorageLevel.MEMORY_AND_DISK)
         _SHARED[k] = df
     return df
 
@@ -84,7 +92,8 @@ def net_alerts_df(spark, d) -> DataFrame:
 def alerts_df(spark, d) -> DataFrame:
     """The alert table every view reads (the stored alerts of a run)."""
     return shared(spark, ("alerts", d),
-                  lambda: AL.union_alerts(sys_alerts_df(spark, d), net_alerts_df(spark, d)))
+                  lambda: AL.union_alerts(sys_alerts_df(spark, d), net_alerts_df(spark, d)),
+                  written=True)
 
 
 def scored_df(spark, d) -> DataFrame:

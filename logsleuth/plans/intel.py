@@ -4,20 +4,20 @@ classifier, triage, response plan -> one-row nested report.
 Every report section is an aggregate over an already small result (top-k
 lists, the hour grid, per-cluster rows, 8 recommendation rules), folded into
 an array of structs with ``collect_list`` and ordered by explicit sort keys.
-The sections are single rows attached to each other; no alert row is ever
-collected to the driver.
+The one-row sections are stacked and folded into one row; no alert row is
+ever collected to the driver.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..functions import clock
 from ..operators import classify as CL, clustering as CU, risk as RK, triage as TR, views as V
-from ..operators.views import attach_scalars
 
 
 def _ordered_list(df: DataFrame, keys: list, fields: list[str], name: str) -> DataFrame:
@@ -27,6 +27,19 @@ def _ordered_list(df: DataFrame, keys: list, fields: list[str], name: str) -> Da
     return df.agg(F.transform(F.array_sort(items), lambda x: x["_v"]).alias(name))
 
 
+def one_row(parts: list[DataFrame]) -> DataFrame:
+    """Columns of several one-row frames side by side in one row.
+
+    The parts are stacked with ``unionByName`` (each fills only its own
+    columns) and folded by one aggregate; unlike a chain of joins the plan
+    grows linearly with the number of parts."""
+    if len(parts) == 1:
+        return parts[0]
+    names = [c for p in parts for c in p.columns]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
+
+
 def executive_summary(alerts: DataFrame) -> DataFrame:
     levels = V.risk_level_counts(alerts)
     types = V.attack_counts(alerts).agg(
@@ -36,7 +49,7 @@ def executive_summary(alerts: DataFrame) -> DataFrame:
     t = F.col("timestamp").cast("timestamp")
     window = alerts.agg(F.struct(clock.utc_text(F.min(t)).alias("start"),
                                  clock.utc_text(F.max(t)).alias("end")).alias("observation_window"))
-    one = attach_scalars(attach_scalars(attach_scalars(levels, types), srcs), window)
+    one = one_row([levels, types, srcs, window])
     return one.select(F.struct(
         F.col("total").alias("total_alerts"), F.col("critical").alias("critical_alerts"),
         F.col("high").alias("high_alerts"), "attack_type_breakdown", "unique_sources",
@@ -88,12 +101,10 @@ def generate_report(alerts: DataFrame, summary: DataFrame | None = None,
                           ["source_ip", "attack_type", "severity", "risk_score", "assigned_to"],
                           "assignments")
         un = response.agg(F.coalesce(F.max("unassigned"), F.lit(0)).alias("unassigned"))
-        parts.append(attach_scalars(a, un).select(F.struct(
+        parts.append(one_row([a, un]).select(F.struct(
             F.lit(C.RESPONSE_ALGORITHM).alias("algorithm"), "assignments", "unassigned",
             F.lit(C.RESPONSE_NOTES).alias("notes")).alias("unit3_csp_response_plan")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = attach_scalars(out, p)
+    out = one_row(parts)
     return out.select(gen.alias("report_generated_at"), *out.columns)
 
 
