@@ -60,6 +60,14 @@ def shared(spark: SparkSession, key: tuple, build, written: bool = False) -> Dat
     return df
 
 
+def release_shared(spark: SparkSession) -> None:
+    """Drop this application's shared tables (unpersist the cleaned logs;
+    checkpoint files are removed with the checkpoint folder)."""
+    app = spark.sparkContext.applicationId
+    for k in [k for k in _SHARED if k[0] == app]:
+        _SHARED.pop(k).unpersist()
+
+
 def sys_clean_df(spark, d) -> DataFrame:
     return shared(spark, ("sys_clean", d),
                   lambda: clean_system(B.security_log(events(spark, d))))

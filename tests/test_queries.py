@@ -35,3 +35,13 @@ def test_streams_equal_batch(spark, con, name):
     sp = QUERIES[name](spark, SF_SMALL).toPandas()
     dd = con.execute(SQL[name]).df()
     assert compare(sp, dd) == "OK"
+
+
+def test_shared_tables_are_reused_and_released(spark):
+    from logsleuth.plans import catalog as Q
+    a = Q.alerts_df(spark, SF_SMALL)
+    assert Q.alerts_df(spark, SF_SMALL) is a          # one stored alert table per folder
+    n = a.count()
+    Q.release_shared(spark)
+    b = Q.alerts_df(spark, SF_SMALL)
+    assert b is not a and b.count() == n
