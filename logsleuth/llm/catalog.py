@@ -7,7 +7,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsleuth.llm import common, pii, simhash
+from logsleuth.llm import common, decontaminate, language, pii, simhash, wordpiece
+
+
+def op2_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(common.documents(spark, sf_dir))
+
+
+def op5_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(common.documents(spark, sf_dir),
+                                         spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    evidence = language.of_documents(docs)
+    return language.identify(docs, evidence, language.fit(docs, evidence))
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +34,6 @@ def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op9_simhash_dedup, op10_pii_anchors)}
+    f.__name__: f for f in (op2_wordpiece_counts, op5_benchmark_containment, op7_language_fusion,
+                            op9_simhash_dedup, op10_pii_anchors)}
 SQL: dict[str, str] = {}
