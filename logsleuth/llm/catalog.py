@@ -7,7 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsleuth.llm import common, decontaminate, language, pii, simhash, wordpiece
+from logsleuth.llm import common, decontaminate, language, pii, quality, simhash, wordpiece
+
+
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(common.documents(spark, sf_dir))
 
 
 def op2_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +38,6 @@ def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_wordpiece_counts, op5_benchmark_containment, op7_language_fusion,
+    f.__name__: f for f in (op1_line_frequency, op2_wordpiece_counts, op5_benchmark_containment, op7_language_fusion,
                             op9_simhash_dedup, op10_pii_anchors)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_line_frequency": quality.SQL}
