@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logsleuth.llm import common, decontaminate, language, pii, quality, simhash, wordpiece
+from logsleuth.llm import common, decontaminate, language, mixing, pii, quality, simhash, wordpiece
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, evidence, language.fit(docs, evidence))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(common.documents(spark, sf_dir))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.documents(spark, sf_dir))
 
@@ -38,6 +42,6 @@ def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_frequency, op2_wordpiece_counts, op5_benchmark_containment, op7_language_fusion,
+    f.__name__: f for f in (op1_line_frequency, op2_wordpiece_counts, op5_benchmark_containment, op7_language_fusion, op8_source_mix,
                             op9_simhash_dedup, op10_pii_anchors)}
-SQL: dict[str, str] = {"op1_line_frequency": quality.SQL}
+SQL: dict[str, str] = {"op1_line_frequency": quality.SQL, "op8_source_mix": mixing.SQL}
