@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsleuth.llm import common, decontaminate, language, licenses, mixing, pii, quality, simhash, wordpiece
+from logsleuth.llm import common, decontaminate, language, licenses, mixing, pii, quality, simhash, substrings, wordpiece
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op5_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(common.documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     evidence = language.of_documents(docs)
@@ -46,6 +51,8 @@ def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_frequency, op2_wordpiece_counts, op4_licence_scan, op5_benchmark_containment, op7_language_fusion, op8_source_mix,
+    f.__name__: f for f in (op1_line_frequency, op2_wordpiece_counts, op4_licence_scan, op5_benchmark_containment, op6_substring_dedup,
+                            op7_language_fusion, op8_source_mix,
                             op9_simhash_dedup, op10_pii_anchors)}
-SQL: dict[str, str] = {"op1_line_frequency": quality.SQL, "op8_source_mix": mixing.SQL}
+SQL: dict[str, str] = {"op1_line_frequency": quality.SQL, "op6_substring_dedup": substrings.SQL,
+                       "op8_source_mix": mixing.SQL}
