@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logsleuth.llm import common, decontaminate, language, licenses, mixing, pii, quality, simhash, substrings, wordpiece
+from logsleuth.llm import common, decontaminate, language, licenses, mixing, ngram, pii, quality, simhash, substrings, wordpiece
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(common.documents(spark, sf_dir))
 
 
+def op3_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(common.documents(spark, sf_dir))
+
+
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(common.documents(spark, sf_dir))
 
@@ -51,7 +55,8 @@ def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_frequency, op2_wordpiece_counts, op4_licence_scan, op5_benchmark_containment, op6_substring_dedup,
+    f.__name__: f for f in (op1_line_frequency, op2_wordpiece_counts, op3_ngram_scores,
+                            op4_licence_scan, op5_benchmark_containment, op6_substring_dedup,
                             op7_language_fusion, op8_source_mix,
                             op9_simhash_dedup, op10_pii_anchors)}
 SQL: dict[str, str] = {"op1_line_frequency": quality.SQL, "op6_substring_dedup": substrings.SQL,
