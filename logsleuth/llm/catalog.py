@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from logsleuth.llm import common, decontaminate, language, licenses, mixing, ngram, pii, quality, simhash, substrings, wordpiece
 
 
@@ -54,10 +55,15 @@ def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(common.documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_frequency, op2_wordpiece_counts, op3_ngram_scores,
                             op4_licence_scan, op5_benchmark_containment, op6_substring_dedup,
                             op7_language_fusion, op8_source_mix,
-                            op9_simhash_dedup, op10_pii_anchors)}
+                            op9_simhash_dedup, op10_pii_anchors, pipeline)}
+# the other operators have no SQL form; their tests compare them with brute force
 SQL: dict[str, str] = {"op1_line_frequency": quality.SQL, "op6_substring_dedup": substrings.SQL,
                        "op8_source_mix": mixing.SQL}

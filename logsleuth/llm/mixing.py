@@ -237,26 +237,24 @@ def mixed_sizes(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: the columns of ``docs`` for every drawn copy, with
     copy, shard and place (the row's place within its shard).  Columns of those
-    names in ``docs`` are replaced."""
-    names = [c for c in docs.columns if c not in ("copy", "shard", "place")]
-    rows, _, drawn = draws(docs, keep=("doc_id",))
-    spots = drawn.join(rows.select("sid", "pos", "source", "size", F.col("_k0").alias("id")), ["sid", "pos"])
-    # rows of one source, doc_id and size are told apart by their rank
-    rank = Window.partitionBy("source", "id", "size").orderBy("pos")
-    number = rows.select("sid", "pos", "source", "size", F.col("_k0").alias("id")).withColumn(
-        "nth", F.row_number().over(rank)).select("sid", "pos", "nth")
-    spots = spots.join(number, ["sid", "pos"]).select(
-        F.xxhash64("source", "id", "size", "nth").alias("m1"), F.xxhash64(F.lit("b"), "nth", "size", "id", "source").alias("m2"),
-        "copy", "shard", "place")
-    size = common.word_count("text")
-    text = docs.select(*[F.col(f"`{c}`") for c in names], size.alias("_size"))
-    cols = [F.col(f"`{c}`") for c in names]
-    again = Window.partitionBy("source", "doc_id", "_size").orderBy(F.xxhash64(*cols))
-    text = text.withColumn("_nth", F.row_number().over(again))
-    text = text.select(*cols, F.xxhash64("source", "doc_id", "_size", "_nth").alias("_m1"),
-                       F.xxhash64(F.lit("b"), "_nth", "_size", "doc_id", "source").alias("_m2"))
-    return text.join(spots, (F.col("_m1") == F.col("m1")) & (F.col("_m2") == F.col("m2"))).select(
-        *cols, "copy", "shard", "place")
+    names in ``docs`` are replaced.
+
+    Rows are recognised by a hash of all their columns; rows equal in every
+    column are drawn one by one and share one text.  Texts are shuffled once,
+    to meet their draws.  See ``mixed_sizes`` for nulls and ties."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(*cols, F.xxhash64(*cols).alias("__llm_r1"),
+                         F.xxhash64(F.lit("second"), *cols[::-1]).alias("__llm_r2"))
+    rows, _, drawn = draws(marked, keep=("__llm_r1", "__llm_r2"))
+    spots = drawn.join(rows.select("sid", "pos", F.col("_k0").alias("m1"), F.col("_k1").alias("m2")), ["sid", "pos"])
+    spots = spots.select("m1", "m2", F.col("copy").alias("__llm_copy"), F.col("shard").alias("__llm_shard"),
+                         F.col("place").alias("__llm_place"))
+    one = Window.partitionBy("__llm_r1", "__llm_r2").orderBy(F.lit(0))
+    text = marked.withColumn("__llm_n", F.row_number().over(one)).where("__llm_n = 1")
+    names = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copy", "shard", "place")]
+    return text.join(spots, (F.col("__llm_r1") == F.col("m1")) & (F.col("__llm_r2") == F.col("m2"))).select(
+        *names, F.col("__llm_copy").alias("copy"), F.col("__llm_shard").alias("shard"),
+        F.col("__llm_place").alias("place"))
 
 
 def _sql() -> str:
