@@ -35,7 +35,7 @@ ASKED = "bucket int, block long, digest long, keys binary, notes array<binary>"
 
 def pack(values: np.ndarray) -> bytes:
     """An integer array as compressed byte planes; sorted keys as differences."""
-    flat = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    flat = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
     head = bytes([values.dtype.itemsize])
     return head + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(flat).tobytes())
 
@@ -43,7 +43,7 @@ def pack(values: np.ndarray) -> bytes:
 def unpack(data: bytes, kind: type) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
     size = data[0]
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(f"<u{size}").astype(kind)
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).reshape(-1).view(f"<u{size}").astype(kind)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
