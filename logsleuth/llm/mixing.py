@@ -114,7 +114,8 @@ def quotas(rows: DataFrame, sources: DataFrame, small: bool) -> tuple[DataFrame,
     need = need.checkpoint()
     rows = rows.join(F.broadcast(need.select("sid", "picked")) if small else need.select("sid", "picked"), "sid")
     extra = F.col("extra") | F.array_contains("picked", F.col("pos"))
-    return rows.withColumn("copies", F.col("epochs") + extra.cast("int")).drop("extra", "picked", "rest"), sources
+    copies = F.when(F.col("size") > 0, F.col("epochs") + extra.cast("int")).otherwise(0)
+    return rows.withColumn("copies", copies).drop("extra", "picked", "rest"), sources
 
 
 def _uniform(*parts: Column) -> Column:
