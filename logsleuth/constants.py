@@ -22,7 +22,6 @@ MINMAX_EPS = 1e-9
 IFOREST_N_ESTIMATORS = 100
 IFOREST_MAX_SAMPLES = 256
 OCSVM_NU = 0.05
-OCSVM_MAX_FIT_ROWS = 2000
 RANDOM_SEED = 42
 KMEANS_N_CLUSTERS = 5
 KMEANS_N_INIT = 10
@@ -49,6 +48,7 @@ ATTACK_SEVERITY = {
     "privilege_escalation": 4,
     "unknown_anomaly": 3,
 }
+TOP_SEVERITY = max(ATTACK_SEVERITY.values())
 
 # ---- FIXED VALUES: alert texts by attack type ------------------------------
 RECOMMENDATIONS = {

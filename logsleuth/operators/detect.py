@@ -1,25 +1,34 @@
-"""Anomaly ensemble (M3, M4): two detectors, normalised on the batch, combined.
+"""Anomaly ensemble (M3, M4): two detectors, scaled over the batch, combined.
 
 ``fit_detector`` standardises the feature columns (A17), grows the isolation
-forest (M1) and fits the one-class model (M2); ``score_detector`` scores any
-batch and ``combine_scores`` applies A16 + the weighted threshold (M3).
+forest (M1) and fits the one-class model (M2) on a stored table that holds the
+features only.  ``raw_scores`` adds both raw scores by one vectorised function
+of the feature columns; ``combine_scores`` applies A16 and the weighted
+threshold (M3) to stored scores, over the batch or over a frozen range.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
+from ..session import checkpoint_dir, ship_package
 from . import iforest as IF, ocsvm as OC
-from .scaling import column_stats, minmax, standardise
+from .scaling import column_range, column_stats, minmax, standardise
 
+RAW = ("iforest_raw", "ocsvm_raw")
 
-def combine_scores(df: DataFrame, raw_if: str = "iforest_raw", raw_oc: str = "ocsvm_raw",
-                   threshold: float = C.ANOMALY_SCORE_THRESHOLD) -> DataFrame:
-    """M3: min-max both raw scores over the batch, 0.65/0.35 blend, threshold."""
-    df = minmax(df, {raw_if: "iforest_score", raw_oc: "ocsvm_score"})
+
+def combine_scores(df: DataFrame, raw_if: str = RAW[0], raw_oc: str = RAW[1],
+                   threshold: float = C.ANOMALY_SCORE_THRESHOLD, fit: DataFrame | None = None) -> DataFrame:
+    """M3: min-max both raw scores, 0.65/0.35 blend, threshold.
+
+    ``fit`` (see ``scaling.column_range``) freezes the range; by default it is
+    that of the batch."""
+    df = minmax(df, {raw_if: "iforest_score", raw_oc: "ocsvm_score"}, fit=fit)
     score = (F.lit(C.ENSEMBLE_WEIGHT_IFOREST) * F.col("iforest_score")
              + F.lit(C.ENSEMBLE_WEIGHT_OCSVM) * F.col("ocsvm_score"))
     return df.withColumn("anomaly_score", score).withColumn(
@@ -32,29 +41,48 @@ class Detector:
     features: list[str]
     stats: DataFrame          # one row: feature means and population sds
     forest: DataFrame         # node table of the isolation forest
-    ocsvm: DataFrame          # one row: random-feature weights of the one-class model
+    ocsvm: DataFrame          # one row: weights over random Fourier features
+    range: DataFrame | None = None  # one row: raw score range of the batch it was fitted on
 
 
 def fit_detector(df: DataFrame, features: list[str], name: str = "detector",
                  n_trees: int = C.IFOREST_N_ESTIMATORS, seed: int = C.RANDOM_SEED) -> Detector:
     """M4: fit one detector on a feature frame (``row_id`` identifies rows)."""
-    stats = column_stats(df, features).cache()
-    z = standardise(df, features, "z_", stats)
+    checkpoint_dir(df.sparkSession)
+    narrow = df.select("row_id", *features).checkpoint()
+    stats = column_stats(narrow, features).checkpoint()
     zcols = [f"z_{c}" for c in features]
-    forest = IF.fit_forest(z, zcols, n_trees=n_trees, seed=seed).cache()
-    oc = OC.fit_ocsvm(z, zcols, seed=seed).cache()
-    return Detector(name, features, stats, forest, oc)
+    z = standardise(narrow, features, "z_", stats).select("row_id", *zcols)
+    forest = IF.fit_forest(z, zcols, n_trees=n_trees, seed=seed).checkpoint()
+    return Detector(name, features, stats, forest, OC.fit_ocsvm(z, zcols, seed=seed).checkpoint())
+
 
+def raw_scores(det: Detector, df: DataFrame) -> DataFrame:
+    """``df`` with both raw scores (higher = more anomalous), in one evaluation
+    that takes the standardised feature columns alone into Python."""
+    ship_package(df.sparkSession)
+    forest, linear = IF.model_of(df.sparkSession, det.forest), OC.model_of(det.ocsvm)
 
-def score_detector(det: Detector, df: DataFrame) -> DataFrame:
-    """Raw scores (higher = more anomalous) and the combined anomaly score."""
-    z = standardise(df, det.features, "z_", det.stats)
+    @F.pandas_udf(f"{RAW[0]} double, {RAW[1]} double")
+    def score(x: pd.DataFrame) -> pd.DataFrame:
+        values = x.to_numpy(dtype=float)
+        return pd.DataFrame({RAW[0]: IF.raw_score(values, forest), RAW[1]: OC.raw_score(values, linear)})
     zcols = [f"z_{c}" for c in det.features]
-    z = IF.score_forest(z, det.forest, zcols, out="iforest_raw")
-    z = OC.score_ocsvm(z, det.ocsvm, zcols, out="ocsvm_raw")
-    return combine_scores(z.drop(*zcols))
+    z = standardise(df, det.features, "z_", det.stats).withColumn("_raw", score(F.struct(*zcols)))
+    return z.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_raw.{r}").alias(r) for r in RAW])
+
+
+def score_detector(det: Detector, df: DataFrame, frozen: bool = False) -> DataFrame:
+    """Scores of a batch, over its own range or (``frozen``) that of the fit."""
+    checkpoint_dir(df.sparkSession)
+    scored = raw_scores(det, df).checkpoint()
+    return combine_scores(scored, fit=det.range if frozen else None)
 
 
-def detect(df: DataFrame, features: list[str], name: str = "detector", **kw) -> DataFrame:
-    """Fit on the batch and score the same batch (what the detection job does)."""
-    return score_detector(fit_detector(df, features, name, **kw), df)
+def detect(df: DataFrame, features: list[str], name: str = "detector", **kw) -> tuple[DataFrame, Detector]:
+    """Fit on the batch and score the same batch (what the detection job does):
+    the scored rows, and the detector with the batch's range."""
+    det = fit_detector(df, features, name, **kw)
+    scored = raw_scores(det, df).checkpoint()
+    det.range = column_range(scored, list(RAW)).checkpoint()
+    return combine_scores(scored, fit=det.range), det

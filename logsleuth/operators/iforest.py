@@ -12,8 +12,8 @@ fit
        ``n_trees * (2 * psi - 1)`` rows (51,100 for 100 trees) - a fixed bound.
 score
     The node table is shipped to executors as a broadcast variable and a
-    vectorised ``mapInPandas`` walks all trees for a whole Arrow batch at once;
-    the raw score is ``2 ** (-mean path length / c(psi))`` (higher = more
+    pandas function of the feature columns walks all trees for a whole Arrow
+    batch at once; the raw score is ``2 ** (-mean path length / c(psi))`` (higher = more
     anomalous), i.e. the negated ``score_samples`` of the usual formulation.
 """
 
@@ -23,11 +23,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as C
 from ..session import ship_package
 
+# ``max_samples`` rows a tree (256, the sub-sample size of the published
+# method) is a parameter of the method, not a limit on the input.
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "size int, depth int")
 EULER_GAMMA = 0.5772156649015329
@@ -144,22 +146,30 @@ def path_lengths(X: np.ndarray, packed) -> np.ndarray:
     return total / n_trees
 
 
-def score_forest(z: DataFrame, nodes: DataFrame, zcols: list[str],
-                 out: str = "iforest_raw") -> DataFrame:
-    """Add ``out`` = 2 ** (-E[h(x)] / c(psi)); higher is more anomalous."""
-    ship_package(z.sparkSession)
-    pdf = nodes.toPandas()          # bounded: n_trees * (2 * psi - 1) rows
+def model_of(spark, nodes: DataFrame):
+    """The fitted forest as a broadcast of packed arrays and c(psi); the node
+    table has at most n_trees * (2 * psi - 1) rows.  None for an empty one."""
+    pdf = nodes.toPandas()
+    if not len(pdf):
+        return None
     psi = int(pdf["psi"].iloc[0])
-    packed = _pack(pdf)
-    sc = z.sparkSession.sparkContext
-    bc = sc.broadcast(packed)
-    denom = float(avg_path_length(np.array([psi]))[0]) or 1.0
-    schema = T.StructType(z.schema.fields + [T.StructField(out, T.DoubleType())])
-
-    def score(batches):
-        model = bc.value
-        for b in batches:
-            X = b[zcols].to_numpy(dtype=float)
-            h = path_lengths(X, model) if len(X) else np.zeros(0)
-            yield b.assign(**{out: np.power(2.0, -h / denom)})
-    return z.mapInPandas(score, schema)
+    return spark.sparkContext.broadcast(_pack(pdf)), float(avg_path_length(np.array([psi]))[0]) or 1.0
+
+
+def raw_score(x: np.ndarray, model) -> np.ndarray:
+    """2 ** (-E[h(x)] / c(psi)) of each row; higher is more anomalous."""
+    if model is None or not len(x):
+        return np.zeros(len(x))
+    packed, denom = model
+    return np.power(2.0, -path_lengths(x, packed.value) / denom)
+
+
+def score_forest(z: DataFrame, nodes: DataFrame, zcols: list[str], out: str = "iforest_raw") -> DataFrame:
+    """Add the raw score; only the feature columns go to Python."""
+    ship_package(z.sparkSession)
+    model = model_of(z.sparkSession, nodes)
+
+    @F.pandas_udf("double")
+    def score(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(raw_score(x.to_numpy(dtype=float), model))
+    return z.withColumn(out, score(F.struct(*zcols)))

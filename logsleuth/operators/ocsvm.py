@@ -1,112 +1,134 @@
-"""One-class kernel model (M2): RBF one-class SVM (Schoelkopf et al., 2001).
-
-fit
-    The model is fitted on at most 2,000 rows, like the behaviour it
-    reproduces, but drawn by a seeded hash (reproducible).  The sample is one
-    bounded group; inside it the dual problem
-    ``min 1/2 a'Ka  s.t.  0 <= a_i <= 1/(nu m), sum a = 1`` is solved by
-    accelerated projected gradient; ``gamma = 1 / (n_features * Var(X))``.
-    Output: one row per support vector (``a_i > 0``) plus ``rho`` and ``gamma``
-    - at most 2,000 rows.
-score
-    Support vectors go to executors as a broadcast variable; a vectorised
-    ``mapInPandas`` computes ``-(sum_i a_i K(x_i, x) - rho)`` per Arrow batch
-    (higher = more anomalous).  Only the ordering matters downstream because
-    the ensemble min-max normalises it over the batch.
+"""One-class kernel model (M2): one-class SVM on random Fourier features.
+
+The RBF kernel is approximated by ``FEATURES`` random cosines (Rahimi and
+Recht, 2007), which turns the one-class SVM of Schoelkopf et al. (2001) into a
+linear problem over all rows:
+
+    min |w|^2 / 2   over   w = sum a_i f(x_i),  0 <= a_i <= 1 / (nu n),  sum a = 1.
+
+It is solved by Frank-Wolfe steps with exact line search.  The best vertex for
+the current ``w`` is the mean of the ``nu`` share of rows with the smallest
+``w . f(x)``, so a step is one pass: tasks sum the feature vectors by score
+range (``BINS`` ranges, a fixed size whatever the input), the sums are added by
+a Spark aggregate, and the lowest ranges that hold the ``nu`` share give the
+step.  Every row takes part in every step; no row leaves its task.
+
+The raw score is ``rho - w . f(x)`` (higher = more anomalous), ``rho`` being
+the ``nu`` quantile.  Only its order matters downstream, where the ensemble
+scales it over the batch.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..session import ship_package
 
+FEATURES = 64
+STEPS = 20
+BINS = 256
+TOLERANCE = 1e-3
+MODEL_SCHEMA = "gamma double, rho double, w array<double>, seed int, n_features int"
 
-def _project_capped_simplex(v: np.ndarray, cap: float) -> np.ndarray:
-    lo, hi = v.min() - 1.0, v.max()
-    for _ in range(60):
-        tau = 0.5 * (lo + hi)
-        s = np.clip(v - tau, 0.0, cap).sum()
-        if s > 1.0:
-            lo = tau
-        else:
-            hi = tau
-    return np.clip(v - 0.5 * (lo + hi), 0.0, cap)
-
-
-def _rbf(A: np.ndarray, B: np.ndarray, gamma: float) -> np.ndarray:
-    d = (A * A).sum(1)[:, None] + (B * B).sum(1)[None, :] - 2.0 * A @ B.T
-    return np.exp(-gamma * np.maximum(d, 0.0))
-
-
-def solve_dual(X: np.ndarray, nu: float, iters: int = 300):
-    m, d = X.shape
-    var = X.var()
-    gamma = 1.0 / (d * var) if var > 0 else 1.0
-    K = _rbf(X, X, gamma)
-    cap = 1.0 / (nu * m)
-    a = _project_capped_simplex(np.full(m, 1.0 / m), cap)
-    # Lipschitz constant of the gradient: largest eigenvalue of K (power iteration)
-    v = np.ones(m) / np.sqrt(m)
-    for _ in range(30):
-        v = K @ v
-        v /= np.linalg.norm(v) or 1.0
-    L = float(v @ K @ v) or 1.0
-    y, t = a.copy(), 1.0
-    for _ in range(iters):
-        a_next = _project_capped_simplex(y - (K @ y) / L, cap)
-        t_next = 0.5 * (1 + np.sqrt(1 + 4 * t * t))
-        y = a_next + ((t - 1) / t_next) * (a_next - a)
-        a, t = a_next, t_next
-    g = K @ a
-    free = (a > 1e-8 * cap) & (a < cap * (1 - 1e-6))
-    rho = float(g[free].mean()) if free.any() else float(0.5 * (g[a > 0].max() + g[a <= 0].min())
-                                                         if (a <= 0).any() else g.mean())
-    return a, rho, gamma
-
-
-def fit_ocsvm(z: DataFrame, zcols: list[str], nu: float = C.OCSVM_NU,
-              max_rows: int = C.OCSVM_MAX_FIT_ROWS, seed: int = C.RANDOM_SEED,
-              key: str = "row_id") -> DataFrame:
-    """Support vectors: (sv int, alpha double, rho double, gamma double, x array<double>)."""
-    ship_package(z.sparkSession)
-    u = (F.abs(F.xxhash64(F.col(key), F.lit(seed), F.lit("ocsvm"))) % 1_000_000_007) / 1_000_000_007.0
-    n = z.count()
-    keep = min(1.0, 4.0 * max_rows / max(n, 1))
-    cand = z.select(key, *zcols).withColumn("_u", u).where(F.col("_u") < keep)
-    w = Window.partitionBy(F.lit(0)).orderBy("_u", key)   # over <= 4 * max_rows candidates
-    sample = (cand.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_rows)
-                  .select(F.lit(0).alias("_g"), *zcols))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = pdf[zcols].to_numpy(dtype=float)
-        a, rho, gamma = solve_dual(X, nu)
-        sv = np.flatnonzero(a > 0)
-        return pd.DataFrame({"sv": sv.astype("int32"), "alpha": a[sv], "rho": rho,
-                             "gamma": gamma, "x": [X[i].tolist() for i in sv]})
-    return sample.groupBy("_g").applyInPandas(
-        fit, "sv int, alpha double, rho double, gamma double, x array<double>")
-
-
-def score_ocsvm(z: DataFrame, model: DataFrame, zcols: list[str],
-                out: str = "ocsvm_raw") -> DataFrame:
-    ship_package(z.sparkSession)
-    pdf = model.toPandas()          # bounded: <= max_rows support vectors
-    if len(pdf) == 0:
-        return z.withColumn(out, F.lit(0.0))
-    sv = np.vstack(pdf["x"].to_numpy())
-    alpha = pdf["alpha"].to_numpy()
-    rho, gamma = float(pdf["rho"].iloc[0]), float(pdf["gamma"].iloc[0])
-    bc = z.sparkSession.sparkContext.broadcast((sv, alpha, rho, gamma))
-    schema = T.StructType(z.schema.fields + [T.StructField(out, T.DoubleType())])
-
-    def score(batches):
-        s, a, r, g = bc.value
+
+def cosines(x: np.ndarray, gamma: float, seed: int, n: int = FEATURES) -> np.ndarray:
+    """Random Fourier features of the rows of ``x`` for exp(-gamma |x - y|^2)."""
+    rng = np.random.default_rng(seed)
+    freq = rng.normal(0.0, math.sqrt(2.0 * gamma), (x.shape[1], n))
+    shift = rng.uniform(0.0, 2.0 * math.pi, n)
+    return np.cos(x @ freq + shift) * math.sqrt(2.0 / n)
+
+
+def kernel_width(z: DataFrame, zcols: list[str]) -> float:
+    """gamma = 1 / (columns x variance of all entries)."""
+    each = F.array(*[F.col(c) for c in zcols])
+    total = z.select(F.explode(each).alias("v")).agg(F.var_pop("v")).first()[0]
+    return 1.0 / (len(zcols) * total) if total else 1.0
+
+
+def _pass(z: DataFrame, zcols: list[str], gamma: float, seed: int, w: np.ndarray | None):
+    """Rows and feature sums by range of ``w . f(x)``, as (n by range, sums by range)."""
+    reach = 1.0 if w is None else float(np.linalg.norm(w)) * math.sqrt(2.0) or 1.0
+
+    def sums(batches):
+        count, total = np.zeros(BINS), np.zeros((BINS, FEATURES))
         for b in batches:
-            X = b[zcols].to_numpy(dtype=float)
-            dec = _rbf(X, s, g) @ a - r if len(X) else np.zeros(0)
-            yield b.assign(**{out: -dec})
-    return z.mapInPandas(score, schema)
+            f = cosines(b.to_numpy(dtype=float), gamma, seed)
+            s = np.zeros(len(f)) if w is None else f @ w
+            at = np.clip(((s + reach) * (BINS / (2 * reach))).astype(int), 0, BINS - 1)
+            count += np.bincount(at, minlength=BINS)
+            np.add.at(total, at, f)
+        full = np.flatnonzero(count)
+        yield pd.DataFrame({"bin": full, "n": count[full], "f": [total[i].tolist() for i in full]})
+    parts = z.select(*zcols).mapInPandas(sums, "bin long, n double, f array<double>")
+    rows = parts.groupBy("bin").agg(
+        F.sum("n").alias("n"), *[F.sum(F.get("f", F.lit(i))).alias(f"f{i}") for i in range(FEATURES)])
+    count, total = np.zeros(BINS), np.zeros((BINS, FEATURES))
+    for r in rows.collect():  # at most BINS rows
+        count[r["bin"]] = r["n"]
+        total[r["bin"]] = [r[f"f{i}"] for i in range(FEATURES)]
+    return count, total, reach
+
+
+def _lowest(count: np.ndarray, total: np.ndarray, share: float) -> np.ndarray:
+    """Mean feature vector of the ``share`` rows with the smallest scores; the
+    range that is reached in part counts by that part."""
+    before = np.concatenate([[0.0], np.cumsum(count)[:-1]])
+    part = np.divide(np.clip(share - before, 0.0, count), count, out=np.zeros(BINS), where=count > 0)
+    return part @ total / share
+
+
+def fit_ocsvm(z: DataFrame, zcols: list[str], nu: float = C.OCSVM_NU, steps: int = STEPS,
+              seed: int = C.RANDOM_SEED) -> DataFrame:
+    """One row: gamma, rho, weights and what the features are drawn from.
+    ``z`` is read once a step and should be stored."""
+    spark = z.sparkSession
+    ship_package(spark)
+    gamma = kernel_width(z, zcols)
+    count, total, _ = _pass(z, zcols, gamma, seed, None)
+    n = count.sum()
+    if not n:
+        return spark.createDataFrame([], MODEL_SCHEMA)
+    w, rho = total.sum(0) / n, 0.0
+    for step in range(steps + 1):
+        count, total, reach = _pass(z, zcols, gamma, seed, w)
+        edges = np.linspace(-reach, reach, BINS + 1)
+        rho = float(edges[np.searchsorted(np.cumsum(count), nu * n) + 1])
+        vertex = _lowest(count, total, nu * n)
+        move = w - vertex
+        gap = float(w @ move)
+        if step == steps or gap <= TOLERANCE * float(w @ w):
+            break
+        w = w - min(1.0, gap / float(move @ move)) * move
+    model = [(gamma, rho, [float(x) for x in w], int(seed), FEATURES)]
+    return spark.createDataFrame(model, MODEL_SCHEMA)
+
+
+def model_of(table: DataFrame) -> dict | None:
+    """The one row of a fitted model as plain values, or None if it is empty."""
+    row = table.first()
+    return None if row is None else json.loads(json.dumps(row.asDict()))
+
+
+def raw_score(x: np.ndarray, model: dict | None) -> np.ndarray:
+    if model is None:
+        return np.zeros(len(x))
+    f = cosines(x, model["gamma"], model["seed"], model["n_features"])
+    return model["rho"] - f @ np.asarray(model["w"])
+
+
+def score_ocsvm(z: DataFrame, model: DataFrame, zcols: list[str], out: str = "ocsvm_raw") -> DataFrame:
+    """Add the raw score; only the feature columns go to Python."""
+    ship_package(z.sparkSession)
+    fitted = model_of(model)
+
+    @F.pandas_udf("double")
+    def score(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(raw_score(x.to_numpy(dtype=float), fitted))
+    return z.withColumn(out, score(F.struct(*zcols)))

@@ -39,15 +39,18 @@ def standardise(df: DataFrame, cols: list[str], prefix: str = "z_",
                                         *[f"_sd_{c}" for c in cols])
 
 
+def column_range(df: DataFrame, cols: list[str]) -> DataFrame:
+    """One row with the smallest and largest value of each column."""
+    return df.agg(*[F.min(c).alias(f"_min_{c}") for c in cols], *[F.max(c).alias(f"_max_{c}") for c in cols])
+
+
 def minmax(df: DataFrame, cols: dict[str, str], eps: float = C.MINMAX_EPS,
            fit: DataFrame | None = None) -> DataFrame:
-    """(x - min) / (max - min + eps) over the batch.
+    """(x - min) / (max - min + eps) over the batch, which is read twice
+    and should be stored.
 
-    ``fit`` (a one-row frame of ``_min_<col>``/``_max_<col>``) freezes the
-    range for incremental scoring instead of using the current batch."""
-    rng = fit if fit is not None else df.agg(
-        *[F.min(c).alias(f"_min_{c}") for c in cols], *[F.max(c).alias(f"_max_{c}") for c in cols])
-    joined = attach_scalars(df, rng)
+    ``fit`` (see ``column_range``) freezes the range for incremental scoring."""
+    joined = attach_scalars(df, fit if fit is not None else column_range(df, list(cols)))
     outs = {o: (F.col(i) - F.col(f"_min_{i}")) / (F.col(f"_max_{i}") - F.col(f"_min_{i}") + eps)
             for i, o in cols.items()}
     return joined.withColumns(outs).drop(*[f"_min_{c}" for c in cols],

@@ -1,8 +1,8 @@
 """Detection job (R6, phase 1): logs -> features -> model ensemble + rules -> alerts.
 
-One lazy plan per log type from scan to alerts.  Actions happen only where
-the models need them (row count for sampling, the fitted node table and
-support vectors, both bounded) and at the final write.
+Actions happen where the models need them (feature rows and raw scores are
+stored, the fitted node table and weights are of fixed size) and at the final
+write.
 """
 
 from __future__ import annotations
@@ -12,23 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import constants as C
 from ..operators import alerts as AL, detect as DT, features as FE
 from ..operators.clean import clean_network, clean_system
+from ..session import checkpoint_dir
 from ..sources import alert_store, csv_logs
 
 
+def _alerts(feats: DataFrame, columns: list[str], kind: str, detected_at: str | None, n_trees: int,
+            keep: tuple[str, ...]) -> DataFrame:
+    """Features are stored once: the fit reads their feature columns, the
+    scoring reads the rows."""
+    checkpoint_dir(feats.sparkSession)
+    scored, _ = DT.detect(feats.checkpoint(), columns, f"{kind}_detector", n_trees=n_trees)
+    return AL.build_alerts(scored, kind, detected_at, keep)
+
+
 def system_alerts(raw: DataFrame, window_minutes: int = C.WINDOW_MINUTES,
                   detected_at: str | None = None, n_trees: int = C.IFOREST_N_ESTIMATORS,
                   keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
-    feats = FE.system_features(clean_system(raw), window_minutes).cache()
-    scored = DT.detect(feats, C.SYSTEM_FEATURE_COLS, "system_detector", n_trees=n_trees)
-    return AL.build_alerts(scored, "system", detected_at, keep)
+    feats = FE.system_features(clean_system(raw), window_minutes)
+    return _alerts(feats, C.SYSTEM_FEATURE_COLS, "system", detected_at, n_trees, keep)
 
 
 def network_alerts(raw: DataFrame, window_minutes: int = C.WINDOW_MINUTES,
                    detected_at: str | None = None, n_trees: int = C.IFOREST_N_ESTIMATORS,
                    keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
-    feats = FE.network_features(clean_network(raw), window_minutes).cache()
-    scored = DT.detect(feats, C.NETWORK_FEATURE_COLS, "network_detector", n_trees=n_trees)
-    return AL.build_alerts(scored, "network", detected_at, keep)
+    feats = FE.network_features(clean_network(raw), window_minutes)
+    return _alerts(feats, C.NETWORK_FEATURE_COLS, "network", detected_at, n_trees, keep)
 
 
 def run_detection(spark: SparkSession, system_path: str, network_path: str, store_path: str,

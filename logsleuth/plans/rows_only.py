@@ -12,31 +12,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..operators import classify as CL, clustering as CU, detect as DT, features as FE
+from ..operators import classify as CL, clustering as CU, features as FE
 from ..operators import iforest as IF, ocsvm as OC, triage as TR, views as V
 from ..operators.scaling import standardise
+from ..session import checkpoint_dir
 from ..sources.report_io import report_json
 from . import bindings as B, catalog as Q, detection as D, intel as I
 
 
 def _sys_z(spark, d):
+    """Standardised features of the system log, stored: the fits read them more than once."""
     feats = FE.system_features(Q.sys_clean_df(spark, d), Q.W_SHORT)
-    z = standardise(feats, C.SYSTEM_FEATURE_COLS, prefix="z_")
-    return z, [f"z_{c}" for c in C.SYSTEM_FEATURE_COLS]
+    zc = [f"z_{c}" for c in C.SYSTEM_FEATURE_COLS]
+    checkpoint_dir(spark)
+    return standardise(feats, C.SYSTEM_FEATURE_COLS, prefix="z_").select("row_id", *zc).checkpoint(), zc
 
 
 def q_iforest(spark, d):
     z, zc = _sys_z(spark, d)
-    z = z.cache()
-    forest = IF.fit_forest(z, zc)
-    return IF.score_forest(z, forest, zc).select("row_id", "iforest_raw")
+    return IF.score_forest(z, IF.fit_forest(z, zc), zc).select("row_id", "iforest_raw")
 
 
 def q_ocsvm(spark, d):
     z, zc = _sys_z(spark, d)
-    z = z.cache()
-    model = OC.fit_ocsvm(z, zc)
-    return OC.score_ocsvm(z, model, zc).select("row_id", "ocsvm_raw")
+    return OC.score_ocsvm(z, OC.fit_ocsvm(z, zc), zc).select("row_id", "ocsvm_raw")
 
 
 def q_detect_system(spark, d):
@@ -64,7 +63,7 @@ def q_rf_classify(spark, d):
 
 
 def q_rf_holdout(spark, d):
-    scored = Q.scored_df(spark, d).cache()
+    scored = Q.scored_df(spark, d)
     return CL.holdout_report(CL.fit_classifier(scored), scored)
 
 
@@ -73,7 +72,7 @@ def q_response_assignment(spark, d):
 
 
 def q_report(spark, d):
-    alerts = Q.clustered_df(spark, d).cache()
+    alerts = Q.clustered_df(spark, d)
     summary = V.cluster_summary(alerts)
     rep = I.generate_report(alerts, summary, TR.triage_queue(alerts),
                             TR.response_assignment(alerts), Q.DETECTED_AT)
