@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column, functions as F
 
 from .. import constants as C
@@ -24,7 +26,8 @@ def ipv4_to_long(col) -> Column:
     """dotted quad -> a*2^24 + b*2^16 + c*2^8 + d.
 
     Only the first four parts are used (extra parts ignored), there is no range
-    check, and any unparsable part or fewer than four parts gives 0.
+    check, and any unparsable part, fewer than four parts or a value beyond a
+    long gives 0.
     """
     parts = F.split(_c(col).cast("string"), r"\.")
 
@@ -33,7 +36,9 @@ def ipv4_to_long(col) -> Column:
         # string -> bigint cast trims whitespace itself
         return F.get(parts, i).try_cast("bigint")
 
-    total = (part(0) * 16_777_216 + part(1) * 65_536 + part(2) * 256 + part(3))
+    total = part(3)
+    for i, weight in enumerate((16_777_216, 65_536, 256)):
+        total = F.try_add(total, F.try_multiply(part(i), F.lit(weight).cast("bigint")))
     return F.coalesce(total, F.lit(0).cast("bigint"))
 
 
@@ -51,47 +56,87 @@ def is_external_ip(col) -> Column:
     return F.when(internal, 0).otherwise(1)
 
 
-# FIXED VALUES: IPv4 networks treated as not global ("private") by Python's
-# ipaddress module, as (network address, prefix length).
+# FIXED VALUES: the special-purpose address registries as Python's ipaddress
+# module applies them: private networks and the public exceptions inside them.
 PRIVATE_V4 = [
     ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16),
-    ("172.16.0.0", 12), ("192.0.0.0", 29), ("192.0.0.170", 31), ("192.0.2.0", 24),
+    ("172.16.0.0", 12), ("192.0.0.0", 24), ("192.0.0.170", 31), ("192.0.2.0", 24),
     ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24),
     ("203.0.113.0", 24), ("240.0.0.0", 4), ("255.255.255.255", 32),
 ]
-# FIXED VALUES: IPv6 private prefixes (lower-case text prefixes of the
-# expanded form are not needed: these are tested on the canonical text).
-PRIVATE_V6_PREFIXES = ["fe80:", "fc", "fd", "2001:db8:", "2001:10:", "2001:2:",
-                       "64:ff9b:1:", "100::"]
-PRIVATE_V6_EXACT = ["::1", "::"]
+PUBLIC_V4 = [("192.0.0.9", 32), ("192.0.0.10", 32)]
+PRIVATE_V6 = [
+    ("::1", 128), ("::", 128), ("::ffff:0:0", 96), ("64:ff9b:1::", 48), ("100::", 64),
+    ("2001::", 23), ("2001:db8::", 32), ("2002::", 16), ("3fff::", 20), ("fc00::", 7), ("fe80::", 10),
+]
+PUBLIC_V6 = [
+    ("2001:1::1", 128), ("2001:1::2", 128), ("2001:3::", 32), ("2001:4:112::", 48),
+    ("2001:20::", 28), ("2001:30::", 28),
+]
+
+_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_QUAD = rf"({_OCTET}\.){{3}}{_OCTET}"
+
+
+def _in_v4(value: Column, networks: list[tuple[str, int]]) -> Column:
+    """Whether a 32-bit number lies in one of the networks."""
+    out = F.lit(False)
+    for net, size in networks:
+        low = int(ipaddress.IPv4Address(net))
+        out = out | value.between(low, low + (1 << (32 - size)) - 1)
+    return out
 
 
-def _v4_long(a, b, c, d):
-    return ((a * 256 + b) * 256 + c) * 256 + d
+def _in_v6(groups: Column, networks: list[tuple[str, int]]) -> Column:
+    """Whether eight 16-bit groups lie in one of the networks."""
+    out = F.lit(False)
+    for net, size in networks:
+        whole = ipaddress.IPv6Address(net).packed
+        hit = F.lit(True)
+        for i in range(0, -(-size // 16)):
+            spare = max(0, 16 * (i + 1) - size)
+            want = int.from_bytes(whole[2 * i:2 * i + 2], "big") >> spare
+            hit = hit & (F.shiftright(F.get(groups, F.lit(i)), spare) == want)
+        out = out | hit
+    return out
+
+
+def _v4_public(value: Column) -> Column:
+    return ~_in_v4(value, PRIVATE_V4) | _in_v4(value, PUBLIC_V4)
+
+
+def ipv6_groups(text: Column) -> Column:
+    """The eight groups of an IPv6 text as an array of numbers, or null if it
+    is not one.  A dotted tail stands for two groups, ``::`` for one or more."""
+    low = F.regexp_replace(F.lower(text), r"%[^%]+$", "")
+    tail = F.regexp_extract(low, rf":({_QUAD})$", 1)
+    number = ipv4_to_long(tail)
+    low = F.when(tail == "", low).otherwise(F.concat(
+        F.substring(low, F.lit(1), F.length(low) - F.length(tail)),
+        F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(F.lit(0xFFFF)))))
+    sides = F.split(F.lower(low), "::")
+
+    def groups(side: Column) -> Column:
+        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+    missing = F.lit(8) - F.size(left) - F.size(right)
+    all_ = F.when(F.size(sides) == 2, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)) \
+        .otherwise(left)
+    proper = (F.when(F.size(sides) == 1, F.size(left) == 8).when(F.size(sides) == 2, missing >= 1).otherwise(False)
+              & F.forall(all_, lambda g: g.rlike("^[0-9a-f]{1,4}$")))
+    return F.when(proper, F.transform(all_, lambda g: F.conv(g, 16, 10).cast("int")))
 
 
 def is_external_ip_strict(col) -> Column:
     """``ipaddress.ip_address(x).is_private`` -> 0, public -> 1, invalid -> 0.
 
-    IPv4 text must be four decimal octets 0-255 without leading zeros; the
-    private test is a range check against ``PRIVATE_V4``.  IPv6 is recognised
-    by its colon form and tested by prefix.
-    """
+    IPv4 text must be four decimal octets 0-255 without leading zeros.  IPv6
+    text is parsed to its eight groups; an IPv4-mapped address is judged by
+    the IPv4 address inside it."""
     v = _c(col).cast("string")
-    v4_ok = v.rlike(r"^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}"
-                    r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$")
-    n = ipv4_to_long(v)
-    in_private = None
-    for net, plen in PRIVATE_V4:
-        a, b, c, d = (int(x) for x in net.split("."))
-        lo = _v4_long(a, b, c, d)
-        hi = lo + (1 << (32 - plen)) - 1
-        cond = n.between(lo, hi)
-        in_private = cond if in_private is None else (in_private | cond)
-    low = F.lower(v)
-    v6_ok = low.rlike(r"^[0-9a-f:]+$") & low.contains(":") & (F.length(low) >= 2)
-    v6_private = low.isin(PRIVATE_V6_EXACT) | _any_prefix(low, PRIVATE_V6_PREFIXES)
-    return (F.when(v.isNull(), 0)
-            .when(v4_ok, F.when(in_private, 0).otherwise(1))
-            .when(v6_ok, F.when(v6_private, 0).otherwise(1))
-            .otherwise(0))
+    groups = ipv6_groups(v)
+    mapped = F.get(groups, F.lit(6)).cast("bigint") * 65_536 + F.get(groups, F.lit(7))
+    v6_public = F.when(_in_v6(groups, [("::ffff:0:0", 96)]), _v4_public(mapped)).otherwise(
+        ~_in_v6(groups, PRIVATE_V6) | _in_v6(groups, PUBLIC_V6))
+    public = F.when(v.rlike(rf"^{_QUAD}$"), _v4_public(ipv4_to_long(v))).when(groups.isNotNull(), v6_public)
+    return F.coalesce(public, F.lit(False)).cast("int")

@@ -107,14 +107,14 @@ def recommendation(attack_type="attack_type") -> Column:
 # ---- risk ------------------------------------------------------------------
 
 def _clip(c: Column, lo: float, hi: float) -> Column:
-    return F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(lo)), F.lit(hi)))
 
 
 def risk_score(severity: Column, conf: Column, ext: Column, attack_type: Column,
                hour: Column | None) -> Column:
-    """weighted sum scaled to 0-10, clipped, rounded half-even to 2 d.p."""
-    max_sev = max(C.ATTACK_SEVERITY.values()) or C.MAX_SEVERITY
-    sev_norm = _clip(severity.cast("double"), 0, max_sev) / max_sev
+    """weighted sum scaled to 0-10, clipped, rounded half-even to 2 d.p.
+    A null severity, confidence or external flag gives a null score."""
+    sev_norm = _clip(severity.cast("double"), 0, C.TOP_SEVERITY) / C.TOP_SEVERITY
     conf_norm = _clip(conf.cast("double"), 0, 100) / 100
     complexity = lookup(attack_type, C.COMPLEXITY, C.RISK_DEFAULT_COMPLEXITY)
     if hour is None:

@@ -58,7 +58,9 @@ def _prefix_sums(events: DataFrame, key: str, value_cols: list[str], bucket_ms:
     inside = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
     running = ev.select(key, "_b", "_row", *[F.sum(c).over(inside).alias(f"_r_{c}")
                                            for c in value_cols])
-    out = running.where(F.col("_row").isNotNull()).join(offsets, [key, "_b"], "left")
+    side = offsets.select(F.col(key).alias("_ok"), F.col("_b").alias("_ob"), *[f"_o_{c}" for c in value_cols])
+    out = running.where(F.col("_row").isNotNull()).join(
+        side, F.col(key).eqNullSafe(F.col("_ok")) & (F.col("_b") == F.col("_ob")), "left")
     return out.select("_row", *[(F.col(f"_r_{c}") + F.coalesce(F.col(f"_o_{c}"), F.lit(0)))
                                 .alias(c) for c in value_cols])
 
@@ -102,7 +104,7 @@ def window_distinct(df: DataFrame, key: str, ms: str, value: str, window_ms: int
     wb = F.floor(F.col(ms) / window_ms)
     occ = (df.where(F.col(value).isNotNull())
              .select(key, value, ms, wb.alias("_wb"))
-             .repartition(key, value, "_wb").distinct())
+             .distinct())   # partial on the map side, so a repeated port leaves a task once
     inb = Window.partitionBy(key, value, "_wb").orderBy(ms)
     occ = occ.withColumns({"_prev": F.lag(ms).over(inb), "_next": F.lead(ms).over(inb)})
     stats = occ.groupBy(key, value, "_wb").agg(F.min(ms).alias("_bmin"), F.max(ms).alias("_bmax"))
@@ -111,7 +113,9 @@ def window_distinct(df: DataFrame, key: str, ms: str, value: str, window_ms: int
         key, value, "_wb",
         F.when(F.lag("_wb").over(ob) == F.col("_wb") - 1, F.lag("_bmax").over(ob)).alias("_pmax"),
         F.when(F.lead("_wb").over(ob) == F.col("_wb") + 1, F.lead("_bmin").over(ob)).alias("_nmin"))
-    occ = occ.join(nb, [key, value, "_wb"], "left")
+    nb = nb.select(F.col(key).alias("_nk"), F.col(value).alias("_nv"), F.col("_wb").alias("_nw"), "_pmax", "_nmin")
+    occ = occ.join(nb, F.col(key).eqNullSafe(F.col("_nk")) & (F.col(value) == F.col("_nv"))
+                   & (F.col("_wb") == F.col("_nw")), "left")
     prev = F.coalesce(F.col("_prev"), F.col("_pmax"))
     nxt = F.coalesce(F.col("_next"), F.col("_nmin"))
     opens = prev.isNull() | (F.col(ms) - prev > window_ms)
