@@ -1,25 +1,28 @@
 """Campaign clustering.
 
-Both algorithms run on the standardised alert features after collapsing
+Both algorithms are fitted on the standardised alert features after collapsing
 identical feature vectors into one weighted point (hour and severity are
-discrete, so alerts repeat a lot): K-Means uses Spark ML with ``weightCol``;
-DBSCAN uses the weights as neighbour counts.  Labels are joined back to the
-alert rows on the feature vector.
+discrete, so alerts repeat a lot): K-Means uses Spark ML with ``weightCol`` and
+labels rows by a narrow ``transform``; DBSCAN uses the weights as neighbour
+counts and joins labels back on the feature values as read.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..session import checkpoint_dir
+from .components import connected_components
 from .ordering import global_position
-from .scaling import standardise
+from .scaling import column_stats, standardise
 
 
 def cluster_feature_columns(df: DataFrame) -> list[str]:
@@ -28,114 +31,133 @@ def cluster_feature_columns(df: DataFrame) -> list[str]:
     return cols or [c for c in C.CLUSTER_FEATURES_NET if c in df.columns]
 
 
-def _points(alerts: DataFrame, cols: list[str], order: list[str]):
-    """(rows with standardised helper columns, weighted distinct points, helper names)."""
+def _numbers(alerts: DataFrame, cols: list[str]):
+    """(alerts with helper columns of doubles, their names, one row of their mean and sd)."""
     xcols = [f"_x_{c}" for c in cols]
     num = alerts.withColumns({x: F.coalesce(F.col(c).cast("string").try_cast("double"),
                                             F.lit(0.0)) for x, c in zip(xcols, cols)})
-    z = standardise(num, xcols, prefix="_z").drop(*xcols)
-    zc = [f"_z{x}" for x in xcols]
+    checkpoint_dir(alerts.sparkSession)
+    return num, xcols, column_stats(num, xcols).checkpoint()
+
+
+def _points(num: DataFrame, xcols: list[str], stats: DataFrame, order: list[str]):
+    """Weighted distinct feature vectors, as read and standardised, with the
+    first row that has each."""
     okey = F.struct(*[F.col(c) for c in order]) if order else F.lit(0)
-    pts = z.groupBy(*zc).agg(F.count(F.lit(1)).cast("double").alias("weight"),
-                             F.min(okey).alias("_first"))
-    return z, pts, zc
+    pts = num.groupBy(*xcols).agg(F.count(F.lit(1)).cast("double").alias("weight"), F.min(okey).alias("_first"))
+    return standardise(pts, xcols, prefix="_z", stats=stats), [f"_z{x}" for x in xcols]
 
 
 def _order_cols(df: DataFrame) -> list[str]:
     return [c for c in ("log_type", "row_id") if c in df.columns]
 
 
-def kmeans_labels(alerts: DataFrame, k: int = C.KMEANS_N_CLUSTERS, n_init: int = C.KMEANS_N_INIT,
-                  seed: int = C.RANDOM_SEED, max_iter: int = 300,
-                  out: str = "cluster_kmeans") -> DataFrame:
-    """M5: K-Means (k = min(k, n)), best of ``n_init`` seeded fits by
-    training cost; labels renumbered by sorted centroid for stability.
-    Fewer than 5 alerts: every row gets cluster 0."""
-    n = alerts.count()
-    if n < C.CLUSTER_MIN_ROWS:
-        return alerts.withColumn(out, F.lit(0))
-    cols = cluster_feature_columns(alerts)
-    z, pts, zc = _points(alerts, cols, _order_cols(alerts))
-    pts = VectorAssembler(inputCols=zc, outputCol="_vec").transform(pts).cache()
-    kk = min(k, n)
+def fit_kmeans(alerts: DataFrame, k: int = C.KMEANS_N_CLUSTERS, n_init: int = C.KMEANS_N_INIT,
+               seed: int = C.RANDOM_SEED, max_iter: int = 300):
+    """M5: the best of ``n_init`` seeded fits by training cost, as a pipeline
+    model over the helper columns (assemble, scale, assign)."""
+    num, xcols, stats = _numbers(alerts, cluster_feature_columns(alerts))
+    pts, _ = _points(num, xcols, stats, _order_cols(alerts))
+    pts = pts.select(*xcols, "weight").checkpoint()
+    # the scaler is fitted on all rows through the weights of the points
+    row = stats.first()
+    prepare = Pipeline(stages=[VectorAssembler(inputCols=xcols, outputCol="_raw"), SQLTransformer(
+        statement="SELECT *, " + ", ".join(
+            f"({x} - ({row[f'_mean_{x}']!r}D)) / {row[f'_sd_{x}'] or 1.0!r}D AS _z{x}" for x in xcols)
+        + " FROM __THIS__"), VectorAssembler(inputCols=[f"_z{x}" for x in xcols], outputCol="_vec")]).fit(pts)
+    scaled = prepare.transform(pts).select("_vec", "weight").checkpoint()
     best, best_cost = None, None
     for i in range(n_init):
-        model = KMeans(k=kk, seed=seed + i, maxIter=max_iter, featuresCol="_vec",
-                       weightCol="weight", predictionCol="_lbl", initMode="k-means||").fit(pts)
+        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_vec",
+                       weightCol="weight", predictionCol="_lbl", initMode="k-means||").fit(scaled)
         cost = model.summary.trainingCost
         if best_cost is None or cost < best_cost:
             best, best_cost = model, cost
-    centers = [tuple(float(x) for x in c) for c in best.clusterCenters()]
+    return PipelineModel(stages=[*prepare.stages, best])
+
+
+def assign_kmeans(model, alerts: DataFrame, out: str = "cluster_kmeans") -> DataFrame:
+    """Labels of a fitted (or loaded) model for any alerts: a narrow
+    projection.  Clusters are numbered by sorted centroid."""
+    xcols = [c[2:] for c in model.stages[2].getInputCols()]
+    num = alerts.withColumns({x: F.coalesce(F.col(x[3:]).cast("string").try_cast("double"), F.lit(0.0))
+                              for x in xcols})
+    centers = [tuple(float(x) for x in c) for c in model.stages[-1].clusterCenters()]
     rank = {old: new for new, old in enumerate(sorted(range(len(centers)), key=lambda j: centers[j]))}
     relabel = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
-    lab = best.transform(pts).select(*zc, relabel[F.col("_lbl")].cast("int").alias(out))
-    pts.unpersist()
-    return z.join(lab, zc, "left").drop(*zc)
+    return model.transform(num).select(*[F.col(f"`{c}`") for c in alerts.columns],
+                                       relabel[F.col("_lbl")].cast("int").alias(out))
+
+
+def kmeans_labels(alerts: DataFrame, k: int = C.KMEANS_N_CLUSTERS, out: str = "cluster_kmeans", **kw) -> DataFrame:
+    """M5: k = min(k, n) clusters.  Fewer than ``CLUSTER_MIN_ROWS`` alerts:
+    every row gets cluster 0 (a rule of the operator)."""
+    n = alerts.count()
+    if n < C.CLUSTER_MIN_ROWS:
+        return alerts.withColumn(out, F.lit(0))
+    return assign_kmeans(fit_kmeans(alerts, min(k, n), **kw), alerts, out)
 
 
 def dbscan_labels(alerts: DataFrame, eps: float = C.DBSCAN_EPS,
-                  min_samples: int = C.DBSCAN_MIN_SAMPLES, out: str = "cluster_dbscan",
-                  max_rounds: int = 200) -> DataFrame:
+                  min_samples: int = C.DBSCAN_MIN_SAMPLES, out: str = "cluster_dbscan") -> DataFrame:
     """M6: DBSCAN on the standardised features.
 
-    Grid cells of side ``eps``; each weighted point probes its 3^d
-    neighbouring cells and keeps partners within ``eps`` (exact distance).
-    Core: weight of the neighbourhood (self included) >= ``min_samples``.
-    Core points are connected by min-label propagation (checkpointed every
-    few rounds); clusters are numbered by their earliest core row; border
-    points take the smallest adjacent cluster; noise is -1.
+    Points of one fine cell (side eps / sqrt(d)) are within eps of each other:
+    a fine cell with enough weight is core as a whole and linked as a star, its
+    pairs are never formed.  Other pairs are found through coarse cells of
+    side eps (each point probes the 3^d around it) and verified exactly.  Core:
+    weight of the neighbourhood (self included) >= ``min_samples``.  Core
+    points are connected to convergence by star contraction; clusters are
+    numbered by their earliest core row; border points take the smallest
+    adjacent cluster; noise is -1.
     """
     n = alerts.count()
     if n < C.CLUSTER_MIN_ROWS:
         return alerts.withColumn(out, F.lit(0))
-    checkpoint_dir(alerts.sparkSession)
     cols = cluster_feature_columns(alerts)
-    z, pts, zc = _points(alerts, cols, _order_cols(alerts))
+    num, xcols, stats = _numbers(alerts, cols)
+    pts, zc = _points(num, xcols, stats, _order_cols(alerts))
     d = len(zc)
-    pts = pts.withColumn("_pid", F.xxhash64(*zc)).withColumn(
-        "_cell", F.array(*[F.floor(F.col(c) / eps).cast("long") for c in zc]))
-    pts = pts.checkpoint()
+    # ids are given once: the checkpoint fixes them
+    pts = pts.withColumns({
+        "_pid": F.monotonically_increasing_id(),
+        "_cell": F.array(*[F.floor(F.col(c) / eps).cast("long") for c in zc]),
+        "_fine": F.array(*[F.floor(F.col(c) * (math.sqrt(d) / eps)).cast("long") for c in zc])}).checkpoint()
+    heavy = pts.groupBy("_fine").agg(F.sum("weight").alias("_fw"), F.min("_pid").alias("_hub")).where(
+        F.col("_fw") >= min_samples)
+    pts = pts.join(heavy.select("_fine", "_hub"), "_fine", "left").checkpoint()
     offsets = [list(o) for o in product((-1, 0, 1), repeat=d)]
-    probe = pts.select("_pid", *[F.col(c).alias(f"a_{c}") for c in zc], "weight",
+    probe = pts.select("_pid", "_hub", *[F.col(c).alias(f"a_{c}") for c in zc],
                        F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets]))
                        .alias("_off"), "_cell")
-    probe = probe.withColumn("_ncell", F.zip_with("_cell", "_off", lambda a, b: a + b)).drop(
-        "_cell", "_off")
-    other = pts.select(F.col("_pid").alias("_nid"), F.col("_cell").alias("_ncell"),
+    probe = probe.withColumn("_ncell", F.zip_with("_cell", "_off", lambda a, b: a + b)).drop("_cell", "_off")
+    other = pts.select(F.col("_pid").alias("_nid"), F.col("_cell").alias("_ncell"), F.col("_hub").alias("_nhub"),
                        *[F.col(c).alias(f"b_{c}") for c in zc], F.col("weight").alias("_nw"))
     dist2 = reduce(lambda a, b: a + b, [(F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in zc])
-    edges = (probe.join(other, "_ncell").where(dist2 <= eps * eps)
+    # pairs inside one heavy cell are left out; their star stands for them
+    edges = (probe.join(other, "_ncell").where((dist2 <= eps * eps) & ~F.coalesce(F.col("_hub") == F.col("_nhub"),
+                                                                                 F.lit(False)))
                   .select("_pid", "_nid", "_nw").checkpoint())
-    core = (edges.groupBy("_pid").agg(F.sum("_nw").alias("_nsum"))
-                 .where(F.col("_nsum") >= min_samples).select("_pid"))
-    core_edges = (edges.join(core, "_pid", "left_semi")
-                       .join(core.withColumnRenamed("_pid", "_nid"), "_nid", "left_semi")
-                       .select("_pid", "_nid"))
-    labels = core.withColumn("_lab", F.col("_pid"))
-    for i in range(max_rounds):
-        nb = (core_edges.join(labels.withColumnRenamed("_pid", "_nid")
-                              .withColumnRenamed("_lab", "_nlab"), "_nid")
-                        .groupBy("_pid").agg(F.min("_nlab").alias("_m")))
-        new = (labels.join(nb, "_pid", "left")
-                     .select("_pid", F.least("_lab", F.coalesce("_m", "_lab")).alias("_lab"))
-                     .checkpoint())
-        changed = new.join(labels.withColumnRenamed("_lab", "_old"), "_pid").where(
-            F.col("_lab") != F.col("_old")).limit(1).count()
-        labels = new
-        if changed == 0:
-            break
-    first = pts.select("_pid", "_first")
-    comp = (labels.join(first, "_pid").groupBy("_lab").agg(F.min("_first").alias("_f")))
+    light = (edges.join(pts.where("_hub IS NULL").select("_pid"), "_pid", "left_semi")
+             .groupBy("_pid").agg(F.sum("_nw").alias("_nsum")).where(F.col("_nsum") >= min_samples).select("_pid"))
+    core = light.union(pts.where("_hub IS NOT NULL").select("_pid")).checkpoint()
+    linked = (edges.where("_pid < _nid").select("_pid", "_nid")
+              .join(core, "_pid", "left_semi")
+              .join(core.withColumnRenamed("_pid", "_nid"), "_nid", "left_semi").select("_pid", "_nid")
+              .union(pts.where("_hub IS NOT NULL AND _hub <> _pid").select("_pid", "_hub")))
+    comps = connected_components(linked, "_pid", "_nid").withColumnRenamed("node", "_pid")
+    labels = core.join(comps, "_pid", "left").select("_pid", F.coalesce("component", "_pid").alias("_lab"))
+    comp = labels.join(pts.select("_pid", "_first"), "_pid").groupBy("_lab").agg(F.min("_first").alias("_f"))
     numbered = (global_position(comp, ["_f", "_lab"], "_pos")   # one row per cluster
                 .select("_lab", F.col("_pos").cast("int").alias("_cid")))
-    core_lab = labels.join(numbered, "_lab").select("_pid", "_cid")
+    core_lab = labels.join(numbered, "_lab").select("_pid", "_cid").checkpoint()
     border = (edges.join(core_lab.withColumnRenamed("_pid", "_nid"), "_nid")
                    .join(core, "_pid", "left_anti")
                    .groupBy("_pid").agg(F.min("_cid").alias("_cid")))
-    all_lab = core_lab.unionByName(border)
-    lab = (pts.join(all_lab, "_pid", "left")
-              .select(*zc, F.coalesce("_cid", F.lit(-1)).cast("int").alias(out)))
-    return z.join(lab, zc, "left").drop(*zc)
+    lab = (pts.join(core_lab.unionByName(border), "_pid", "left")
+              .select(*xcols, F.coalesce("_cid", F.lit(-1)).cast("int").alias(out)))
+    # joined on the values as read, not on computed ones
+    return num.join(lab, xcols, "left").drop(*xcols)
 
 
 def fit_predict(alerts: DataFrame, **kw) -> DataFrame:
