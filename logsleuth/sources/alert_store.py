@@ -7,33 +7,44 @@ so runs with different optional columns union with nulls (U1).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import constants as C
 from .csv_logs import _exists
 
 
 def save_alerts(alerts: DataFrame, path: str) -> None:
-    """Append; a frame without rows writes nothing."""
-    if alerts.isEmpty():
-        return
+    """Append.  A frame without rows adds no data files (its write makes
+    an empty folder at most), so the plan runs once."""
     alerts.write.mode("append").partitionBy("log_type").parquet(path)
 
 
 def load_alerts(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored alerts whose ``data_origin`` is the collected one.
 
-    Returns ``None`` when the store does not exist or has no ``data_origin``
-    column (the reference returns an empty frame in both cases)."""
-    if not _exists(spark, path):
+    Blank text comes back as null.  Returns ``None`` when the store does not
+    exist, holds no data or has no ``data_origin`` column."""
+    if not _exists(spark, path) or not _has_data(spark, path):
         return None
     spark.catalog.refreshByPath(path)       # other runs may have appended files
     df = spark.read.option("mergeSchema", True).parquet(path)
     if "data_origin" not in df.columns:
         return None
+    df = df.select(*[F.when(F.col(f"`{f.name}`") != "", F.col(f"`{f.name}`")).alias(f.name)
+                     if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
     return df.where(F.col("data_origin") == C.DATA_ORIGIN)
 
 
+def _has_data(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a Parquet file, at any depth."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    while files.hasNext():
+        if files.next().getPath().getName().endswith(".parquet"):
+            return True
+    return False
+
+
 def load_alerts_csv(spark: SparkSession, path: str) -> DataFrame | None:
     """S8 for a CSV store: malformed lines are kept as nulls (PERMISSIVE);
     blank text comes back as null, like a pandas re-read."""

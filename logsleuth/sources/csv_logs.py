@@ -8,7 +8,7 @@ Filters and projections applied afterwards are pushed into the scan.
 
 from __future__ import annotations
 
-import os
+import csv
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -17,34 +17,60 @@ from ..functions.text import na_to_null
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    """Asked of the file system that the path (or the cluster's default) names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _header(spark: SparkSession, path: str) -> list[str] | None:
-    """Column names from the first line (one tiny read, no data pass)."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return None
-    import csv
-    return next(csv.reader([first[0][0].lstrip("\ufeff")]))
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Data files of a path, in name order: the file itself or those of a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(p) if s.isFile()]
+    return sorted(x.toString() for x in found if x.getName()[0] not in "._")
+
+
+def _first_line(spark: SparkSession, file: str) -> str | None:
+    """The first line of a file, decompressed by its suffix; no data pass."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(file)
+    stream = p.getFileSystem(conf).open(p)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+        codec.createInputStream(stream) if codec else stream, "UTF-8"))
+    try:
+        return lines.readLine()
+    finally:
+        lines.close()
+
+
+def _headers(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Files by their header; empty files are left out."""
+    out: dict[tuple[str, ...], list[str]] = {}
+    for file in files:
+        if line := _first_line(spark, file):
+            out.setdefault(tuple(next(csv.reader([line.lstrip("\ufeff")]))), []).append(file)
+    return out
 
 
 def read_log_csv(spark: SparkSession, path: str, required: list[str],
                  label: str = "log CSV") -> DataFrame:
+    """A header CSV, or a folder of them, as strings.  Columns are matched by
+    name: files with another header are scanned with their own and united."""
     if not _exists(spark, path):
         raise FileNotFoundError(f"{label} not found: {path}")
-    names = _header(spark, path)
-    if names is None:
+    headers = _headers(spark, _files(spark, path))
+    if not headers:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in required])
         return spark.createDataFrame([], schema)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-    df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
-               .option("multiLine", False).option("escape", '"').csv(path))
-    return df.select(*[na_to_null(F.col(c)).alias(c) for c in df.columns])
+    out = None
+    for names, files in headers.items():
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        df = (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+                   .option("multiLine", False).option("escape", '"').csv(files))
+        df = df.select(*[na_to_null(F.col(f"`{c}`")).alias(c) for c in df.columns])
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def read_system_logs(spark: SparkSession, path: str) -> DataFrame:

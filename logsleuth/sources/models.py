@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from .csv_logs import _exists
+
 
 def save_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
@@ -14,18 +17,27 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_detector(det, path: str) -> None:
-    """Isolation-forest node table, one-class support vectors, scaler stats."""
+    """Isolation-forest node table, one-class weights, scaler stats and, where
+    the batch has been scored, the frozen score range."""
     save_table(det.forest, f"{path}/forest")
     save_table(det.ocsvm, f"{path}/ocsvm")
     save_table(det.stats, f"{path}/stats")
+    if det.range is not None:
+        save_table(det.range, f"{path}/range")
 
 
 def load_detector(spark: SparkSession, path: str, features: list[str], name: str = "detector"):
     from ..operators.detect import Detector
+    span = load_table(spark, f"{path}/range") if _exists(spark, f"{path}/range") else None
     return Detector(name, features, load_table(spark, f"{path}/stats"),
-                    load_table(spark, f"{path}/forest"), load_table(spark, f"{path}/ocsvm"))
+                    load_table(spark, f"{path}/forest"), load_table(spark, f"{path}/ocsvm"), span)
 
 
 def save_ml_model(model, path: str) -> None:
     """Spark ML models (K-Means, random forest, string indexer)."""
     model.write().overwrite().save(path)
+
+
+def load_ml_model(path: str) -> PipelineModel:
+    """A stored K-Means or classifier pipeline."""
+    return PipelineModel.load(path)

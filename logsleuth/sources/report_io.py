@@ -25,7 +25,7 @@ def report_json(report: DataFrame) -> DataFrame:
 def read_report(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """The stored report, or an error record when it is missing."""
     if not _exists(spark, path):
-        return spark.createDataFrame([("Report not generated yet. Run main.py first.",)],
+        return spark.createDataFrame([("no report has been written yet",)],
                                      "error string")
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.json(path)

@@ -40,16 +40,26 @@ def parse_events(xml_rows: DataFrame, col: str = "xml") -> DataFrame:
         F.coalesce(data, F.create_map().cast("map<string,string>")).alias("data"))
 
 
+def quick_fields(xml_rows: DataFrame, col: str = "xml") -> DataFrame:
+    """``win_event_id`` and ``time_ts`` cut from the document text, so that
+    ``source_filter`` can drop documents before they are parsed."""
+    return xml_rows.withColumns({
+        "win_event_id": F.regexp_extract(col, r"<EventID[^>]*>\s*([0-9]+)\s*</EventID>", 1).try_cast("int"),
+        "time_ts": F.regexp_extract(col, r"<TimeCreated[^>]*SystemTime=[\"']([^\"']+)[\"']", 1).try_cast("timestamp")})
+
+
 def source_filter(events: DataFrame, start: Column | str, ids: list[int] | None = None,
-                  max_events: int | None = None, time_col: str = "time_ts") -> DataFrame:
+                  max_events: int | None = None, time_col: str = "time_ts",
+                  tie: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """Time and id predicates (pushed to the scan on a partitioned store)
-    and the collector's newest-first event cap (``max_events``)."""
+    and the collector's newest-first event cap (``max_events``); equal times
+    are cut by the ``tie`` columns."""
     start_c = F.lit(start).cast("timestamp") if isinstance(start, str) else start
     out = events.where(F.col(time_col) >= start_c)
     if ids:
         out = out.where(F.col("win_event_id").isin(ids))
     if max_events:
-        out = out.orderBy(F.desc(time_col)).limit(max_events)
+        out = out.orderBy(F.desc(time_col), *[c for c in tie if c in out.columns]).limit(max_events)
     return out
 
 
