@@ -10,7 +10,6 @@ themselves are registered separately (rows-only checks).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import constants as C
@@ -23,6 +22,7 @@ from . import bindings as B
 
 W_SHORT = C.WINDOW_MINUTES       # default look-back
 W_LONG = 120                     # the test data is sparse: 10 minutes never reaches 10 ports
+W_STREAM = 360                   # the look-back at which the brute-force rule fires here
 DETECTED_AT = "2024-02-01 00:00:00"
 
 
@@ -36,46 +36,32 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 _SHARED: dict[tuple, DataFrame] = {}
 
 
-def shared(spark: SparkSession, key: tuple, build, written: bool = False) -> DataFrame:
-    """An intermediate that several branches and queries read: the cleaned
-    logs (the look-back windows read them twice, first-seen codes once more)
-    and the alert table every view reads.
-
-    Cleaned logs are persisted (memory, spilling to executor disk; lost
-    blocks are recomputed from lineage), so a job scans the source once
-    instead of once per branch.  The alert table (``written=True``) is written
-    with ``checkpoint()`` to the shared ``spark.checkpoint.dir``, like the
-    stored alerts of a run: views start from that table, so their plans stay
-    small and no lineage back to the source is replayed.  Either DataFrame is
-    kept per application and folder, so later queries reuse it."""
+def shared(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """A table that many queries start from, written with ``checkpoint()`` to
+    the shared ``spark.checkpoint.dir`` like the stored alerts of a run, and
+    kept per application and folder."""
     k = (spark.sparkContext.applicationId, *key)
-    df = _SHARED.get(k)
-    if df is None:
-        if written:
-            checkpoint_dir(spark)
-            df = build().checkpoint()
-        else:
-            df = build().persist(StorageLevel.MEMORY_AND_DISK)
-        _SHARED[k] = df
-    return df
+    if k not in _SHARED:
+        checkpoint_dir(spark)
+        _SHARED[k] = build().checkpoint()
+    return _SHARED[k]
 
 
 def release_shared(spark: SparkSession) -> None:
-    """Drop this application's shared tables (unpersist the cleaned logs;
-    checkpoint files are removed with the checkpoint folder)."""
+    """Forget this application's shared tables; their files go with the
+    checkpoint folder or when the cleaner finds them unused."""
     app = spark.sparkContext.applicationId
     for k in [k for k in _SHARED if k[0] == app]:
-        _SHARED.pop(k).unpersist()
+        del _SHARED[k]
 
 
 def sys_clean_df(spark, d) -> DataFrame:
-    return shared(spark, ("sys_clean", d),
-                  lambda: clean_system(B.security_log(events(spark, d))))
+    """Not stored: each query scans the columns it needs."""
+    return clean_system(B.security_log(events(spark, d)))
 
 
 def net_clean_df(spark, d) -> DataFrame:
-    return shared(spark, ("net_clean", d),
-                  lambda: clean_network(B.network_log(events(spark, d))))
+    return clean_network(B.network_log(events(spark, d)))
 
 
 def sys_feat_df(spark, d, minutes=W_LONG) -> DataFrame:
@@ -100,8 +86,7 @@ def net_alerts_df(spark, d) -> DataFrame:
 def alerts_df(spark, d) -> DataFrame:
     """The alert table every view reads (the stored alerts of a run)."""
     return shared(spark, ("alerts", d),
-                  lambda: AL.union_alerts(sys_alerts_df(spark, d), net_alerts_df(spark, d)),
-                  written=True)
+                  lambda: AL.union_alerts(sys_alerts_df(spark, d), net_alerts_df(spark, d)))
 
 
 def scored_df(spark, d) -> DataFrame:
@@ -120,6 +105,17 @@ def out(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+# addresses with the result that Python's ipaddress gives (1 public, 0 not)
+STRICT_ADDRESSES = {
+    "00:1a:2b:3c:4d:5e": 0, "12:34": 0, "fd1::1": 1, "fc::1": 1, "fc00::1": 0, "fdff::1": 0, "fe90::1": 0,
+    "febf::1": 0, "fec0::1": 1, "2001::1": 0, "2001:200::1": 1, "2002::1": 0, "2001:db8::8": 0, "2606:4700::1111": 1,
+    "2001:4:112::1": 1, "2001:20::7": 1, "3fff::1": 0, "::ffff:8.8.8.8": 1, "::ffff:10.0.0.1": 0, "::8.8.8.8": 1,
+    "64:ff9b:1::1": 0, "64:ff9b::1": 1, "100::1": 0, "1::2::3": 0, "::": 0, "1:2:3:4:5:6:7:8": 1, "1:2:3:4:5:6:7::": 1,
+    "1:2:3:4:5:6:7:8::": 0, "192.0.0.8": 0, "192.0.0.9": 1, "192.0.0.100": 0, "192.0.1.1": 1, "198.20.0.1": 1,
+    "255.255.255.255": 0, "9999999999999.1.1.1": 0, "99999999999999999999.1.1.1": 0,
+}
+
+
 def address_probe(spark, d) -> DataFrame:
     """Address texts derived from events, covering the F3-F5 edge shapes."""
     e = events(spark, d)
@@ -128,6 +124,8 @@ def address_probe(spark, d) -> DataFrame:
     v = F.pmod(F.col("event_id"), F.lit(12))
     dotted = F.concat_ws(".", a.cast("string"), b.cast("string"), c.cast("string"),
                          (F.col("user_id") % 256).cast("string"))
+    strict = F.get(F.array(*[F.lit(x) for x in STRICT_ADDRESSES]),
+                   F.pmod(F.floor(F.col("event_id") / 12), F.lit(len(STRICT_ADDRESSES))).cast("int"))
     text = (F.when(v == 0, dotted)
              .when(v == 1, F.concat(dotted, F.lit(".7")))
              .when(v == 2, F.concat_ws(".", a.cast("string"), b.cast("string"), c.cast("string")))
@@ -138,7 +136,7 @@ def address_probe(spark, d) -> DataFrame:
              .when(v == 7, F.lit("::1"))
              .when(v == 8, F.concat(F.lit("198.18."), b.cast("string"), F.lit(".1")))
              .when(v == 9, F.concat(F.lit("100.64.0."), b.cast("string")))
-             .when(v == 10, F.concat(F.lit("fe80::"), b.cast("string")))
+             .when(v == 10, strict)
              .otherwise(F.lit("unknown")))
     return e.select(F.col("event_id").alias("row_id"), text.alias("address"))
 
@@ -182,8 +180,8 @@ def q_external_ip_strict(spark, d):
 
 
 def q_category_codes(spark, d):
-    return net_clean_df(spark, d).select("row_id", "protocol", "protocol_code", "log_type",
-                                         "log_type_code")
+    net = clean_network(B.network_log(events(spark, d)), order_col="_none")  # no first-seen codes asked for
+    return net.select("row_id", "protocol", "protocol_code", "log_type", "log_type_code")
 
 
 def q_first_seen_code(spark, d):
@@ -518,10 +516,11 @@ def q_flow_group(spark, d):
 
 
 def q_source_filter(spark, d):
-    from ..sources.winevent import source_filter
-    ev = parsed_events(spark, d)
-    out = source_filter(ev, "2024-01-15 00:00:00", ids=[C.LOGON_FAILED_ID], max_events=800)
-    return out.select("row_id", "win_event_id", "time_created", "provider")
+    from ..sources.winevent import parse_events, quick_fields, source_filter
+    left = source_filter(quick_fields(event_xml(spark, d)), "2024-01-15 00:00:00",
+                         ids=[C.LOGON_FAILED_ID], max_events=800)
+    parsed = parse_events(left.drop("win_event_id"))
+    return parsed.select("row_id", "win_event_id", "time_created", "provider")
 
 
 def q_table_sink(spark, d):
@@ -536,25 +535,31 @@ def events_stream(spark, d, schema) -> DataFrame:
                  .option("maxFilesPerTrigger", 1).parquet(d))
 
 
-def q_live_counts(spark, d):
-    """Z1 on a stream of the events table: alert rows per event-time hour."""
-    from ..streaming.live import hourly_counts, run_available
+def judged_stream(spark, d, minutes: int, keep: tuple[str, ...] = ()) -> str:
+    """Folder of the rule's output on a stream of the events table."""
+    from ..streaming.live import append_to, brute_force_stream
     e = events(spark, d)
-    stream = events_stream(spark, d, e.schema)
-    clean = clean_system(B.security_log(stream))
-    alerts = B.standin_scores(clean).where((F.col("is_anomaly") == 1) | (F.col("event_code") == 2))
-    res = run_available(spark, hourly_counts(alerts), mode="complete")
+    clean = B.standin_scores(clean_system(B.security_log(events_stream(spark, d, e.schema))))
+    return append_to(spark, brute_force_stream(clean, minutes, keep))
+
+
+def q_live_counts(spark, d):
+    """Z1 on the stored output of the rule stream: alerts per event-time hour,
+    by model score, privilege escalation or brute force."""
+    from ..streaming.live import hourly_counts, upsert_to
+    judged = judged_stream(spark, d, W_STREAM, ("is_anomaly", "event_code"))
+    schema = spark.read.parquet(judged).schema
+    rows = spark.readStream.schema(schema).parquet(judged)
+    alerts = rows.where((F.col("is_anomaly") == 1) | (F.col("event_code") == 2)
+                        | (F.col("heuristic_brute_force") == 1))
+    res = upsert_to(spark, hourly_counts(alerts), "hour_start")
     return res.select(F.col("hour_start").cast("timestamp_ntz").alias("hour_start"), "alert_count")
 
 
 def q_rule_stream(spark, d):
     """Z2 on a stream of the events table: look-back brute-force rule."""
-    from ..streaming.live import brute_force_stream, run_available
-    e = events(spark, d)
-    stream = events_stream(spark, d, e.schema)
-    clean = clean_system(B.security_log(stream))
-    res = run_available(spark, brute_force_stream(clean, W_SHORT), mode="append")
-    return res.select("row_id", "ip_event_count", "ip_failed_count", "heuristic_brute_force")
+    return spark.read.parquet(judged_stream(spark, d, W_STREAM)).select(
+        "row_id", "ip_event_count", "ip_failed_count", "heuristic_brute_force")
 
 
 QUERIES.update({

@@ -120,15 +120,12 @@ class IntelResult:
 def run_intel(alerts: DataFrame, n_init: int = C.KMEANS_N_INIT, generated_at: str | None = None,
               with_classifier: bool = True) -> IntelResult:
     """Phase 3 over loaded alerts: cluster, score, classify, triage, plan, report."""
-    clustered = CU.fit_predict(alerts, n_init=n_init).cache()
+    clustered = CU.fit_predict(alerts, n_init=n_init).checkpoint()
     summary = V.cluster_summary(clustered)
     scored = RK.score_alerts(clustered)
-    if with_classifier:
-        try:
-            scored = CL.classify(scored)
-        except Exception:  # the classifier is optional, like in the reference run
-            pass
-    scored = scored.cache()
+    if with_classifier:   # skipped by its own rule when there is too little to learn from
+        scored = CL.classify(scored)
+    scored = scored.checkpoint()
     triage = TR.triage_queue(scored)
     response = TR.response_assignment(scored)
     report = generate_report(scored, summary, triage, response, generated_at)
@@ -136,10 +133,5 @@ def run_intel(alerts: DataFrame, n_init: int = C.KMEANS_N_INIT, generated_at: st
 
 
 def scored_on_read(alerts: DataFrame | None) -> DataFrame | None:
-    """Loaded alerts with risk scores; scoring failures leave them as is."""
-    if alerts is None:
-        return None
-    try:
-        return RK.score_alerts(alerts)
-    except Exception:
-        return alerts
+    """Loaded alerts with risk scores."""
+    return None if alerts is None else RK.score_alerts(alerts)

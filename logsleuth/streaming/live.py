@@ -1,18 +1,19 @@
 """Structured Streaming jobs.
 
-Z1 ``hourly_counts``: alerts per event-time hour with a watermark - the
-polling dashboard's timeline as an incremental aggregate.
-
 Z2 ``brute_force_stream``: the per-source look-back rule (W1, W2, F21) on
-arrival.  State per source address holds the (time, failed count) pairs of
-the last window, so each micro-batch only needs its own rows plus that
-state; ``applyInPandasWithState`` keeps it in the state store (checkpointed,
-so a lost executor replays from the checkpoint).  On time-ordered input the
-result equals the batch operator.
-
-``run_available`` drives a stream over everything currently in its source
-(``availableNow``) into a memory table and returns that table as a batch
-DataFrame - how the registered queries and tests exercise the jobs.
+arrival.  State is keyed by (address, time slice), a slice being as long as the
+window.  A row goes to its own slice, where it is judged, and to the next one,
+where it is context; so a judgement needs one state only, a busy address is
+spread over its slices, and a slice is dropped when the watermark has passed
+the end of the slice it serves.  State holds one entry for each millisecond in
+use, not for each row.  On time-ordered input the result equals the batch
+operator.
+
+Z1 ``hourly_counts``: alerts per event-time hour with a watermark, the polling
+dashboard's timeline as an incremental aggregate, without zero fill.
+
+``append_to`` and ``upsert_to`` run a stream over everything in its source now
+and write to a folder of Parquet files; nothing goes through the driver.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import constants as C
@@ -37,62 +38,82 @@ def hourly_counts(alerts_stream: DataFrame, time_col: str = "timestamp",
                          .select(F.col("w.start").alias("hour_start"), "alert_count"))
 
 
-STATE_SCHEMA = "ms array<bigint>, fc array<bigint>"
-BRUTE_OUT = ("row_id bigint, source_ip string, ts_ms bigint, ip_event_count bigint, "
-             "ip_failed_count bigint, heuristic_brute_force int")
+STATE_SCHEMA = "ms array<bigint>, n array<bigint>, fc array<bigint>"
+SCORED = ["ip_event_count", "ip_failed_count", "heuristic_brute_force"]
 
 
-def _brute_force_state(window_ms: int):
+def _judge(window_ms: int, columns: list[str]):
     def fn(key, batches, state):
-        ip = key[0]
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if state.exists:
-            old_ms, old_fc = state.get
-            old_ms = np.asarray(old_ms, dtype=np.int64)
-            old_fc = np.asarray(old_fc, dtype=np.int64)
-        else:
-            old_ms = np.zeros(0, dtype=np.int64)
-            old_fc = np.zeros(0, dtype=np.int64)
-        pdf = pdf.sort_values(["ts_ms", "row_id"], kind="mergesort")
-        new_ms = pdf["ts_ms"].to_numpy(dtype=np.int64)
-        new_fc = pdf["failed_count"].fillna(0).to_numpy(dtype=np.int64)
-        all_ms = np.concatenate([old_ms, new_ms])
-        all_fc = np.concatenate([old_fc, new_fc])
-        order = np.argsort(all_ms, kind="mergesort")
-        all_ms, all_fc = all_ms[order], all_fc[order]
-        csum = np.concatenate([[0], np.cumsum(all_fc)])
-        hi = np.searchsorted(all_ms, new_ms, side="right")
-        lo = np.searchsorted(all_ms, new_ms - window_ms, side="left")
-        cnt = hi - lo
-        fsum = csum[hi] - csum[lo]
-        keep = all_ms >= (all_ms.max() - window_ms) if len(all_ms) else np.zeros(0, bool)
-        state.update((all_ms[keep].tolist(), all_fc[keep].tolist()))
-        brute = ((new_fc >= C.BRUTE_FORCE_FAILED_LOGINS) |
-                 (fsum >= C.BRUTE_FORCE_FAILED_LOGINS)).astype("int32")
-        yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy(dtype=np.int64), "source_ip": ip,
-                            "ts_ms": new_ms, "ip_event_count": cnt.astype(np.int64),
-                            "ip_failed_count": fsum.astype(np.int64),
-                            "heuristic_brute_force": brute})
+        if state.hasTimedOut:
+            state.remove()
+            return
+        end = (int(key[1]) + 1) * window_ms   # of the slice that the state serves
+        ms, n, fc = (np.asarray(x, np.int64) for x in (state.get if state.exists else ([], [], [])))
+        own = []
+        for pdf in batches:   # first everything that has arrived, then the judgements
+            add = pdf.groupby("ts_ms")["failed_count"].agg(["size", "sum"])
+            ms = np.concatenate([ms, add.index.to_numpy(np.int64)])
+            n = np.concatenate([n, add["size"].to_numpy(np.int64)])
+            fc = np.concatenate([fc, add["sum"].to_numpy(np.int64)])
+            own.append(pdf[pdf["ts_ms"] >= end - window_ms])
+        ms, at = np.unique(ms, return_inverse=True)
+        n, fc = (np.bincount(at, x, len(ms)).astype(np.int64) for x in (n, fc))
+        state.update((ms.tolist(), n.tolist(), fc.tolist()))
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        cn, cf = (np.concatenate([[0], np.cumsum(x)]) for x in (n, fc))
+        for pdf in own:
+            t = pdf["ts_ms"].to_numpy(np.int64)
+            hi, lo = np.searchsorted(ms, t, "right"), np.searchsorted(ms, t - window_ms, "left")
+            count, failed = cn[hi] - cn[lo], cf[hi] - cf[lo]
+            brute = (pdf["failed_count"].to_numpy() >= C.BRUTE_FORCE_FAILED_LOGINS) \
+                | (failed >= C.BRUTE_FORCE_FAILED_LOGINS)
+            yield pdf[columns].assign(ip_event_count=count, ip_failed_count=failed,
+                                      heuristic_brute_force=brute.astype("int32"))
     return fn
 
 
-def brute_force_stream(clean_stream: DataFrame,
-                       window_minutes: int = C.WINDOW_MINUTES) -> DataFrame:
-    """Z2 on a cleaned system-log stream (``source_ip``, ``ts_ms``,
-    ``failed_count``, ``row_id``)."""
+def brute_force_stream(clean_stream: DataFrame, window_minutes: int = C.WINDOW_MINUTES,
+                       keep: tuple[str, ...] = (), lateness: str = "2 hours") -> DataFrame:
+    """Z2 on a cleaned system-log stream (``row_id``, ``source_ip``, ``ts_ms``,
+    ``failed_count``, ``timestamp`` and the columns ``keep``)."""
     ship_package(clean_stream.sparkSession)
-    wms = window_minutes * 60_000
-    src = clean_stream.select("row_id", "source_ip", "ts_ms", "failed_count")
-    return src.groupBy("source_ip").applyInPandasWithState(
-        _brute_force_state(wms), BRUTE_OUT, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_available(spark: SparkSession, stream: DataFrame, mode: str = "append",
-                  name: str | None = None) -> DataFrame:
-    """Run ``stream`` over all currently available input; return the result."""
-    name = name or f"stream_{uuid.uuid4().hex[:12]}"
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"
-    q = (stream.writeStream.format("memory").queryName(name).outputMode(mode)
-               .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+    window = window_minutes * 60_000
+    columns = ["row_id", "source_ip", "ts_ms", "timestamp", *[c for c in keep if c != "timestamp"]]
+    rows = clean_stream.select(*columns, F.coalesce("failed_count", F.lit(0)).cast("bigint").alias("failed_count"))
+    slice_ = F.floor(F.col("ts_ms") / window).cast("bigint")
+    rows = rows.withWatermark("timestamp", lateness).withColumn(
+        "slice", F.explode(F.array(slice_, slice_ + 1)))
+    fields = [rows.schema[c] for c in columns] + [
+        T.StructField("ip_event_count", T.LongType()), T.StructField("ip_failed_count", T.LongType()),
+        T.StructField("heuristic_brute_force", T.IntegerType())]
+    return rows.groupBy("source_ip", "slice").applyInPandasWithState(
+        _judge(window, columns), T.StructType(fields), STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+def append_to(spark: SparkSession, stream: DataFrame, folder: str | None = None) -> str:
+    """Run ``stream`` over all input there is now, appending its rows to a
+    folder; the folder."""
+    folder = folder or _folder(spark)
+    stream.writeStream.format("parquet").option("path", f"{folder}/rows").option(
+        "checkpointLocation", f"{folder}/state").outputMode("append").trigger(
+        availableNow=True).start().awaitTermination()
+    return f"{folder}/rows"
+
+
+def upsert_to(spark: SparkSession, stream: DataFrame, key: str, folder: str | None = None) -> DataFrame:
+    """Run an aggregate over all input there is now; every batch appends the
+    groups it changed, and the latest state of each group is read back."""
+    folder = folder or _folder(spark)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode(
+        "update").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{folder}/rows")
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    latest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_v"))
+    return latest.select(key, *[F.col(f"_v.{c}").alias(c) for c in rest])
