@@ -67,7 +67,7 @@ PRIVATE_V4 = [
 PUBLIC_V4 = [("192.0.0.9", 32), ("192.0.0.10", 32)]
 PRIVATE_V6 = [
     ("::1", 128), ("::", 128), ("::ffff:0:0", 96), ("64:ff9b:1::", 48), ("100::", 64),
-    ("2001::", 23), ("2001:db8::", 32), ("2002::", 16), ("3fff::", 20), ("fc00::", 7), ("fe80::", 10),
+    ("2001::", 23), ("2001:db8::", 32), ("2002::", 16), ("fc00::", 7), ("fe80::", 10),
 ]
 PUBLIC_V6 = [
     ("2001:1::1", 128), ("2001:1::2", 128), ("2001:3::", 32), ("2001:4:112::", 48),
@@ -105,26 +105,48 @@ def _v4_public(value: Column) -> Column:
     return ~_in_v4(value, PRIVATE_V4) | _in_v4(value, PUBLIC_V4)
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _all_groups(sides: Column) -> Column:
+    """Group texts of the one or two sides of ``::``, filled up to eight; null
+    if their number is wrong."""
+    def groups(i: int) -> Column:
+        side = F.coalesce(F.get(sides, F.lit(i)), F.lit(""))
+        return F.filter(F.split(side, ":"), lambda g: side != "")
+
+    def filled(both: Column) -> Column:
+        missing = F.lit(8) - F.size(both["l"]) - F.size(both["r"])
+        return F.when(F.size(sides) == 1, F.when(missing == 0, both["l"])).when(
+            (F.size(sides) == 2) & (missing >= 1),
+            F.concat(both["l"], F.array_repeat(F.lit("0"), missing), both["r"]))
+    return _let(F.struct(groups(0).alias("l"), groups(1).alias("r")), filled)
+
+
+def _unquad(low: Column) -> Column:
+    """A dotted tail written as two groups."""
+    tail = F.regexp_extract(low, rf":({_QUAD})$", 1)
+    return _let(F.struct(tail.alias("t"), ipv4_to_long(tail).alias("n")), lambda x: F.when(x["t"] == "", low).otherwise(
+        F.concat(F.substring(low, F.lit(1), F.length(low) - F.length(x["t"])),
+                 F.lower(F.hex(F.shiftright(x["n"], 16))), F.lit(":"),
+                 F.lower(F.hex(x["n"].bitwiseAND(F.lit(0xFFFF)))))))
+
+
 def ipv6_groups(text: Column) -> Column:
     """The eight groups of an IPv6 text as an array of numbers, or null if it
     is not one.  A dotted tail stands for two groups, ``::`` for one or more."""
     low = F.regexp_replace(F.lower(text), r"%[^%]+$", "")
-    tail = F.regexp_extract(low, rf":({_QUAD})$", 1)
-    number = ipv4_to_long(tail)
-    low = F.when(tail == "", low).otherwise(F.concat(
-        F.substring(low, F.lit(1), F.length(low) - F.length(tail)),
-        F.hex(F.shiftright(number, 16)), F.lit(":"), F.hex(number.bitwiseAND(F.lit(0xFFFF)))))
-    sides = F.split(F.lower(low), "::")
-
-    def groups(side: Column) -> Column:
-        return F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
-    left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    all_ = F.when(F.size(sides) == 2, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)) \
-        .otherwise(left)
-    proper = (F.when(F.size(sides) == 1, F.size(left) == 8).when(F.size(sides) == 2, missing >= 1).otherwise(False)
-              & F.forall(all_, lambda g: g.rlike("^[0-9a-f]{1,4}$")))
-    return F.when(proper, F.transform(all_, lambda g: F.conv(g, 16, 10).cast("int")))
+    texts = _let(low, lambda x: _let(F.split(_unquad(x), "::"), _all_groups))
+    return _let(texts, lambda g: F.when(F.forall(g, lambda x: x.rlike("^[0-9a-f]{1,4}$")),
+                                        F.transform(g, lambda x: F.conv(x, 16, 10).cast("int"))))
+
+
+def _v6_public(groups: Column) -> Column:
+    mapped = F.get(groups, F.lit(6)).cast("bigint") * 65_536 + F.get(groups, F.lit(7))
+    return F.when(_in_v6(groups, [("::ffff:0:0", 96)]), _let(mapped, _v4_public)).otherwise(
+        ~_in_v6(groups, PRIVATE_V6) | _in_v6(groups, PUBLIC_V6))
 
 
 def is_external_ip_strict(col) -> Column:
@@ -134,9 +156,6 @@ def is_external_ip_strict(col) -> Column:
     text is parsed to its eight groups; an IPv4-mapped address is judged by
     the IPv4 address inside it."""
     v = _c(col).cast("string")
-    groups = ipv6_groups(v)
-    mapped = F.get(groups, F.lit(6)).cast("bigint") * 65_536 + F.get(groups, F.lit(7))
-    v6_public = F.when(_in_v6(groups, [("::ffff:0:0", 96)]), _v4_public(mapped)).otherwise(
-        ~_in_v6(groups, PRIVATE_V6) | _in_v6(groups, PUBLIC_V6))
-    public = F.when(v.rlike(rf"^{_QUAD}$"), _v4_public(ipv4_to_long(v))).when(groups.isNotNull(), v6_public)
+    public = F.when(v.rlike(rf"^{_QUAD}$"), _let(ipv4_to_long(v), _v4_public)).when(
+        v.contains(":"), _let(ipv6_groups(v), _v6_public))
     return F.coalesce(public, F.lit(False)).cast("int")

@@ -52,16 +52,14 @@ def kernel_width(z: DataFrame, zcols: list[str]) -> float:
     return 1.0 / (len(zcols) * total) if total else 1.0
 
 
-def _pass(z: DataFrame, zcols: list[str], gamma: float, seed: int, w: np.ndarray | None):
-    """Rows and feature sums by range of ``w . f(x)``, as (n by range, sums by range)."""
-    reach = 1.0 if w is None else float(np.linalg.norm(w)) * math.sqrt(2.0) or 1.0
-
+def _pass(z: DataFrame, zcols: list[str], gamma: float, seed: int, w: np.ndarray, low: float, high: float):
+    """Rows and feature sums by range of ``w . f(x)`` between ``low`` and
+    ``high``; the outer ranges take what lies beyond.  (n, sums) by range."""
     def sums(batches):
         count, total = np.zeros(BINS), np.zeros((BINS, FEATURES))
         for b in batches:
             f = cosines(b.to_numpy(dtype=float), gamma, seed)
-            s = np.zeros(len(f)) if w is None else f @ w
-            at = np.clip(((s + reach) * (BINS / (2 * reach))).astype(int), 0, BINS - 1)
+            at = np.clip((f @ w - low) * (BINS / (high - low)), 0, BINS - 1).astype(int)
             count += np.bincount(at, minlength=BINS)
             np.add.at(total, at, f)
         full = np.flatnonzero(count)
@@ -73,39 +71,48 @@ def _pass(z: DataFrame, zcols: list[str], gamma: float, seed: int, w: np.ndarray
     for r in rows.collect():  # at most BINS rows
         count[r["bin"]] = r["n"]
         total[r["bin"]] = [r[f"f{i}"] for i in range(FEATURES)]
-    return count, total, reach
+    return count, total
 
 
-def _lowest(count: np.ndarray, total: np.ndarray, share: float) -> np.ndarray:
-    """Mean feature vector of the ``share`` rows with the smallest scores; the
-    range that is reached in part counts by that part."""
+def _lowest(count: np.ndarray, total: np.ndarray, share: float) -> tuple[np.ndarray, float]:
+    """Mean feature vector of the ``share`` rows with the smallest scores (the
+    range that is reached in part counts by that part), and how many ranges
+    that takes."""
     before = np.concatenate([[0.0], np.cumsum(count)[:-1]])
     part = np.divide(np.clip(share - before, 0.0, count), count, out=np.zeros(BINS), where=count > 0)
-    return part @ total / share
+    return part @ total / share, float(part.sum() + ((count == 0) & (before < share)).sum())
 
 
 def fit_ocsvm(z: DataFrame, zcols: list[str], nu: float = C.OCSVM_NU, steps: int = STEPS,
               seed: int = C.RANDOM_SEED) -> DataFrame:
     """One row: gamma, rho, weights and what the features are drawn from.
-    ``z`` is read once a step and should be stored."""
+    ``z`` is read once a step and should be stored.
+
+    A step moves every score by a known amount at most, so the score ranges of
+    the next pass are laid around the last quantile and grow finer."""
     spark = z.sparkSession
     ship_package(spark)
     gamma = kernel_width(z, zcols)
-    count, total, _ = _pass(z, zcols, gamma, seed, None)
+    count, total = _pass(z, zcols, gamma, seed, np.zeros(FEATURES), -1.0, 1.0)
     n = count.sum()
     if not n:
         return spark.createDataFrame([], MODEL_SCHEMA)
-    w, rho = total.sum(0) / n, 0.0
+    w = total.sum(0) / n
+    reach = math.sqrt(2.0)   # the length of a feature vector is at most this
+    low, high = -reach * float(np.linalg.norm(w)), reach * float(np.linalg.norm(w))
+    rho = 0.0
     for step in range(steps + 1):
-        count, total, reach = _pass(z, zcols, gamma, seed, w)
-        edges = np.linspace(-reach, reach, BINS + 1)
-        rho = float(edges[np.searchsorted(np.cumsum(count), nu * n) + 1])
-        vertex = _lowest(count, total, nu * n)
+        count, total = _pass(z, zcols, gamma, seed, w, low, max(high, low + 1e-12))
+        vertex, ranges = _lowest(count, total, nu * n)
+        rho = low + (high - low) * ranges / BINS
         move = w - vertex
         gap = float(w @ move)
         if step == steps or gap <= TOLERANCE * float(w @ w):
             break
-        w = w - min(1.0, gap / float(move @ move)) * move
+        pace = min(1.0, gap / float(move @ move))
+        w = w - pace * move
+        shift = pace * float(np.linalg.norm(move)) * reach + (high - low) / BINS
+        low, high = rho - shift, rho + shift
     model = [(gamma, rho, [float(x) for x in w], int(seed), FEATURES)]
     return spark.createDataFrame(model, MODEL_SCHEMA)
 

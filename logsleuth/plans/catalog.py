@@ -109,7 +109,7 @@ def out(df: DataFrame) -> DataFrame:
 STRICT_ADDRESSES = {
     "00:1a:2b:3c:4d:5e": 0, "12:34": 0, "fd1::1": 1, "fc::1": 1, "fc00::1": 0, "fdff::1": 0, "fe90::1": 0,
     "febf::1": 0, "fec0::1": 1, "2001::1": 0, "2001:200::1": 1, "2002::1": 0, "2001:db8::8": 0, "2606:4700::1111": 1,
-    "2001:4:112::1": 1, "2001:20::7": 1, "3fff::1": 0, "::ffff:8.8.8.8": 1, "::ffff:10.0.0.1": 0, "::8.8.8.8": 1,
+    "2001:4:112::1": 1, "2001:20::7": 1, "3fff::1": 1, "::ffff:8.8.8.8": 1, "::ffff:10.0.0.1": 0, "::8.8.8.8": 1,
     "64:ff9b:1::1": 0, "64:ff9b::1": 1, "100::1": 0, "1::2::3": 0, "::": 0, "1:2:3:4:5:6:7:8": 1, "1:2:3:4:5:6:7::": 1,
     "1:2:3:4:5:6:7:8::": 0, "192.0.0.8": 0, "192.0.0.9": 1, "192.0.0.100": 0, "192.0.1.1": 1, "198.20.0.1": 1,
     "255.255.255.255": 0, "9999999999999.1.1.1": 0, "99999999999999999999.1.1.1": 0,
