@@ -9,12 +9,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as C
+from ..operators import views as V
 from ..operators.classify import holdout_metrics
 from ..operators.clean import clean_system
 from ..session import checkpoint_dir
 from ..sources import alert_store, aliases, csv_logs, winevent
-from . import bindings as B, catalog as Q
-from .oracle import _with
+from . import bindings as B, catalog as Q, intel
+from .oracle import _recommendations, _with
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -102,7 +103,21 @@ def q_holdout_metrics(spark, d) -> DataFrame:
     return holdout_metrics(e.select(F.col("event_type").alias("y"), guess.alias("p")))
 
 
+def q_report_summary(spark, d) -> DataFrame:
+    """The report's summary and the length of its sections."""
+    alerts = Q.clustered_df(spark, d)
+    report = intel.generate_report(alerts, V.cluster_summary(alerts), generated_at=Q.DETECTED_AT)
+    return report.select(
+        "executive_summary.total_alerts", "executive_summary.critical_alerts", "executive_summary.high_alerts",
+        "executive_summary.unique_sources", F.size("executive_summary.attack_type_breakdown").alias("n_types"),
+        F.size("indicators_of_compromise").alias("n_indicators"), F.size("attack_timeline_hourly").alias("n_hours"),
+        F.size("attack_campaigns").alias("n_campaigns"), F.size("recommendations").alias("n_recommendations"),
+        F.size("top_alerts").alias("n_top"), F.aggregate(
+            "attack_timeline_hourly", F.lit(0).cast("long"), lambda s, x: s + x["alert_count"]).alias("alerts_in_hours"))
+
+
 QUERIES = {
+    "report_summary": q_report_summary,
     "csv_scan": q_csv_scan, "alert_store_roundtrip": q_alert_store_roundtrip, "network_alias": q_network_alias,
     "network_rows": q_network_rows, "network_sink": q_network_sink, "holdout_metrics": q_holdout_metrics,
 }
@@ -133,6 +148,15 @@ dns AS (
   FROM ev WHERE et NOT IN ('error', 'click'))"""
 
 SQL = {
+    "report_summary": _with(
+        "SELECT count(*) AS total_alerts, count(*) FILTER (WHERE risk_level = 'Critical') AS critical_alerts, "
+        "count(*) FILTER (WHERE risk_level = 'High') AS high_alerts, "
+        "(SELECT least(count(*), 10) FROM ioc) AS unique_sources, count(DISTINCT attack_type) AS n_types, "
+        "(SELECT least(count(*), 10) FROM ioc) AS n_indicators, "
+        "date_diff('hour', min(date_trunc('hour', \"timestamp\")), max(date_trunc('hour', \"timestamp\"))) + 1 AS n_hours, "
+        "count(DISTINCT cluster_kmeans) AS n_campaigns, "
+        f"(SELECT count(*) FROM ({_recommendations()})) AS n_recommendations, least(count(*), {C.TOP_ALERTS_K}) AS n_top, "
+        "count(attack_type) AS alerts_in_hours FROM clustered"),
     "csv_scan": _with("SELECT row_id, source_ip, event, failed_count, hour FROM sys_clean"),
     "alert_store_roundtrip": _with(
         "SELECT log_type, row_id, attack_type, severity, confidence, nullif(source_ip, '') AS source_ip, "

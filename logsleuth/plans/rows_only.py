@@ -9,13 +9,14 @@ brute force, assignment against exhaustive search).
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
 
 from .. import constants as C
 from ..operators import classify as CL, clustering as CU, features as FE
 from ..operators import iforest as IF, ocsvm as OC, triage as TR, views as V
 from ..operators.scaling import standardise
 from ..session import checkpoint_dir
+from ..sources import alert_store
 from ..sources.report_io import report_json
 from . import bindings as B, catalog as Q, detection as D, intel as I
 
@@ -79,7 +80,24 @@ def q_report(spark, d):
     return report_json(rep)
 
 
+def q_detection_job(spark, d):
+    """R6 phase 1: both logs as CSV, detected and stored; the stored alerts by type."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/detection-{uuid.uuid4().hex}"
+    raw = Q.events(spark, d)
+    B.security_log(raw).drop("row_id").write.option("header", True).csv(f"{folder}/system")
+    B.network_log(raw).drop("row_id").write.option("header", True).csv(f"{folder}/network")
+    D.run_detection(spark, f"{folder}/system", f"{folder}/network", f"{folder}/store", Q.W_LONG)
+    return alert_store.load_alerts(spark, f"{folder}/store").groupBy("log_type", "attack_type", "rule_based_alert").count()
+
+
+def q_intel_job(spark, d):
+    """R6 phase 3 on the alert table: clusters, risk, classifier, triage, plan, report."""
+    return report_json(I.run_intel(Q.alerts_df(spark, d), n_init=2, generated_at=Q.DETECTED_AT).report)
+
+
 QUERIES = {
+    "detection_job": q_detection_job,
+    "intel_job": q_intel_job,
     "iforest": q_iforest,
     "ocsvm": q_ocsvm,
     "detect_system": q_detect_system,
