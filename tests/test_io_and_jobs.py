@@ -105,3 +105,31 @@ def test_empty_report_and_model_persistence(spark, scratch):
     s2 = DT.score_detector(det2, df).orderBy("row_id").select("anomaly_score").collect()
     assert s1 == s2
     assert all(0 <= r[0] <= 1 for r in s1)
+
+
+def test_files_of_one_folder_are_read_by_column_name(spark, scratch):
+    folder = os.path.join(scratch, "mixed")
+    os.makedirs(folder)
+    _write_csv(os.path.join(folder, "1.csv"), "timestamp,source_ip,user", [["2024-01-01", "1.1.1.1", "u1"]])
+    _write_csv(os.path.join(folder, "2.csv"), "user,timestamp,source_ip,extra", [["u2", "2024-01-02", "2.2.2.2", "x"]])
+    open(os.path.join(folder, "3.csv"), "w").close()
+    got = csv_logs.read_log_csv(spark, folder, [], "log").orderBy("user").collect()
+    assert [(r["user"], r["source_ip"], r["extra"]) for r in got] == [("u1", "1.1.1.1", None), ("u2", "2.2.2.2", "x")]
+
+
+def test_store_gives_blank_text_back_as_null_and_takes_empty_frames(spark, scratch):
+    store = os.path.join(scratch, "blank")
+    rows = spark.createDataFrame([("system", "", C.DATA_ORIGIN), ("system", "1.1.1.1", C.DATA_ORIGIN), ("system", "x", "other")],
+                                 "log_type string, source_ip string, data_origin string")
+    alert_store.save_alerts(rows.limit(0), store)
+    assert alert_store.load_alerts(spark, store) is None
+    alert_store.save_alerts(rows, store)
+    assert {r["source_ip"] for r in alert_store.load_alerts(spark, store).collect()} == {None, "1.1.1.1"}
+
+
+def test_network_alias_scan_defaults(spark, scratch):
+    p = os.path.join(scratch, "net.csv")
+    _write_csv(p, "ts,Client_IP,port,pkts,BYTES", [["t", "1.1.1.1", "80", "3", "9"]])
+    df = aliases.load_network_logs(spark, p)
+    assert df.columns == ["timestamp", "src_ip", "dst_port", "packets", "bytes_sent", "dst_ip", "protocol"]
+    assert df.first()["protocol"] == "UNKNOWN"

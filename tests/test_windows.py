@@ -70,3 +70,11 @@ def test_global_position_string_key(spark):
     want = {(r.s, r.i): r.pos for r in
             df.withColumn("pos", F.row_number().over(Window.orderBy("s", "i")) - 1).collect()}
     assert got == want
+
+
+def test_null_keys_are_a_group_of_their_own(spark):
+    rows = [(None, 0, 1), (None, 30_000, 1), (None, 90_000, 2), ("a", 10_000, 1), ("a", 70_000, 2)]
+    df = spark.createDataFrame(rows, "k string, ms long, port int")
+    for fn in (lambda m: window_counts(df, "k", "ms", 300_000, method=m),
+               lambda m: window_distinct(df, "k", "ms", "port", 300_000, method=m)):
+        assert sorted(map(str, fn("prefix").collect())) == sorted(map(str, fn("range").collect()))
