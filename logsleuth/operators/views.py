@@ -69,8 +69,12 @@ def hourly_timeline(alerts: DataFrame) -> DataFrame:
         F.count("attack_type").alias("alert_count"), F.count(F.lit(1)).alias("row_count"))
     grid = (counts.agg(F.min("hour_start").alias("lo"), F.max("hour_start").alias("hi"))
                   .where(F.col("lo").isNotNull())
-                  .select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR")))
-                          .alias("hour_start")))
+                  .select("lo", "hi", F.explode(F.sequence(F.date_trunc("day", "lo"), F.date_trunc("day", "hi"),
+                                                           F.expr("INTERVAL 1 DAY"))).alias("day"))
+                  .repartition("day")   # a stray date may stretch the grid: days are made in one task, hours in many
+                  .select("lo", "hi", F.explode(F.sequence("day", F.col("day") + F.expr("INTERVAL 23 HOUR"),
+                                                           F.expr("INTERVAL 1 HOUR"))).alias("hour_start"))
+                  .where("hour_start BETWEEN lo AND hi").select("hour_start"))
     out = grid.join(counts, "hour_start", "left")
     return out.select(
         clock.as_wall_clock("hour_start").alias("hour_start"),

@@ -15,7 +15,7 @@ from ..operators.clean import clean_system
 from ..session import checkpoint_dir
 from ..sources import alert_store, aliases, csv_logs, winevent
 from . import bindings as B, catalog as Q, intel
-from .oracle import _recommendations, _with
+from .oracle import RESPONSE_CANDIDATES, _recommendations, _skills, _with
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -147,7 +147,25 @@ dns AS (
     CAST(eid % 30 AS VARCHAR) AS query_type, '' AS action
   FROM ev WHERE et NOT IN ('error', 'click'))"""
 
+_NAMES = ", ".join(f"'{n}'" for n, _ in C.ANALYSTS)
+
 SQL = {
+    # every assignment by analyst numbers, alert after alert; the smallest that fills all
+    "response_assignment": _with(f""", cand AS ({RESPONSE_CANDIDATES}),
+elig AS (
+  SELECT c.rank, s.analyst_idx FROM cand c JOIN {_skills()} ON s.attack_type = c.attack_type
+    OR s.attack_type = '{C.FALLBACK_SKILL}' AND c.attack_type NOT IN (SELECT attack_type FROM {_skills().replace(' s(', ' s2(')})),
+best AS (SELECT min(path) AS path FROM (
+  WITH RECURSIVE rec AS (
+    SELECT 0 AS k, CAST([] AS BIGINT[]) AS path
+    UNION ALL
+    SELECT k + 1, list_append(path, CAST(e.analyst_idx AS BIGINT)) FROM rec JOIN elig e ON e.rank = rec.k
+    WHERE len(list_filter(path, lambda x: x = e.analyst_idx)) < {C.RESPONSE_MAX_PER_ANALYST})
+  SELECT path FROM rec WHERE k = (SELECT count(*) FROM cand)))
+SELECT cand.rank, source_ip, attack_type, severity, risk_score,
+  CASE WHEN path IS NOT NULL THEN [{_NAMES}][path[cand.rank + 1] + 1] END AS assigned_to,
+  CASE WHEN path IS NULL THEN (SELECT count(*) FROM cand) ELSE 0 END AS unassigned
+FROM cand, best"""),
     "report_summary": _with(
         "SELECT count(*) AS total_alerts, count(*) FILTER (WHERE risk_level = 'Critical') AS critical_alerts, "
         "count(*) FILTER (WHERE risk_level = 'High') AS high_alerts, "

@@ -349,6 +349,12 @@ def _text_or_blank(c: str) -> str:
 
 
 SQL: dict[str, str] = {}
+RESPONSE_CANDIDATES = (
+    "SELECT COALESCE(source_ip, 'nan') AS source_ip, "
+    "COALESCE(attack_type, 'unknown_anomaly') AS attack_type, "
+    "CAST(COALESCE(severity, 0) AS INTEGER) AS severity, round(COALESCE(risk_score, 0), 2) "
+    "AS risk_score, CAST(row_number() OVER (ORDER BY risk_score DESC, log_type, row_id) - 1 "
+    "AS INTEGER) AS rank FROM scored ORDER BY risk_score DESC, log_type, row_id LIMIT 8")
 
 
 def _build() -> None:
@@ -473,12 +479,7 @@ def _build() -> None:
         f"CAST(COALESCE(severity, 0) AS INTEGER) AS severity, round(COALESCE(confidence, 0), 1) "
         f"AS confidence, round(COALESCE(risk_score, 0), 2) AS risk_score, round({prio}, 2) AS priority "
         f"FROM scored ORDER BY {prio} DESC, log_type, row_id LIMIT 10")
-    q["response_candidates"] = _with(
-        "SELECT COALESCE(source_ip, 'nan') AS source_ip, "
-        "COALESCE(attack_type, 'unknown_anomaly') AS attack_type, "
-        "CAST(COALESCE(severity, 0) AS INTEGER) AS severity, round(COALESCE(risk_score, 0), 2) "
-        "AS risk_score, CAST(row_number() OVER (ORDER BY risk_score DESC, log_type, row_id) - 1 "
-        "AS INTEGER) AS rank FROM scored ORDER BY risk_score DESC, log_type, row_id LIMIT 8")
+    q["response_candidates"] = _with(RESPONSE_CANDIDATES)
     skills = _skills()
     q["skill_eligibility"] = _with(
         f"SELECT a.log_type, a.row_id, a.attack_type, s.analyst_idx, s.analyst FROM scored a "

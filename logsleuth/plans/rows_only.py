@@ -1,7 +1,8 @@
-"""Registered queries without an exact SQL twin (rows-only check).
+"""Registered queries without an exact SQL twin (rows-only check), but for the
+response assignment, whose twin is in ``ingest``.
 
 Learned models (their random streams cannot match an external engine), the
-assignment search and the nested report.  Each still reads the whole
+whole jobs and the nested report.  Each still reads the whole
 ``events`` table through the bindings; their properties are tested in
 ``tests/`` (scores in range, planted outliers ranked high, DBSCAN against
 brute force, assignment against exhaustive search).
