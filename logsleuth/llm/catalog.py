@@ -65,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op7_language_fusion, op8_source_mix,
                             op9_simhash_dedup, op10_pii_anchors, pipeline)}
 # the other operators have no SQL form; their tests compare them with brute force
-SQL: dict[str, str] = {"op1_line_frequency": quality.SQL, "op6_substring_dedup": substrings.SQL,
+SQL: dict[str, str] = {"op1_line_frequency": quality.SQL, "op5_benchmark_containment": decontaminate.SQL,
+                       "op6_substring_dedup": substrings.SQL,
                        "op8_source_mix": mixing.SQL}

@@ -214,3 +214,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in _item_blocks(benchmark):
         out = keep_clean(out, spark.sparkContext.broadcast(Index(items)))
     return out
+
+
+def _sql_shingles(key: str, table: str) -> str:
+    return f"""(SELECT DISTINCT {key}, array_to_string(a[i:i + {SHINGLE - 1}], ' ') AS g FROM (
+  SELECT {key}, a, unnest(range(1, len(a) - {SHINGLE} + 2)) AS i FROM (
+    SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS a FROM {table})))"""
+
+
+SQL = f"""
+WITH d AS {_sql_shingles('doc_id', 'documents')},
+b AS {_sql_shingles('item_id', 'benchmark')},
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_shingles, count(*) / n_shingles AS containment
+FROM d JOIN b USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles
+HAVING count(*) >= {CONTAINMENT} * n_shingles - 1e-9
+"""
