@@ -43,6 +43,14 @@ def op7_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, evidence, language.fit(docs, evidence))
 
 
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator where pages declare a language and have an address."""
+    common.prepare(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    evidence = language.of_pages(pages)
+    return language.identify(pages, evidence, language.fit(pages, evidence), keep=("page_id",))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(common.documents(spark, sf_dir))
 
@@ -63,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_frequency, op2_wordpiece_counts, op3_ngram_scores,
                             op4_licence_scan, op5_benchmark_containment, op6_substring_dedup,
                             op7_language_fusion, op8_source_mix,
-                            op9_simhash_dedup, op10_pii_anchors, pipeline)}
+                            op9_simhash_dedup, op10_pii_anchors, pipeline, page_language)}
 # the other operators have no SQL form; their tests compare them with brute force
 SQL: dict[str, str] = {"op1_line_frequency": quality.SQL, "op5_benchmark_containment": decontaminate.SQL,
                        "op6_substring_dedup": substrings.SQL,

@@ -91,6 +91,14 @@ def of_documents(docs: DataFrame) -> Evidence:
     return Evidence(F.col("text"), F.col("lang"), F.col("source"), F.col("source"))
 
 
+def of_pages(pages: DataFrame) -> Evidence:
+    """Web pages (url, html): the text between the tags, the language that the
+    html tag declares, the host and the address."""
+    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+    return Evidence(text, F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1),
+                    F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://([^/?#:]+)", 1), F.col("url"))
+
+
 @dataclass
 class Model:
     languages: list[str]         # with UND last

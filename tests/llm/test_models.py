@@ -139,3 +139,14 @@ def test_licence_notices(spark):
     got = {r["doc_id"]: r for r in rows(licenses.scan(table(spark, docs)))}
     assert {i: got[i]["family"] for i in truth} == truth
     assert all(got[i]["n_paragraphs"] == len(docs[i][1].split("\n")) for i in truth)
+
+
+def test_page_evidence(spark):
+    pages = spark.createDataFrame([
+        (1, "https://www.a.example.de:80/x", '<!DOCTYPE html><HTML class="y" lang="de-AT"><script>let en=1</script><p>der <b>Text</b></p></html>'),
+        (2, "http://b.example/", "<html><!-- lang --><p>plain</p>"), (3, None, None)],
+        "page_id long, url string, html string")
+    got = {r["page_id"]: r.asDict() for r in language.of_pages(pages).select(pages, pages["page_id"]).collect()}
+    assert (got[1]["_declared"], got[1]["_host"], got[1]["_domain"], got[1]["_suffix"]) == ("de", "www.a.example.de", "example.de", "de")
+    assert got[1]["_text"].split() == ["der", "Text"] and got[2]["_text"].split() == ["plain"]
+    assert got[2]["_declared"] is None and got[2]["_suffix"] == "example" and got[3]["_text"] is None
