@@ -120,9 +120,12 @@ def _load(data: bytes) -> Block:
     return Block(table.column(0).combine_chunks(), table.column(1).combine_chunks())
 
 
-def buckets_for(rows: DataFrame) -> int:
+def text_bytes(rows: DataFrame) -> int:
+    return rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def buckets_for(total: int) -> int:
     """Number of key buckets: in proportion to the bytes of text."""
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     return max(MIN_BUCKETS, -(-total // BUCKET_BYTES))
 
 

@@ -165,7 +165,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     common.prepare(spark)
     rows = docs.select(F.col("doc_id").alias("id"), "text")
     kind = dict(rows.dtypes)["id"]
-    buckets = blocks.buckets_for(rows)
+    buckets = blocks.buckets_for(blocks.text_bytes(rows))
     known = blocks.answer(blocks.ask(rows, buckets, lambda b: _ask(b, order)), _count(order)).checkpoint()
     figures = known.where("stats IS NOT NULL").select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(
         F.sum("x").alias("x")).orderBy("i").collect()  # one row for each figure

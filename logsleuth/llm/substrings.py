@@ -13,7 +13,10 @@ start at multiples of that number in each document.  So
 
 Both key tables are spread by key and asked block-wise (``blocks``): a passage
 shared by very many documents is one entry for a block of documents, and pairs
-of occurrences are never formed.  Keys are 64-bit hashes of word sequences.
+of occurrences are never formed.  Keys of windows are 64-bit hashes of word
+sequences.  Keys of blocks only choose the windows to look at, so they are cut
+to ``SPARE_BITS`` more bits than the text has bytes: chance hits stay rare at
+every size and cost a look, never a word.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from logsleuth.llm import blocks, common, hashing
 
 LENGTH = 20
+SPARE_BITS = 12
 _SIGN = np.uint64(1 << 63)
 
 
@@ -52,18 +56,24 @@ def _least(index: np.ndarray, size: int, doc: np.ndarray, start: np.ndarray) ->
     return doc[first], start[first]
 
 
-def _anchors(block: blocks.Block, length: int):
+def _short(total: int) -> np.uint64:
+    """Mask that keeps the leading bits of a block key."""
+    bits = min(64, int(total).bit_length() + SPARE_BITS)
+    return np.uint64(((1 << bits) - 1) << (64 - bits))
+
+
+def _anchors(block: blocks.Block, length: int, short: np.uint64):
     words = hashing.Words(block.text, fold=False)
     half = length // 2
     at, h = _windows(words, half)
-    keys, inverse = np.unique(h, return_inverse=True)
+    keys, inverse = np.unique(h & short, return_inverse=True)
     return words, at, keys, inverse
 
 
-def _probe(block: blocks.Block, length: int) -> list[np.ndarray]:
+def _probe(block: blocks.Block, length: int, short: np.uint64) -> list[np.ndarray]:
     """Keys of all rolling windows of block length; note: occurrences, 2 at
     most, plus 4 if one is a reference block."""
-    words, at, keys, inverse = _anchors(block, length)
+    words, at, keys, inverse = _anchors(block, length, short)
     aligned = (at - words.first[_owner(words, at)]) % (length // 2) == 0
     note = np.minimum(np.bincount(inverse, minlength=len(keys)), 2)
     note += 4 * (np.bincount(inverse[aligned], minlength=len(keys)) > 0)
@@ -76,9 +86,9 @@ def _hits(index: np.ndarray, size: int, note: np.ndarray):
     return None, [((seen >= 2) & anchored)[index].astype(np.uint64)], []
 
 
-def _extend(block: blocks.Block, hit: np.ndarray, length: int):
+def _extend(block: blocks.Block, hit: np.ndarray, length: int, short: np.uint64):
     """Sorted distinct keys of the windows around hits, with their smallest (doc, start)."""
-    words, at, _, inverse = _anchors(block, length)
+    words, at, _, inverse = _anchors(block, length, short)
     marks = np.zeros(len(words.hash) + 1, np.int64)
     if len(at):
         marks[at[hit[inverse] > 0] + 1] = 1
@@ -143,11 +153,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     common.prepare(spark)
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text"))
     kind = dict(rows.dtypes)["id"]
-    buckets = blocks.buckets_for(rows)
-    hits = blocks.answer(blocks.ask(rows, buckets, lambda b: _probe(b, length)), _hits).checkpoint()
+    total = blocks.text_bytes(rows)
+    buckets, short = blocks.buckets_for(total), _short(total)
+    hits = blocks.answer(blocks.ask(rows, buckets, lambda b: _probe(b, length, short)), _hits).checkpoint()
 
     def extend(block, _, replies):
-        keys, *notes = _extend(block, replies[0], length)
+        keys, *notes = _extend(block, replies[0], length, short)
         yield from blocks.send(block, keys, notes, buckets)
     asked = blocks.meet(rows, hits, 1, extend, blocks.ASKED)
     known = blocks.answer(asked, _earliest).checkpoint()
