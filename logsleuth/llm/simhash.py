@@ -123,7 +123,8 @@ def links(points: DataFrame, max_bits: int = 2) -> DataFrame:
 def classes(rows: DataFrame, max_bits: int = 2) -> DataFrame:
     """``(fp, root)`` for every distinct fingerprint of ``rows``; fingerprints
     with one ``root`` are connected.  ``rows`` must be stored or checkpointed."""
-    points = rows.select("fp").distinct()
+    # small rows, but each is about to make 64 keys: keep them in many tasks
+    points = rows.select("fp").distinct().repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     comps = connected_components(links(points, max_bits))
     return (points.join(comps.withColumnRenamed("node", "fp"), "fp", "left")
             .select("fp", F.coalesce("component", "fp").alias("root")))
