@@ -79,19 +79,23 @@ def _templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(rows).alias("r")).select("r.family", _tokens(F.col("r.text")).alias("words"))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """(id, mark, pos, words) of the non-blank lines; ``mark`` tells rows apart
+def raw_paragraphs(docs: DataFrame) -> DataFrame:
+    """(id, mark, pos, line) of the non-blank lines; ``mark`` tells rows apart
     that share a doc_id but not the text."""
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"),
                        F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.where(F.btrim("line", F.lit(common.BLANKS)) != "").select(
-        "id", "mark", "pos", _tokens(F.col("line")).alias("words"))
+    return rows.where(F.btrim("line", F.lit(common.BLANKS)) != "")
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """(id, mark, pos, words) of the non-blank lines."""
+    return raw_paragraphs(docs).select("id", "mark", "pos", _tokens(F.col("line")).alias("words"))
 
 
-def _training(lines: DataFrame) -> DataFrame:
+def _training(raw: DataFrame) -> DataFrame:
     """(family, words, held): template paragraphs, whole and in windows, and
     the corpus sample of the unknown class."""
-    templates = _templates(lines.sparkSession)
+    templates = _templates(raw.sparkSession)
     whole = templates.select("family", "words")
     parts = whole
     for n in PARTS:
@@ -99,7 +103,8 @@ def _training(lines: DataFrame) -> DataFrame:
         parts = parts.union(whole.select("family", "words", at.alias("i")).select("family", F.slice("words", F.col("i"), n)))
     seen = templates.select(F.explode(_triples(F.col("words"))).alias("t")).agg(F.collect_set("t").alias("seen"))
     seen = [r for r in seen.first()[0]]  # the fixed templates' triples
-    sample = (lines.select("words").orderBy(F.xxhash64("words"), "words").limit(SAMPLE)
+    sample = (raw.select("line").orderBy(F.xxhash64("line"), "line").limit(SAMPLE)
+              .select(_tokens(F.col("line")).alias("words"))
               .where(~F.arrays_overlap(_triples(F.col("words")), F.array(*[F.lit(x) for x in seen])))
               .select(F.lit(UNKNOWN).alias("family"), "words"))
     # the families weigh as much as the sample
@@ -118,10 +123,11 @@ def _features() -> list:
 class Scanner:
     """The fitted classifier and its calibration."""
 
-    def __init__(self, lines: DataFrame):
+    def __init__(self, raw: DataFrame):
         self.labels = sorted(TEMPLATES) + [UNKNOWN]
         label = F.array_position(F.array(*[F.lit(x) for x in self.labels]), F.col("family")).cast("double") - 1
-        rows = _training(lines).withColumn("label", label).checkpoint()
+        # a few thousand rows at most: in few tasks, since each sends its gradient in every iteration
+        rows = _training(raw).withColumn("label", label).coalesce(4).checkpoint()
         classifier = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=40,
                                         regParam=1e-4, family="multinomial", rawPredictionCol="raw",
                                         probabilityCol="prob", predictionCol="pred")
@@ -172,7 +178,7 @@ def scan(docs: DataFrame) -> DataFrame:
     one; columns other than doc_id and text are not read."""
     common.prepare(docs.sparkSession)
     lines = paragraphs(docs)
-    found = Scanner(lines).predict(lines).dropDuplicates(["id", "mark", "pos"])
+    found = Scanner(raw_paragraphs(docs)).predict(lines).dropDuplicates(["id", "mark", "pos"])
     sure = F.col("confirmed")
     by = found.groupBy("id", "mark").agg(
         F.count(F.lit(1)).alias("n_predicted"), F.count_if(sure).alias("n_confirmed"),
