@@ -102,7 +102,7 @@ def quality(docs: DataFrame) -> DataFrame:
     repeated rows do not make it frequent; each repeated row is judged alike.
     An empty table gives an empty one; other columns are not read."""
     common.prepare(docs.sparkSession)
-    lines = _lines(docs)
+    lines = _lines(docs).checkpoint()  # three branches read it: normalise and hash once
     bad = frequent_lines(lines, docs).select(F.col("host").alias("bad_host"), F.col("hash").alias("bad_hash"))
     hit = lines.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("hash") == F.col("bad_hash")))
     removed = hit.groupBy("host", "id", "mark").agg(F.sum("words").alias("gone"))
