@@ -4,8 +4,10 @@ DataFrame and Spark ML functions only (no Python in tasks).
 Paragraphs (lines) are sparse counts of word one- and two-grams, hashed and
 scaled to unit length.  A multinomial logistic regression is trained on the
 template paragraphs below, whole and in parts, against an ``unknown`` class:
-the ``SAMPLE`` paragraphs of the corpus with the smallest hash that share no
-word triple with a template (a bounded, deterministic sample).  A second,
+the ``SAMPLE`` distinct paragraphs of the corpus with the smallest hash that
+share no word triple with a template (a bounded, deterministic sample, in which
+a paragraph counts once however many copies it has), and one empty paragraph,
+so that the class exists where the corpus has no such paragraph.  A second,
 one-dimensional logistic regression calibrates the margin between the best
 family and ``unknown`` to the probability that the paragraph is a licence
 notice at all; its corpus paragraphs are held out from the first, its template
@@ -92,9 +94,29 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return raw_paragraphs(docs).select("id", "mark", "pos", _tokens(F.col("line")).alias("words"))
 
 
+def _unknown(raw: DataFrame, seen: list[str]) -> DataFrame:
+    """Words of the ``SAMPLE`` distinct lines with the smallest hash that hold
+    none of the triples ``seen``; of all such lines if there are fewer.
+
+    Only lines below a bound on the hash are made distinct.  The bound is set
+    from the estimated number of distinct lines and raised until enough lines
+    are left, so it does not change the sample."""
+    lines = raw.select(F.xxhash64("line").alias("hash"), "line")
+    distinct = lines.agg(F.approx_count_distinct("hash")).first()[0]
+    share = 2 * SAMPLE / max(distinct, 1)
+    while True:
+        near = lines if share >= 1 else lines.where(F.col("hash") < F.lit(int(share * 2 ** 64) - 2 ** 63))
+        near = near.distinct().select("hash", "line", _tokens(F.col("line")).alias("words")).where(
+            ~F.arrays_overlap(_triples(F.col("words")), F.array(*[F.lit(x) for x in seen])))
+        sample = near.orderBy("hash", "line").limit(SAMPLE).select("words").checkpoint()
+        if share >= 1 or sample.count() == SAMPLE:
+            return sample
+        share *= 4
+
+
 def _training(raw: DataFrame) -> DataFrame:
     """(family, words, held): template paragraphs, whole and in windows, and
-    the corpus sample of the unknown class."""
+    the corpus sample and the empty paragraph of the unknown class."""
     templates = _templates(raw.sparkSession)
     whole = templates.select("family", "words")
     parts = whole
@@ -103,13 +125,15 @@ def _training(raw: DataFrame) -> DataFrame:
         parts = parts.union(whole.select("family", "words", at.alias("i")).select("family", F.slice("words", F.col("i"), n)))
     seen = templates.select(F.explode(_triples(F.col("words"))).alias("t")).agg(F.collect_set("t").alias("seen"))
     seen = [r for r in seen.first()[0]]  # the fixed templates' triples
-    sample = (raw.select("line").orderBy(F.xxhash64("line"), "line").limit(SAMPLE)
-              .select(_tokens(F.col("line")).alias("words"))
-              .where(~F.arrays_overlap(_triples(F.col("words")), F.array(*[F.lit(x) for x in seen])))
-              .select(F.lit(UNKNOWN).alias("family"), "words"))
+    sample = _unknown(raw, seen).select(F.lit(UNKNOWN).alias("family"), "words")
+    nothing = raw.sparkSession.range(1).select(F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("words"),
+                                               F.lit(1.0).alias("weight"))
     # the families weigh as much as the sample
     rows = parts.withColumn("weight", F.lit(4.0)).union(sample.withColumn("weight", F.lit(1.0)))
-    return rows.withColumn("held", F.pmod(F.xxhash64("words", F.lit(11)), F.lit(4)) == 0)
+    rows = rows.withColumn("held", F.pmod(F.xxhash64("words", F.lit(11)), F.lit(4)) == 0)
+    for held in (False, True):
+        rows = rows.union(nothing.withColumn("held", F.lit(held)))
+    return rows
 
 
 def _features() -> list:
@@ -137,10 +161,8 @@ class Scanner:
         scored = self._scored(rows).select("margin", (F.col("family") != UNKNOWN).cast("double").alias("label"),
                                            "held", "weight").where("held")
         scored = VectorAssembler(inputCols=["margin"], outputCol="m").transform(scored)
-        self.calibration = None
-        if scored.agg(F.count_distinct("label")).first()[0] == 2:
-            fit = LogisticRegression(featuresCol="m", labelCol="label", regParam=1e-3).fit(scored)
-            self.calibration = (float(fit.coefficients[0]), float(fit.intercept))
+        fit = LogisticRegression(featuresCol="m", labelCol="label", regParam=1e-3).fit(scored)
+        self.calibration = (float(fit.coefficients[0]), float(fit.intercept))
 
     def _scored(self, rows: DataFrame) -> DataFrame:
         raw = self.model.transform(rows).withColumn("_r", vector_to_array("raw")).drop(
@@ -153,7 +175,7 @@ class Scanner:
     def predict(self, lines: DataFrame) -> DataFrame:
         """Lines predicted to be licence notices: id, mark, pos, family,
         probability, containment, confirmed."""
-        a, b = self.calibration or (1.0, 0.0)
+        a, b = self.calibration
         found = self._scored(lines).withColumn("probability", 1 / (1 + F.exp(-(F.col("margin") * a + b)))).where(
             F.col("probability") >= MIN_PROBABILITY)
         own = _triples(F.col("words"))

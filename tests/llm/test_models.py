@@ -141,6 +141,26 @@ def test_licence_notices(spark):
     assert all(got[i]["n_paragraphs"] == len(docs[i][1].split("\n")) for i in truth)
 
 
+def test_licence_sample_counts_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "SAMPLE", 40)
+    rng = random.Random(9)
+    note = "Released under the MIT License."
+    lines = [f"{prose(rng, 12)} {i}" for i in range(300)]
+    docs = [(i, "\n".join([*(lines[:60] * 3), lines[i], note]), "en", "s") for i in range(300)]
+    sample = rows(licenses._training(licenses.raw_paragraphs(table(spark, docs))).where("family = 'unknown' AND size(words) > 0"))
+    assert len({tuple(r["words"]) for r in sample}) == len(sample) == 40
+
+
+def test_licence_notices_among_few_distinct_lines(spark):
+    rng = random.Random(10)
+    common, note = [prose(rng, 20) for _ in range(3)], "Released under the MIT License."
+    for clean in ([], common):
+        docs = [(i, "\n".join([*clean, note] if i % 2 or not clean else clean), "en", "s") for i in range(60)]
+        for r in rows(licenses.scan(table(spark, docs))):
+            noted = r["doc_id"] % 2 == 1 or not clean
+            assert (r["n_predicted"], r["family"]) == ((1, "mit") if noted else (0, None)), (len(clean), r)
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame([
         (1, "https://www.a.example.de:80/x", '<!DOCTYPE html><HTML class="y" lang="de-AT"><script>let en=1</script><p>der <b>Text</b></p></html>'),
