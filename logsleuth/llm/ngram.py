@@ -17,7 +17,9 @@ alone, n-gram counts are all that the model holds.
 Counting and looking up are one exchange (``blocks``): a block of documents
 sends its distinct n-grams with their training counts and gets back the counts
 of the whole training text, which is the part of the automaton that its own
-texts can reach.  Texts are then traversed left to right: the state after a
+texts can reach.  No automaton with stored states and failure arcs is built: the
+counts of the n-grams that end at a token and of their contexts give the weights
+of its arcs and failure arcs there.  Texts are traversed left to right: the state after a
 word is the longest known context, failure arcs are followed until an arc for
 the next word is found, weights are added.  The traversal of a block runs over
 arrays, one step for each length of context.
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from logsleuth.llm import blocks, common, hashing
 
-ORDER = 2
+ORDER = 3
 FOLDS, HELD_FOLD = 5, 1
 _END = np.uint64(0x5EEDED0FEED5EED1)
 _START = np.uint64(0x57A27057A2757A27)

@@ -87,6 +87,14 @@ def test_scores_equal_brute_force(spark, monkeypatch):
     assert sum(x[5] for x in held) > sum(x[4] for x in held) * 1.2  # near the unigram on random prose
 
 
+def test_production_scores_are_of_order_three(spark):
+    rng = random.Random(11)
+    docs = [(i, prose(rng, 30), "en", "s") for i in range(40)]
+    want = brute_scores(docs, 3)
+    for r in rows(ngram.score(table(spark, docs).checkpoint())):
+        assert math.isclose(r["score"], want[r["doc_id"]][5], rel_tol=1e-9)
+
+
 LETTERS = {"en": "the of and ing tion th wh er", "de": "der die und sch ung keit ein ü", "fr": "le la eau oi que é ê ment"}
 
 
