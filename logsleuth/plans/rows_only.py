@@ -93,7 +93,7 @@ def q_detection_job(spark, d):
 
 def q_intel_job(spark, d):
     """R6 phase 3 on the alert table: clusters, risk, classifier, triage, plan, report."""
-    return report_json(I.run_intel(Q.alerts_df(spark, d), n_init=2, generated_at=Q.DETECTED_AT).report)
+    return report_json(I.run_intel(Q.alerts_df(spark, d), generated_at=Q.DETECTED_AT).report)
 
 
 QUERIES = {

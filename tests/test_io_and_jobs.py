@@ -1,8 +1,10 @@
 """Sources, sinks and the two jobs end to end."""
 
+import inspect
 import json
 import os
 import tempfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,3 +135,20 @@ def test_network_alias_scan_defaults(spark, scratch):
     df = aliases.load_network_logs(spark, p)
     assert df.columns == ["timestamp", "src_ip", "dst_port", "packets", "bytes_sent", "dst_ip", "protocol"]
     assert df.first()["protocol"] == "UNKNOWN"
+
+
+def test_intel_job_fits_kmeans_as_often_as_the_operator(monkeypatch):
+    from logsleuth import constants as C
+    from logsleuth.plans import rows_only as R
+    real, n = R.I.run_intel, []
+
+    def run(*args, **kw):
+        call = inspect.signature(real).bind(*args, **kw)
+        call.apply_defaults()
+        n.append(call.arguments["n_init"])
+        return SimpleNamespace(report=None)
+    monkeypatch.setattr(R.I, "run_intel", run)
+    monkeypatch.setattr(R.Q, "alerts_df", lambda spark, d: None)
+    monkeypatch.setattr(R, "report_json", lambda report: report)
+    R.q_intel_job(None, None)
+    assert n == [C.KMEANS_N_INIT]
