@@ -9,7 +9,8 @@ containment of 0.8 gives a Jaccard similarity of at least
 
     s = 0.8 (u/2) / (1.5 u + 0.2 (u/2)) = 0.25,
 
-whatever the length of the document.  The signature has ``PERMS`` minima, each
+whatever the length of the document.  The smallest class has the items of one
+and two shingles and blocks of one shingle: here s is at least 1/3.  The signature has ``PERMS`` minima, each
 a band of its own; an item is a candidate where any band is equal, which is
 missed with probability (1 - s) ** PERMS (below 1e-4).  Block minima are
 computed once for the smallest class and merged upwards.  Candidates are
@@ -30,7 +31,7 @@ from logsleuth.llm import common, hashing
 SHINGLE = 5
 CONTAINMENT = 0.8
 PERMS = 34
-FINEST = 4  # shingles in a block of the smallest class that may be
+FINEST = 1  # shingles in a block of the smallest class that may be
 MAX_INDEX_ITEMS = 100_000
 MAX_INDEX_BYTES = 64 << 20
 _CHUNK = 1 << 16  # shingles hashed at a time

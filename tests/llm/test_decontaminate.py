@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from logsleuth.llm import decontaminate as D
 from tests.llm.helpers import prose, rows, table, words
 
@@ -60,3 +62,11 @@ def test_short_item_in_a_very_long_document(spark):
     long = [f"v{rng.randrange(10**6)}" for _ in range(90_000)]
     docs = table(spark, [(1, " ".join(long[:70_001]) + " " + item + " " + " ".join(long[70_001:]), "en", "s")])
     assert found(D.contained_items(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))) == {(1, 7, 8, 8)}
+
+
+def test_items_of_one_shingle_are_not_missed():
+    rng = random.Random(12)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(5)).encode()) for i in range(2000)]
+    filler = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(60))
+    texts = pa.array([f"{filler()} {t.decode()} {filler()}".encode() for _, t in items], pa.large_binary())
+    assert sorted(D.Index(items).search(texts)) == [(i, i, 1, 1) for i in range(2000)]
