@@ -69,15 +69,20 @@ def base_metrics(docs: DataFrame, **keep: Column) -> DataFrame:
         "n_repeat_words")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(host, id, mark, line hash) with the words of the line, summed: ``mark``
-    tells rows apart that share a doc_id but not the text."""
+def _normal_lines(docs: DataFrame) -> DataFrame:
+    """(host, id, mark, pos, norm) of the non-blank lines: ``mark`` tells rows
+    apart that share a doc_id but not the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("source").alias("host"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("mark"),
-                       F.explode(F.split(text, "\n")).alias("line"))
+                       F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     norm = F.regexp_replace(F.regexp_replace(F.btrim("line", F.lit(common.BLANKS)), common.GAP, " "), "[0-9]", "0")
     norm = F.translate(norm, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = rows.select("host", "id", "mark", norm.alias("norm")).where("norm <> ''").select(
+    return rows.select("host", "id", "mark", "pos", norm.alias("norm")).where("norm <> ''")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(host, id, mark, line hash) with the words of the line, summed."""
+    rows = _normal_lines(docs).select(
         "host", "id", "mark", F.xxhash64("norm").alias("hash"),
         (F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1).cast("long").alias("words"))
     return rows.groupBy("host", "id", "mark", "hash").agg(F.sum("words").alias("words"))
@@ -93,6 +98,11 @@ def frequent_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
         F.col("docs") > MAX_SHARE * F.col("size")).select("host", "hash")
 
 
+def _same(df: DataFrame, host: str, key: str, mark: str) -> Column:
+    """Whether a row of ``df`` (host, doc_id, mark) is the document of the other columns."""
+    return df["host"].eqNullSafe(F.col(host)) & df["doc_id"].eqNullSafe(F.col(key)) & (df["mark"] == F.col(mark))
+
+
 def quality(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the base measures, base_failed,
     n_removed (words in removed lines), kept.
@@ -103,7 +113,37 @@ def quality(docs: DataFrame) -> DataFrame:
     An empty table gives an empty one; other columns are not read."""
     common.prepare(docs.sparkSession)
     lines = _lines(docs).checkpoint()  # three branches read it: normalise and hash once
-    bad = frequent_lines(lines, docs).select(F.col("host").alias("bad_host"), F.col("hash").alias("bad_hash"))
+    return _judged(docs, lines, _bad_lines(lines, docs)).drop("host", "mark")
+
+
+def kept_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows that ``quality`` keeps, without the lines that
+    it counts in n_removed; the other lines stand as they were, in their order."""
+    common.prepare(docs.sparkSession)
+    lines = _lines(docs).checkpoint()
+    bad = _bad_lines(lines, docs).checkpoint()
+    # stored, so that the filter is not pushed into the measures; equal rows are judged alike
+    judged = _judged(docs, lines, bad).select("host", "doc_id", "mark", "kept").checkpoint()
+    sure = judged.where("kept").select(F.col("host").alias("k_host"), F.col("doc_id").alias("k_id"),
+                                       F.col("mark").alias("k_mark")).distinct()
+    kept = docs.select(F.col("source").alias("host"), "doc_id", F.xxhash64("text").alias("mark"), "text")
+    kept = kept.join(sure, _same(kept, "k_host", "k_id", "k_mark"), "left_semi")
+    at = _normal_lines(docs).select("host", "id", "mark", "pos", F.xxhash64("norm").alias("hash"))
+    at = at.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("hash") == F.col("bad_hash")))
+    at = at.groupBy(F.col("host").alias("a_host"), F.col("id").alias("a_id"), F.col("mark").alias("a_mark")).agg(
+        F.collect_set("pos").alias("gone"))
+    rows = kept.join(at, _same(kept, "a_host", "a_id", "a_mark"), "left").withColumn("_lines", F.split("text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
+    rest = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
+    return rows.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("text"))
+
+
+def _bad_lines(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    return frequent_lines(lines, docs).select(F.col("host").alias("bad_host"), F.col("hash").alias("bad_hash"))
+
+
+def _judged(docs: DataFrame, lines: DataFrame, bad: DataFrame) -> DataFrame:
+    """The columns of ``quality`` with host and mark."""
     hit = lines.join(bad, F.col("host").eqNullSafe(F.col("bad_host")) & (F.col("hash") == F.col("bad_hash")))
     removed = hit.groupBy("host", "id", "mark").agg(F.sum("words").alias("gone"))
     # equal rows have been summed together: how many there are, to divide by
@@ -113,12 +153,11 @@ def quality(docs: DataFrame) -> DataFrame:
                          & (F.col("mark") == F.col("r_mark")))
              .select("r_host", "r_id", "r_mark", "gone", "had"))
     base = base_metrics(docs, doc_id=F.col("doc_id"), host=F.col("source"), mark=F.xxhash64("text"))
-    out = base.join(share, F.col("host").eqNullSafe(F.col("r_host")) & F.col("doc_id").eqNullSafe(F.col("r_id"))
-                    & (F.col("mark") == F.col("r_mark")), "left")
+    out = base.join(share, _same(base, "r_host", "r_id", "r_mark"), "left")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     gone = F.coalesce(F.expr("n_words * gone div had"), F.lit(0)).cast("long")
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "host", "mark", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), gone.alias("n_removed"),
         (~failed & (100 * gone <= MAX_REMOVED_PERCENT * F.col("n_words"))).alias("kept"))
 

@@ -1,6 +1,7 @@
 """Quality rules and mixing: against brute force and against their SQL form."""
 
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -51,6 +52,22 @@ def test_quality_equals_sql_and_brute_force(spark, tmp_path):
     assert by[52]["n_removed"] == 12 * 7 and not by[52]["kept"]
 
 
+def test_kept_texts_lose_the_removed_lines(spark):
+    docs = quality_docs()
+    docs += [docs[0], (None, docs[16][1], "en", "h0"), (902, docs[12][1] + "\n\n \n" + prose(random.Random(2), 60), "en", "h0")]
+    df = table(spark, docs)
+    want, size = Counter(), {}
+    for d, text, *_ in docs:
+        lines = [x for x in text.split("\n") if not re.fullmatch(r"page \d\d+ of the site menu footer", " ".join(x.lower().split()))]
+        size[d] = len(words(text)) - len(words("\n".join(lines)))
+        want[d, "\n".join(lines)] += 1
+    by = {r["doc_id"]: r for r in rows(quality.quality(df))}
+    assert any(r["kept"] and r["n_removed"] for r in by.values())
+    assert all(r["n_removed"] == size[d] for d, r in by.items())
+    got = Counter((r["doc_id"], r["text"]) for r in rows(quality.kept_texts(df)))
+    assert got == {k: n for k, n in want.items() if by[k[0]]["kept"]}
+
+
 def mixing_docs(seed=2):
     rng = random.Random(seed)
     sources = [None, "é", "a", "B", "b", "zz"]
