@@ -106,8 +106,9 @@ def _unknown(raw: DataFrame, seen: list[str]) -> DataFrame:
     share = 2 * SAMPLE / max(distinct, 1)
     while True:
         near = lines if share >= 1 else lines.where(F.col("hash") < F.lit(int(share * 2 ** 64) - 2 ** 63))
-        near = near.distinct().select("hash", "line", _tokens(F.col("line")).alias("words")).where(
-            ~F.arrays_overlap(_triples(F.col("words")), F.array(*[F.lit(x) for x in seen])))
+        # stored before the filter: inside it the words would be cut anew for every triple of a line
+        near = near.distinct().select("hash", "line", _tokens(F.col("line")).alias("words")).checkpoint()
+        near = near.where(~F.arrays_overlap(_triples(F.col("words")), F.array(*[F.lit(x) for x in seen])))
         sample = near.orderBy("hash", "line").limit(SAMPLE).select("words").checkpoint()
         if share >= 1 or sample.count() == SAMPLE:
             return sample

@@ -32,7 +32,7 @@ _NUMBER = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _DIGITS = re.compile(r"[0-9]+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _USERINFO = re.compile(r"://[^\s/@<>\"']+@[A-Za-z0-9.\[\]:-]*[A-Za-z0-9\]](?:/[^\s<>\"']*)?")
-_GAP = r"[ \t]*(?:number|no\.?|id)?[ \t]*[:=#]?[ \t]*"
+_GAP = r"[ \t]*(?:(?:number|no\.?|id)[ \t]*)?(?:[:=#][ \t]*)?"
 _IBAN = re.compile(_GAP + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
 _ACCOUNT = re.compile(_GAP + r"([0-9](?:[ -]?[0-9]){5,19})(?![A-Za-z0-9])", re.IGNORECASE)
 _VALUE = re.compile(r"[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_+/=.-]{8,})")
@@ -149,9 +149,10 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                     out["account"].append((m.start(1), stop))
                     end["account"] = stop
         elif last + 1 >= end["secret"] and (m := _VALUE.match(text, last + 1)):
+            # a value without a digit is used up too: a value that starts inside it ends where it ends
+            end["secret"] = m.end(1)
             if any("0" <= c <= "9" for c in m.group(1)):
                 out["secret"].append(m.span(1))
-                end["secret"] = m.end(1)
     return [(k, s, e) for k in KINDS for s, e in out[k]]
 
 

@@ -1,6 +1,8 @@
 """Nulls in any column, empty and long texts, ties, repeated rows, an empty
 table, and extra columns with clashing names: every operator and stage."""
 
+import time
+
 import pytest
 
 import corpus_pipeline
@@ -62,3 +64,15 @@ def test_stages(spark, tmp_path):
     assert sizes == [8, 6, 6, 6]
     assert out.columns == [c for c in docs.columns if c not in ("copy", "shard")] + ["copy", "shard", "place"]
     assert out.count() > 0
+
+
+def test_time_of_a_long_line_is_linear(spark):
+    """The licence sample and scan cut each line into words once."""
+    took = []
+    for n in (2_000, 100_000):
+        docs = table(spark, [(1, "word and more " * (n // 3), "en", "a"), (2, "all rights reserved.", "en", "a")])
+        licenses.raw_paragraphs(docs).count()
+        start = time.perf_counter()
+        assert len(rows(licenses._unknown(licenses.raw_paragraphs(docs), ["all rights reserved"]))) == 1
+        took.append(time.perf_counter() - start)
+    assert took[1] < 15 * took[0], took

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from logsleuth.llm import pii
 from tests.llm.helpers import rows, table
@@ -67,3 +68,18 @@ def test_overlapping_spans_are_replaced_once():
     text = "call +1 4111 1111 1111 1111 1 now"
     assert pii.redact("ab", [("card", 0, 2), ("phone", 1, 2)]) == "<CARD>"
     assert "4111" not in pii.redact(text, [("phone", 5, 20), ("card", 8, 29)])
+
+
+def test_repeated_cues_take_linear_time():
+    def seconds(text):
+        start = time.perf_counter()
+        pii.find_spans(text)
+        return time.perf_counter() - start
+    for unit in ("secret=", "token:a", "account   ", "iban number", "konto" + " " * 50, "@a.", "+1 (", "://a", "1.1-", "secret\t"):
+        seconds(unit * 1000)
+        assert seconds(unit * 40_000) < 20 * max(seconds(unit * 4_000), 0.01), unit
+
+
+def test_a_value_without_digits_hides_no_later_one():
+    text = "secret=my_token : abc12345 and password=passwd=letters; token=secret=onlyletters9 account   number  =  12345678"
+    assert [text[s:e] for _, s, e in pii.find_spans(text) if _ != "card"] == ["12345678", "abc12345", "secret=onlyletters9"]
