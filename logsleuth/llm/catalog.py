@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from logsleuth.llm import common, decontaminate, language, licenses, mixing, ngram, pii, quality, simhash, substrings, wordpiece
+from logsleuth.llm import (common, decontaminate, language, licenses, merkle, mixing, ngram, phrases, pii, quality, simhash,
+                           substrings, warc, wordpiece)
 
 
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,19 @@ def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(common.documents(spark, sf_dir))
 
 
+def op11_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.prepare(spark)
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(common.documents(spark, sf_dir))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(common.documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -71,8 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_frequency, op2_wordpiece_counts, op3_ngram_scores,
                             op4_licence_scan, op5_benchmark_containment, op6_substring_dedup,
                             op7_language_fusion, op8_source_mix,
-                            op9_simhash_dedup, op10_pii_anchors, pipeline, page_language)}
+                            op9_simhash_dedup, op10_pii_anchors, op11_warc_captures,
+                            op12_collocations, op13_merkle_manifest, pipeline, page_language)}
 # the other operators have no SQL form; their tests compare them with brute force
 SQL: dict[str, str] = {"op1_line_frequency": quality.SQL, "op5_benchmark_containment": decontaminate.SQL,
                        "op6_substring_dedup": substrings.SQL,
-                       "op8_source_mix": mixing.SQL}
+                       "op8_source_mix": mixing.SQL, "op11_warc_captures": warc.SQL,
+                       "op12_collocations": phrases.SQL, "op13_merkle_manifest": merkle.SQL}

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import uuid
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -59,6 +61,40 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: cuts the
+    lineage, and its readers know its size."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+HOT = 1000  # keys of a table that are looked up by broadcast
+
+
+def look_up(rows: DataFrame, key: str, spread: str, table: DataFrame, out: str) -> DataFrame:
+    """``rows`` with ``out``, the struct of the row of ``table`` whose ``key``
+    is the same, or null.  ``table`` is stored, has distinct values of ``key``
+    and ``n``, the number of rows that ask for each.
+
+    The ``HOT`` most wanted keys are broadcast (so many rows at most), and the
+    rows that they serve go through the join with the others by ``spread``."""
+    columns = [c for c in table.columns if c != key]
+    hot = table.orderBy(F.desc("n"), key).limit(HOT).select(F.col(key).alias("__k1"), F.struct(*columns).alias("__v1"))
+    rows = rows.join(F.broadcast(hot), F.col(key) == F.col("__k1"), "left")
+    asked = F.when(F.col("__k1").isNull(), F.col(key))
+    rest = table.select(F.col(key).alias("__k2"), F.lit(0).alias("__salt"), F.struct(*columns).alias("__v2"))
+    rows = rows.withColumn("__served", F.when(asked.isNull(), F.xxhash64(spread)).otherwise(F.lit(0).cast("long")))
+    found = (F.coalesce(asked, F.lit("")) == F.col("__k2")) & (F.col("__served") == F.col("__salt"))
+    return rows.join(rest, found, "left").withColumn(out, F.coalesce("__v1", "__v2")).drop(
+        "__k1", "__v1", "__k2", "__v2", "__salt", "__served")
+
+
 class Memo(dict):
     """A dictionary that computes missing values and starts again when full,
     so its memory is bounded whatever the number of distinct keys."""
