@@ -16,19 +16,22 @@ alone, n-gram counts are all that the model holds.
 
 Counting and looking up are one exchange (``blocks``): a block of documents
 sends its distinct n-grams with their training counts and gets back the counts
-of the whole training text, which is the part of the automaton that its own
-texts can reach.  No automaton with stored states and failure arcs is built: the
-counts of the n-grams that end at a token and of their contexts give the weights
-of its arcs and failure arcs there.  Texts are traversed left to right: the state after a
-word is the longest known context, failure arcs are followed until an arc for
-the next word is found, weights are added.  The traversal of a block runs over
-arrays, one step for each length of context.
+of the whole training text.  From these it builds the part of the automaton
+that its own texts can reach (``Automaton``): states, arcs and failure arcs with
+their weights.  Each text is traversed once from left to right; the traversal
+carries its state, follows failure arcs until the state has an arc for the next
+word, takes it, and adds the weights.
+
+Words have 64-bit keys.  Keys of longer n-grams are cut to ``SPARE_BITS`` more
+bits than the text has bytes, at most 64: about one n-gram in 2 ** 21 shares
+its key with another at any size, and then both have the sum of their counts.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,9 @@ from pyspark.sql import DataFrame, functions as F
 from logsleuth.llm import blocks, common, hashing
 
 ORDER = 3
+SPARE_BITS = 20
 FOLDS, HELD_FOLD = 5, 1
+_STEP = 1 << 16  # tokens of a text that are walked at a time
 _END = np.uint64(0x5EEDED0FEED5EED1)
 _START = np.uint64(0x57A27057A2757A27)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -63,7 +68,13 @@ def _tokens(block: blocks.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tokens, doc, np.arange(len(tokens)) - first[doc]
 
 
-def _grams(tokens: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
+def _short(total: int) -> np.uint64:
+    """Mask of the bits kept of the keys of n-grams of two and more words."""
+    bits = min(64, int(total).bit_length() + SPARE_BITS)
+    return np.uint64(((1 << bits) - 1) << (64 - bits))
+
+
+def _grams(tokens: np.ndarray, place: np.ndarray, order: int, short: np.uint64) -> list[np.ndarray]:
     """For each length 1..order the key of the n-gram that ends at each token;
     before its first word a text has start tokens."""
     out = [hashing.mix(tokens)]
@@ -71,19 +82,19 @@ def _grams(tokens: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray
         before = np.roll(tokens, k)
         before[place < k] = _START
         out.append(hashing.mix(out[-1] * _ODD + hashing.mix(before) + np.uint64(k)))
-    return out
+    return out[:1] + [x & short for x in out[1:]]
 
 
-def _keys(block: blocks.Block, order: int):
+def _keys(block: blocks.Block, order: int, short: np.uint64):
     tokens, doc, place = _tokens(block)
-    keys, inverse = np.unique(np.concatenate(_grams(tokens, place, order)), return_inverse=True)
+    keys, inverse = np.unique(np.concatenate(_grams(tokens, place, order, short)), return_inverse=True)
     return keys, inverse.reshape(order, -1), doc, place
 
 
-def _ask(block: blocks.Block, order: int) -> list[np.ndarray]:
+def _ask(block: blocks.Block, order: int, short: np.uint64) -> list[np.ndarray]:
     """Distinct n-grams of a block with their counts in its training documents
     and their length."""
-    keys, inverse, doc, _ = _keys(block, order)
+    keys, inverse, doc, _ = _keys(block, order, short)
     train = ~np.array([held_out(x) for x in block.ids.to_pylist()], bool)
     train = train[doc]
     count = np.bincount(inverse[:, train].ravel(), minlength=len(keys)) if len(doc) else np.empty(0, np.int64)
@@ -126,31 +137,56 @@ class Weights:
         return context ** self.exponent[k - 1]
 
 
-def _traverse(weights: Weights, counts: list[np.ndarray], place: np.ndarray, ends: float) -> np.ndarray:
-    """Weight that the traversal adds at each token.  ``counts[k]`` has the
-    count of the (k + 1)-gram ending there, ``ends`` the number of training
-    texts, which is the count of every context of start tokens alone."""
-    order = len(counts)
-    arcs = [weights.root(counts[0])]  # log10 p for each length of context
-    fails, seen = [None], [np.ones(len(place), bool)]
-    for k in range(1, order):
-        context = np.roll(counts[k - 1], 1)
-        context[place == 0] = ends
-        known = context > 0
-        mass = np.where(known, weights.mass(k, np.maximum(context, 1)), 1.0)
-        whole = np.where(known, context, 0) + mass
-        arcs.append(np.log10((counts[k] + mass * 10.0 ** arcs[-1]) / whole))
-        fails.append(np.log10(mass / whole))  # 0 where there is no such state
-        seen.append(counts[k] > 0)
-    total = np.zeros(len(place))
-    walking = np.ones(len(place), bool)
-    for k in range(order - 1, -1, -1):  # from the longest context, by failure arcs
-        here = walking & seen[k]
-        total[here] += arcs[k][here]
-        walking &= ~here
-        if k:
-            total[walking] += fails[k][walking]
-    return total
+class Automaton:
+    """The states and arcs that the texts of a block can reach.
+
+    The arc for the last word of an n-gram leaves the state of the words before
+    it; both bear the number of the n-gram.  ``weight`` has the weight of an
+    arc, ``has`` whether it exists, ``fail`` the weight of the failure arc of
+    the state that an n-gram is (to the state without its first word).  The
+    root has an arc for every word.  ``start`` has the weights of the failure
+    arcs of the start states, contexts of start tokens alone, by length."""
+
+    def __init__(self, weights: Weights, count: np.ndarray, grams: np.ndarray, place: np.ndarray, ends: float):
+        """``count`` of each n-gram, ``grams[k]``: the (k + 1)-gram that ends at
+        each token, ``ends``: the number of training texts, which is the count
+        of each start state."""
+        self.grams, self.order = grams, len(grams)
+        weight, fail = np.zeros(len(count)), np.zeros(len(count))
+        self.start = [0.0] * self.order
+        lower = weights.root(count[grams[0]])  # log10 p with the context that is a word shorter
+        weight[grams[0]] = lower
+        first = place == 0
+        for k in range(1, self.order):
+            state = np.roll(grams[k - 1], 1)
+            context = np.where(first, ends, count[state])
+            known = context > 0
+            mass = np.where(known, weights.mass(k, np.maximum(context, 1)), 1.0)
+            whole = np.where(known, context, 0) + mass
+            lower = np.log10((count[grams[k]] + mass * 10.0 ** lower) / whole)
+            weight[grams[k]] = lower
+            down = np.log10(mass / whole)
+            fail[state[~first]] = down[~first]
+            self.start[k] = float(down[first][0])
+        self.weight, self.fail = array("d", weight.tobytes()), array("d", fail.tobytes())
+        has = count > 0
+        has[grams[0]] = True
+        self.has = has.tobytes()
+
+    def walk(self, first: int, last: int) -> float:
+        """Weight of the traversal of the text with the tokens first..last - 1."""
+        weight, fail, has, longest = self.weight, self.fail, self.has, self.order - 1
+        total, size, before = 0.0, longest, None  # the state: the last ``size`` words, the n-gram before[size - 1]
+        for lo in range(first, last, _STEP):
+            for words in zip(*(g[lo:min(lo + _STEP, last)].tolist() for g in self.grams)):
+                while not has[words[size]]:
+                    total += fail[before[size - 1]] if before else self.start[size]
+                    size -= 1
+                total += weight[words[size]]
+                if size < longest:
+                    size += 1
+                before = words
+        return total
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -167,24 +203,28 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     common.prepare(spark)
     rows = docs.select(F.col("doc_id").alias("id"), "text")
     kind = dict(rows.dtypes)["id"]
-    buckets = blocks.buckets_for(blocks.text_bytes(rows))
-    known = blocks.answer(blocks.ask(rows, buckets, lambda b: _ask(b, order)), _count(order)).checkpoint()
+    total = blocks.text_bytes(rows)
+    buckets, short = blocks.buckets_for(total), _short(total)
+    known = blocks.answer(blocks.ask(rows, buckets, lambda b: _ask(b, order, short)), _count(order)).checkpoint()
     figures = known.where("stats IS NOT NULL").select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(
         F.sum("x").alias("x")).orderBy("i").collect()  # one row for each figure
     weights = Weights(np.array([r["x"] for r in figures]), order) if figures else None
 
     def run(block, _, replies):
-        keys, inverse, doc, place = _keys(block, order)
-        counts = [replies[0][i].astype(np.float64) for i in inverse]
-        last = np.flatnonzero(np.diff(doc, append=-1))
-        step = _traverse(weights, counts, place, float(counts[0][last[0]]))
+        keys, inverse, doc, place = _keys(block, order, short)
+        del keys
+        count = replies[0].astype(np.float64)
+        first = np.flatnonzero(place == 0).tolist() + [len(place)]
+        counts = count[inverse[0]]
+        machine = Automaton(weights, count, inverse, place, float(counts[first[1] - 1]))  # of the end token
         n = len(block.ids)
-        base = weights.root(counts[0])
+        base = weights.root(counts)
         held = [held_out(x) for x in block.ids.to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [block.ids, pa.array(held, pa.bool_()), pa.array(np.bincount(doc, minlength=n)),
-             pa.array(np.bincount(doc, counts[0] > 0, n).astype(np.int64)), pa.array(np.full(n, int(weights.tokens))),
-             pa.array(np.bincount(doc, base, n)), pa.array(np.bincount(doc, step, n))],
+             pa.array(np.bincount(doc, counts > 0, n).astype(np.int64)), pa.array(np.full(n, int(weights.tokens))),
+             pa.array(np.bincount(doc, base, n)),
+             pa.array([machine.walk(a, b) for a, b in zip(first, first[1:])], pa.float64())],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return blocks.meet(rows, known, 1, run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, "
                        "train_tokens bigint, base_score double, score double")
