@@ -7,11 +7,12 @@ sequence is the flow out of it, the sum of what continues it, plus the pieces
 that end with it.  Chains of nodes with one edge in and one out of equal weight
 are compacted to a path, whose inner nodes have the path's weight as count.
 
-A phrase is frequent only if each pair of neighbouring words in it is, so a
-piece is cut where a pair is rare.  The cuts are piece ends like any other: no
-count of a frequent phrase changes.  Which words and pairs are frequent is sent
-to the tasks as bit maps of a fixed size; bits shared by chance keep a rare
-pair and lose nothing.
+A phrase is frequent only if the pairs and triples of neighbouring words in it
+are, so a sequence is cut before the word with which a rare one ends.  Cuts are
+piece ends like any other: no count of a frequent phrase changes, and the graph
+holds little more than frequent phrases.  What is frequent is sent to the tasks
+as bit maps of a fixed size; bits shared by chance keep a rare pair and lose
+nothing.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ KEEP = 2000            # phrases returned for a language
 SLICE_BYTES = 8 << 20  # text that a task counts at a time
 MAP_BITS = 27          # size of a bit map: 16 MB
 _CHUNK_BITS = 16
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 # space and tab part words, the other delimiters end pieces; A-Z are lower-cased
 _TABLE = np.arange(256, dtype=np.uint8)
@@ -61,13 +61,10 @@ class _Pieces:
     def word_keys(self) -> np.ndarray:
         return hashing.mix(self.words.hash ^ self.salt)
 
-    def pair_keys(self) -> np.ndarray:
-        """Key of the pair that starts at each word but the last."""
-        key = self.word_keys()
-        return hashing.mix(key[:-1] * _ODD + key[1:])
-
-    def together(self) -> np.ndarray:
-        return self.piece[1:] == self.piece[:-1]
+    def within(self, n: int) -> np.ndarray:
+        """Words from which ``n`` words stand in one piece."""
+        last = self.piece[n - 1:]
+        return np.flatnonzero(self.piece[:len(last)] == last)
 
 
 def _slices(batches, limit: int = SLICE_BYTES):
@@ -84,11 +81,9 @@ def _slices(batches, limit: int = SLICE_BYTES):
         yield _Pieces(pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]))
 
 
-def _tally(keys: np.ndarray, lang: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    distinct, first, count = np.unique(keys, return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([names[i] for i in lang[first]], pa.string()), pa.array(distinct.view(np.int64)), pa.array(count.astype(np.int64))],
-        names=["lang", "key", "n"])
+def _tally(*keys: np.ndarray) -> pa.RecordBatch:
+    distinct, count = np.unique(np.concatenate(keys), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(count.astype(np.int64))], names=["key", "n"])
 
 
 def _bit_map(keys: DataFrame, bits: int) -> bytes:
@@ -117,12 +112,12 @@ def _in_map(keys: np.ndarray, bit_map: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _counted(rows: DataFrame, work) -> DataFrame:
-    """Sum of the tallies (lang, key, n) that ``work`` gives for each slice."""
+    """Sum of the tallies (key, n) that ``work`` gives for each slice."""
     def run(batches):
         for pieces in _slices(batches):
             if len(pieces.words.hash):
                 yield work(pieces)
-    return rows.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _spread(spark, data: bytes):
@@ -131,57 +126,76 @@ def _spread(spark, data: bytes):
 
 
 def sequences(rows: DataFrame, longest: int, min_count: int, bits: int = MAP_BITS) -> tuple[DataFrame, DataFrame]:
-    """(edges and piece ends (lang, k, gram, n), words of each language (lang, n)).
+    """(edges and piece ends (lang, k, gram, n), words of each language (lang, total)).
 
-    ``rows`` (lang, text).  For every word that stands in a frequent pair or is
-    frequent itself, the sequence from it to the end of its piece or cut, of at
-    most ``longest`` words, joined by spaces; k is its length."""
+    ``rows`` (lang, text).  For every frequent word the sequence from it to the
+    end of its piece or to a cut, of at most ``longest`` words, joined by
+    spaces; k is its length."""
     spark = rows.sparkSession
-    words = _counted(rows, lambda p: _tally(p.word_keys(), p.lang, p.langs))
-    words = common.stored(words, "phrase-words")
-    total = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    often = _spread(spark, _bit_map(words.where(F.col("n") >= min_count), bits))
-
-    def pairs(p: _Pieces) -> pa.RecordBatch:
-        known = _in_map(p.word_keys(), often.value, bits)
-        at = np.flatnonzero(p.together() & known[1:] & known[:-1])
-        return _tally(p.pair_keys()[at], p.lang[at], p.langs)
-    frequent = _counted(rows, pairs).where(F.col("n") >= min_count).select("key")
-    linked = _spread(spark, _bit_map(frequent, bits))
+
+    def often(tally: DataFrame):
+        return _spread(spark, _bit_map(tally.where(F.col("n") >= min_count).select("key"), bits))
+
+    def short(p: _Pieces) -> pa.RecordBatch:
+        h = p.word_keys()
+        return _tally(h, hashing.windows(h, 2)[p.within(2)] if len(h) > 1 else h[:0])
+    frequent = often(_counted(rows, short))
+
+    def linked(p: _Pieces, h: np.ndarray) -> np.ndarray:
+        """Words from which a frequent pair of a piece goes on."""
+        at = p.within(2)
+        return at[_in_map(hashing.windows(h, 2)[at], frequent.value, bits)] if len(at) else at
+
+    def at_triples(h: np.ndarray, link: np.ndarray) -> np.ndarray:
+        pair = np.zeros(len(h) + 1, bool)
+        pair[link] = True
+        return np.flatnonzero(pair[:-1] & pair[1:])
+
+    def triples(p: _Pieces) -> pa.RecordBatch:
+        h = p.word_keys()
+        at = at_triples(h, linked(p, h))
+        return _tally(hashing.windows(h, 3)[at] if len(at) else h[:0])
+    going_on = often(_counted(rows, triples))
 
     def grams(p: _Pieces) -> pa.RecordBatch:
         h, n = p.word_keys(), len(p.words.hash)
-        known = _in_map(h, often.value, bits)
-        link = np.zeros(n + longest, bool)
-        at = np.flatnonzero(p.together() & known[1:] & known[:-1])
-        link[at[_in_map(p.pair_keys()[at], linked.value, bits)]] = True
-        length = np.ones(n, np.int64)
-        going = link[:n].copy()
-        for k in range(1, longest):
-            length += going
-            going &= link[k:n + k]
+        known = _in_map(h, frequent.value, bits)
+        pair, triple = np.zeros(n + longest, bool), np.zeros(n + longest, bool)
+        link = linked(p, h)
+        pair[link] = True
+        at = at_triples(h, link)
+        if len(at):
+            triple[at[_in_map(hashing.windows(h, 3)[at], going_on.value, bits)]] = True
+        length = 1 + pair[:n].astype(np.int64)
+        more = pair[:n].copy()
+        for k in range(2, longest):  # a triple two words back goes on to word k
+            more &= triple[k - 2:n + k - 2]
+            length += more
+        words = np.bincount(p.lang, minlength=len(p.langs))
         found = []  # (first word, length, occurrences) of the distinct sequences
         for k in range(1, longest + 1):
             at = np.flatnonzero((length == k) & known)
             if len(at):
                 _, first, count = np.unique(hashing.windows(h, k)[at], return_index=True, return_counts=True)
                 found.append((at[first], np.full(len(first), k), count))
-        if not found:
-            return None
-        at, k, count = (np.concatenate(x) for x in zip(*found))
+        at, k, count = (np.concatenate(x) for x in zip(*found)) if found else [np.empty(0, np.int64)] * 3
         data, start, end = p.words.data, p.words.start, p.words.end
         raw = data.tobytes()
         text = [b" ".join(raw[a:b].split()) for a, b in zip(start[at].tolist(), end[at + k - 1].tolist())]
         return pa.RecordBatch.from_arrays(
-            [pa.array([p.langs[i] for i in p.lang[at]], pa.string()), pa.array(k, pa.int32()),
-             pa.array(text, pa.binary()), pa.array(count, pa.int64())], names=["lang", "k", "gram", "n"])
+            [pa.array([p.langs[i] for i in p.lang[at]] + p.langs, pa.string()),
+             pa.array(np.concatenate([k, np.zeros(len(words), np.int64)]), pa.int32()),
+             pa.array(text + [b""] * len(words), pa.binary()), pa.array(np.concatenate([count, words]), pa.int64())],
+            names=["lang", "k", "gram", "n"])
 
     def run(batches):
         for pieces in _slices(batches):
-            if len(pieces.words.hash) and (out := grams(pieces)) is not None:
-                yield out
+            if len(pieces.words.hash):
+                yield grams(pieces)
     out = rows.mapInArrow(run, "lang string, k int, gram binary, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    return common.stored(out.withColumn("gram", F.col("gram").cast("string")), "phrase-edges"), total
+    out = common.stored(out.withColumn("gram", F.col("gram").cast("string")), "phrase-edges")
+    # rows of no words have the number of words of a language
+    return out.where("k > 0"), out.where("k = 0").select("lang", F.col("n").alias("total"))
 
 
 def _head(gram: str, k: int):
