@@ -9,10 +9,6 @@ counts and joins labels back on the feature values as read.
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-from itertools import product
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -20,8 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
 from ..session import checkpoint_dir
-from .components import connected_components
-from .ordering import global_position
+from .density import dbscan
 from .scaling import column_stats, standardise
 
 
@@ -100,62 +95,19 @@ def kmeans_labels(alerts: DataFrame, k: int = C.KMEANS_N_CLUSTERS, out: str = "c
 
 def dbscan_labels(alerts: DataFrame, eps: float = C.DBSCAN_EPS,
                   min_samples: int = C.DBSCAN_MIN_SAMPLES, out: str = "cluster_dbscan") -> DataFrame:
-    """M6: DBSCAN on the standardised features.
-
-    Points of one fine cell (side eps / sqrt(d)) are within eps of each other:
-    a fine cell with enough weight is core as a whole and linked as a star, its
-    pairs are never formed.  Other pairs are found through coarse cells of
-    side eps (each point probes the 3^d around it) and verified exactly.  Core:
-    weight of the neighbourhood (self included) >= ``min_samples``.  Core
-    points are connected to convergence by star contraction; clusters are
+    """M6: DBSCAN on the standardised features, see ``density``.  Clusters are
     numbered by their earliest core row; border points take the smallest
-    adjacent cluster; noise is -1.
-    """
+    adjacent cluster; noise is -1."""
     n = alerts.count()
     if n < C.CLUSTER_MIN_ROWS:
         return alerts.withColumn(out, F.lit(0))
     cols = cluster_feature_columns(alerts)
     num, xcols, stats = _numbers(alerts, cols)
     pts, zc = _points(num, xcols, stats, _order_cols(alerts))
-    d = len(zc)
     # ids are given once: the checkpoint fixes them
-    pts = pts.withColumns({
-        "_pid": F.monotonically_increasing_id(),
-        "_cell": F.array(*[F.floor(F.col(c) / eps).cast("long") for c in zc]),
-        "_fine": F.array(*[F.floor(F.col(c) * (math.sqrt(d) / eps)).cast("long") for c in zc])}).checkpoint()
-    heavy = pts.groupBy("_fine").agg(F.sum("weight").alias("_fw"), F.min("_pid").alias("_hub")).where(
-        F.col("_fw") >= min_samples)
-    pts = pts.join(heavy.select("_fine", "_hub"), "_fine", "left").checkpoint()
-    offsets = [list(o) for o in product((-1, 0, 1), repeat=d)]
-    probe = pts.select("_pid", "_hub", *[F.col(c).alias(f"a_{c}") for c in zc],
-                       F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets]))
-                       .alias("_off"), "_cell")
-    probe = probe.withColumn("_ncell", F.zip_with("_cell", "_off", lambda a, b: a + b)).drop("_cell", "_off")
-    other = pts.select(F.col("_pid").alias("_nid"), F.col("_cell").alias("_ncell"), F.col("_hub").alias("_nhub"),
-                       *[F.col(c).alias(f"b_{c}") for c in zc], F.col("weight").alias("_nw"))
-    dist2 = reduce(lambda a, b: a + b, [(F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in zc])
-    # pairs inside one heavy cell are left out; their star stands for them
-    edges = (probe.join(other, "_ncell").where((dist2 <= eps * eps) & ~F.coalesce(F.col("_hub") == F.col("_nhub"),
-                                                                                 F.lit(False)))
-                  .select("_pid", "_nid", "_nw").checkpoint())
-    light = (edges.join(pts.where("_hub IS NULL").select("_pid"), "_pid", "left_semi")
-             .groupBy("_pid").agg(F.sum("_nw").alias("_nsum")).where(F.col("_nsum") >= min_samples).select("_pid"))
-    core = light.union(pts.where("_hub IS NOT NULL").select("_pid")).checkpoint()
-    linked = (edges.where("_pid < _nid").select("_pid", "_nid")
-              .join(core, "_pid", "left_semi")
-              .join(core.withColumnRenamed("_pid", "_nid"), "_nid", "left_semi").select("_pid", "_nid")
-              .union(pts.where("_hub IS NOT NULL AND _hub <> _pid").select("_pid", "_hub")))
-    comps = connected_components(linked, "_pid", "_nid").withColumnRenamed("node", "_pid")
-    labels = core.join(comps, "_pid", "left").select("_pid", F.coalesce("component", "_pid").alias("_lab"))
-    comp = labels.join(pts.select("_pid", "_first"), "_pid").groupBy("_lab").agg(F.min("_first").alias("_f"))
-    numbered = (global_position(comp, ["_f", "_lab"], "_pos")   # one row per cluster
-                .select("_lab", F.col("_pos").cast("int").alias("_cid")))
-    core_lab = labels.join(numbered, "_lab").select("_pid", "_cid").checkpoint()
-    border = (edges.join(core_lab.withColumnRenamed("_pid", "_nid"), "_nid")
-                   .join(core, "_pid", "left_anti")
-                   .groupBy("_pid").agg(F.min("_cid").alias("_cid")))
-    lab = (pts.join(core_lab.unionByName(border), "_pid", "left")
-              .select(*xcols, F.coalesce("_cid", F.lit(-1)).cast("int").alias(out)))
+    pts = pts.withColumnRenamed("_first", "first").withColumn("pid", F.monotonically_increasing_id()).checkpoint()
+    lab = pts.select("pid", *xcols).join(dbscan(pts, zc, eps, min_samples), "pid").select(
+        *xcols, F.col("label").cast("int").alias(out))
     # joined on the values as read, not on computed ones
     return num.join(lab, xcols, "left").drop(*xcols)
 
