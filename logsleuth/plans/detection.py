@@ -7,6 +7,8 @@ write.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import constants as C
@@ -40,13 +42,18 @@ def network_alerts(raw: DataFrame, window_minutes: int = C.WINDOW_MINUTES,
 
 
 def run_detection(spark: SparkSession, system_path: str, network_path: str, store_path: str,
-                  window_minutes: int = C.WINDOW_MINUTES, reset: bool = True) -> None:
-    """Phase 1 over CSV logs: reset the store, detect, append alerts."""
-    if reset:
-        alert_store.reset_alerts(spark, store_path)
-    sys_raw = csv_logs.with_file_order(csv_logs.read_system_logs(spark, system_path))
+                  window_minutes: int = C.WINDOW_MINUTES, reset: bool = True, run: str | None = None) -> str:
+    """Phase 1 over CSV logs: detect and store the alerts of both logs as one
+    run, then commit it; returns its name.  With ``reset`` the run replaces the
+    earlier ones.  Nothing is seen of a run that stopped half way; the same run
+    once more (``run``) replaces what it stored."""
+    run = run or uuid.uuid4().hex
+    alert_store.reset_alerts(spark, store_path, run)
+    sys_raw = csv_logs.read_system_logs(spark, system_path, file_order=True)
     if not sys_raw.isEmpty():
-        alert_store.save_alerts(system_alerts(sys_raw, window_minutes), store_path)
-    net_raw = csv_logs.with_file_order(csv_logs.read_network_logs(spark, network_path))
+        alert_store.save_alerts(system_alerts(sys_raw, window_minutes), store_path, run)
+    net_raw = csv_logs.read_network_logs(spark, network_path, file_order=True)
     if not net_raw.isEmpty():
-        alert_store.save_alerts(network_alerts(net_raw, window_minutes), store_path)
+        alert_store.save_alerts(network_alerts(net_raw, window_minutes), store_path, run)
+    alert_store.commit_run(spark, store_path, run, replace=reset)
+    return run

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import constants as C
 from ..operators import views as V
 from ..operators.classify import holdout_metrics
-from ..operators.clean import clean_system
+from ..operators.clean import clean_system, first_seen_codes
+from ..operators.density import dbscan
 from ..session import checkpoint_dir
 from ..sources import alert_store, aliases, csv_logs, winevent
 from . import bindings as B, catalog as Q, intel
@@ -34,6 +35,47 @@ def q_csv_scan(spark, d) -> DataFrame:
     return rows.select(F.col("row_id").cast("long").alias("row_id"), "source_ip", "event", "failed_count", "hour")
 
 
+def q_csv_folders(spark, d) -> DataFrame:
+    """Codes by first appearance over nested folders of unequal files."""
+    raw = B.security_log(Q.events(spark, d))
+    path = _scratch(spark, "nested")
+    few = F.col("row_id").cast("long") % 11 == 3
+    for folder, rows in (("a/day=2", raw.where(few)), ("b/x/day=1", raw.where(~few))):
+        # files are named by partition, so paths follow row_id inside a folder
+        rows.withColumn("name", F.concat(F.lit("u"), F.pmod(F.col("row_id") * 7919, F.lit(101)))).repartitionByRange(
+            5, "row_id").sortWithinPartitions("row_id").select(F.col("row_id").alias("given"), "timestamp", "name").write.option(
+            "header", True).csv(f"{path}/{folder}")
+    log = csv_logs.read_log_csv(spark, path, [], "nested log", file_order=True)
+    return first_seen_codes(log, "name", "row_id").groupBy("name", "name_code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_alert_store_runs(spark, d) -> DataFrame:
+    """A run that is written twice, one that was not committed, one that
+    replaces all before it."""
+    path = _scratch(spark, "runs")
+    sys_alerts, net_alerts = Q.sys_alerts_df(spark, d), Q.net_alerts_df(spark, d)
+    alert_store.save_alerts(net_alerts, path, "old")
+    alert_store.commit_run(spark, path, "old")
+    for _ in range(2):
+        alert_store.save_alerts(sys_alerts, path, "new")
+    alert_store.commit_run(spark, path, "new", replace=True)
+    alert_store.save_alerts(sys_alerts, path, "broken")
+    alert_store.save_alerts(net_alerts.where("severity = 4"), path, "more")
+    alert_store.commit_run(spark, path, "more")
+    return alert_store.load_alerts(spark, path).groupBy("log_type", "attack_type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_dbscan_grid(spark, d) -> DataFrame:
+    """M6 on whole numbers: users by hour of day, weighted by their events."""
+    checkpoint_dir(spark)
+    e = Q.events(spark, d).select(F.col("event_id"), (F.col("user_id") % 40).cast("double").alias("x"),
+                                  F.hour("ts").cast("double").alias("y"), F.when(F.col("event_type") == "error", 2.0).otherwise(0.0).alias("z"))
+    points = e.groupBy("x", "y", "z").agg(F.count(F.lit(1)).cast("double").alias("weight"), F.min("event_id").alias("first"))
+    points = points.withColumn("pid", F.monotonically_increasing_id()).checkpoint()
+    least = e.count() / 520
+    return points.join(dbscan(points, ["x", "y", "z"], 1.0, least), "pid").select("x", "y", "z", "weight", "label")
+
+
 def q_alert_store_roundtrip(spark, d) -> DataFrame:
     """Two appends with different optional columns, read as one."""
     path = _scratch(spark, "alerts")
@@ -118,6 +160,7 @@ def q_report_summary(spark, d) -> DataFrame:
 
 QUERIES = {
     "report_summary": q_report_summary,
+    "csv_folders": q_csv_folders, "alert_store_runs": q_alert_store_runs, "dbscan_grid": q_dbscan_grid,
     "csv_scan": q_csv_scan, "alert_store_roundtrip": q_alert_store_roundtrip, "network_alias": q_network_alias,
     "network_rows": q_network_rows, "network_sink": q_network_sink, "holdout_metrics": q_holdout_metrics,
 }
@@ -175,6 +218,30 @@ FROM cand, best"""),
         "count(DISTINCT cluster_kmeans) AS n_campaigns, "
         f"(SELECT count(*) FROM ({_recommendations()})) AS n_recommendations, least(count(*), {C.TOP_ALERTS_K}) AS n_top, "
         "count(attack_type) AS alerts_in_hours FROM clustered"),
+    "csv_folders": _with(
+        ", f AS (SELECT 'u' || CAST(eid * 7919 % 101 AS VARCHAR) AS name, eid % 11 <> 3 AS later, eid FROM ev), "
+        "o AS (SELECT *, row_number() OVER (ORDER BY later, eid) AS pos FROM f), "
+        "g AS (SELECT name, min(pos) AS first, count(*) AS n FROM o GROUP BY name) "
+        "SELECT name, row_number() OVER (ORDER BY first) - 1 AS name_code, n FROM g"),
+    "alert_store_runs": _with(
+        "SELECT log_type, attack_type, severity, count(*) AS n FROM alerts "
+        "WHERE log_type = 'system' OR severity = 4 GROUP BY ALL"),
+    "dbscan_grid": _with(
+        """, pt AS (SELECT uid % 40 AS x, hour(ts) AS y, CASE WHEN et = 'error' THEN 2 ELSE 0 END AS z, count(*) AS weight, min(eid) AS first
+         FROM ev GROUP BY ALL),
+nb AS (SELECT a.x, a.y, a.z, b.x AS x2, b.y AS y2, b.z AS z2, b.weight AS w2 FROM pt a JOIN pt b
+       ON abs(a.x - b.x) + abs(a.y - b.y) <= 1 AND a.z = b.z),
+core AS (SELECT x, y, z FROM nb GROUP BY ALL HAVING sum(w2) >= (SELECT count(*) FROM ev) / 520),
+link AS (SELECT nb.* FROM nb JOIN core USING (x, y, z) JOIN core c2 ON (x2, y2, z2) = (c2.x, c2.y, c2.z)),
+reach AS (
+  WITH RECURSIVE r AS (
+    SELECT x, y, z, x AS hx, y AS hy, z AS hz FROM core
+    UNION SELECT link.x2, link.y2, link.z2, r.hx, r.hy, r.hz FROM r JOIN link USING (x, y, z))
+  SELECT r.x, r.y, r.z, min(pt.first) AS first FROM r JOIN pt ON (pt.x, pt.y, pt.z) = (hx, hy, hz) GROUP BY ALL),
+lab AS (SELECT x, y, z, dense_rank() OVER (ORDER BY first) - 1 AS label FROM reach),
+edge AS (SELECT nb.x, nb.y, nb.z, min(label) AS label FROM nb JOIN lab ON (x2, y2, z2) = (lab.x, lab.y, lab.z) GROUP BY ALL)
+SELECT pt.x, pt.y, pt.z, weight, coalesce(lab.label, edge.label, -1) AS label FROM pt
+LEFT JOIN lab ON (pt.x, pt.y, pt.z) = (lab.x, lab.y, lab.z) LEFT JOIN edge ON (pt.x, pt.y, pt.z) = (edge.x, edge.y, edge.z)"""),
     "csv_scan": _with("SELECT row_id, source_ip, event, failed_count, hour FROM sys_clean"),
     "alert_store_roundtrip": _with(
         "SELECT log_type, row_id, attack_type, severity, confidence, nullif(source_ip, '') AS source_ip, "

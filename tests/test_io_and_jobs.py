@@ -2,6 +2,7 @@
 
 import inspect
 import json
+import gzip
 import os
 import tempfile
 from types import SimpleNamespace
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logsleuth import constants as C
+from logsleuth.operators.clean import first_seen_codes
 from logsleuth.plans import bindings as B, detection as D, intel as I
 from logsleuth.sources import aliases, alert_store, csv_logs, models, report_io
 
@@ -152,3 +154,73 @@ def test_intel_job_fits_kmeans_as_often_as_the_operator(monkeypatch):
     monkeypatch.setattr(R, "report_json", lambda report: report)
     R.q_intel_job(None, None)
     assert n == [C.KMEANS_N_INIT]
+
+
+def _lines(path, lines):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    opener = gzip.open if path.endswith(".gz") else open
+    with opener(path, "wt", encoding="utf-8", newline="") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+def test_nested_folders_in_file_order(spark, scratch):
+    """Splits are dealt by size; row ids follow paths and lines all the same."""
+    root = os.path.join(scratch, "order log")
+    values = {"a/day=1/small {x}.csv": ["zeta", "beta"], "b/big.csv": [f"v{i}" for i in range(60_000)] + ["beta"],
+              "b/c/d/tiny.csv": ["last"], "b/c/zip.csv.gz": ["packed", "v3"], "0/other header.csv": ["first"]}
+    for name, vals in values.items():
+        head, row = ("extra,name", "e,{}") if "other" in name else ("name,extra", "{},e")
+        _lines(os.path.join(root, name), [head] + [row.format(v) for v in vals])
+    open(os.path.join(root, "b", "empty.csv"), "w").close()
+    _lines(os.path.join(root, "b", "_hidden.csv"), ["name,extra", "no,no"])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for most, cost in (old, ("40k", "4k")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            log = csv_logs.read_log_csv(spark, root, [], file_order=True)
+            assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+            got = [r["name"] for r in log.orderBy("row_id").collect()]
+            assert got == [v for name in sorted(values) for v in values[name]]
+            codes = {r["name"]: r["name_code"] for r in first_seen_codes(log, "name").distinct().collect()}
+            assert [codes[v] for v in ("first", "zeta", "beta", "v0", "v59999", "last", "packed")] == [0, 1, 2, 3, 60_002, 60_003, 60_004]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    assert csv_logs.read_log_csv(spark, root, []).count() == sum(map(len, values.values()))
+
+
+def _some(spark, kind, n, **extra):
+    return spark.range(n).selectExpr(f"'{kind}' AS log_type", "id AS row_id", f"'{C.DATA_ORIGIN}' AS data_origin",
+                                     *[f"{v} AS {k}" for k, v in extra.items()])
+
+
+def test_runs_are_repeatable_and_seen_when_committed(spark, scratch):
+    store = os.path.join(scratch, "run store")
+    assert alert_store.load_alerts(spark, store) is None
+    for _ in range(2):  # interrupted after the first log, then repeated
+        alert_store.save_alerts(_some(spark, "system", 5), store, "1")
+    assert alert_store.load_alerts(spark, store) is None
+    alert_store.save_alerts(_some(spark, "network", 3, port=80), store, "1")
+    alert_store.commit_run(spark, store, "1", replace=True)
+    assert alert_store.load_alerts(spark, store).count() == 8
+    alert_store.save_alerts(_some(spark, "system", 100), store, "2")
+    assert alert_store.load_alerts(spark, store).count() == 8
+    alert_store.commit_run(spark, store, "2")
+    assert alert_store.load_alerts(spark, store).count() == 108
+    alert_store.save_alerts(_some(spark, "system", 7), store, "3")
+    alert_store.commit_run(spark, store, "3", replace=True)
+    assert alert_store.load_alerts(spark, store).count() == 7
+    alert_store.reset_alerts(spark, store, "3")
+    assert alert_store.load_alerts(spark, store).count() == 0
+    alert_store.reset_alerts(spark, store)
+    assert alert_store.load_alerts(spark, store) is None
+
+
+def test_csv_store_skips_long_lines(spark, scratch):
+    path = os.path.join(scratch, "csv store")
+    o = C.DATA_ORIGIN
+    _lines(os.path.join(path, "a.csv"), ["data_origin,a,b", f"{o},1,x", f"{o},2", f"{o},3,y,z", f"{o},4,y,", f'{o},"5,5",', f"{o},6,", o,
+                                         f'{o},"7","p,q"', f"{o},8,,,,", "else,9,x"])
+    got = sorted((r["a"] or "", r["b"]) for r in alert_store.load_alerts_csv(spark, path).collect())
+    assert got == [("", None), ("1", "x"), ("2", None), ("5,5", None), ("6", None), ("7", "p,q")]
