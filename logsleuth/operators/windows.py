@@ -8,20 +8,20 @@ Two physical forms are offered:
 
 ``method="prefix"`` (default, skew-proof)
     A windowed sum equals a prefix sum over +v at ``s`` and -v at
-    ``s + window_ms + 1``.  Every row emits those two deltas (the +v copy
-    carries the row itself), and the prefix sum is split in two levels:
+    ``s + window_ms + 1``, and it is the same for all rows of a key at one ms.
+    So the deltas are summed by (key, ms) first, on the map side and then over
+    all tasks; what follows are points (key, ms, sums) without any other column:
 
-    * rows are hash-partitioned once by (key, time bucket of ``bucket_ms``);
-      inside a bucket a running ``RANGE`` sum over time gives the partial sum
-      (ties at the same ms included);
-    * per-(key, bucket) totals - computed on the same partitioning, so no
-      extra shuffle - are prefix-summed over the bucket index (one row per
-      key and bucket: a small shuffle) and added back as an offset.
+    * points are partitioned by (key, time bucket of ``bucket_ms``), with a
+      running sum inside; a bucket holds ``bucket_ms`` points at most, however
+      many rows a burst has;
+    * the totals of the buckets (one row per key and bucket) are prefix-summed
+      over the bucket index and added as an offset;
+    * rows get their point by a join on (key, ms).  Columns that are not asked
+      for later are pruned from it, and so from its shuffle.
 
-    A task therefore holds one key's rows of one ``bucket_ms`` slice (one
-    minute by default), so even a key holding a third of all rows (e.g. the
-    blank source address of IP-less network events) is spread over as many
-    tasks as it has minutes.  One large shuffle, no join back to the input.
+    A key that holds a third of all rows is spread by ms before the join and
+    by buckets after it, also if all of them fall into one minute.
 
     Distinct counts (W3) turn each (key, value) into merged activity
     intervals: +1 where a gap larger than the window opens, -1 one window
@@ -38,31 +38,34 @@ Two physical forms are offered:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DEFAULT_BUCKET_MS = 60_000
 
 
-def _prefix_sums(events: DataFrame, key: str, value_cols: list[str], bucket_ms: int,
-                 partitions: int | None = None) -> DataFrame:
-    """Running sums of ``value_cols`` per key over ``_t`` (inclusive of every
-    delta at the same ``_t``) for the rows that carry a ``_row`` payload.
-
-    ``events``: (key, _t, value_cols..., _row struct or null)."""
-    ev = events.withColumn("_b", F.floor(F.col("_t") / bucket_ms))
-    ev = ev.repartition(partitions, key, "_b") if partitions else ev.repartition(key, "_b")
-    totals = ev.groupBy(key, "_b").agg(*[F.sum(c).alias(c) for c in value_cols])
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_b", *[F.coalesce(F.sum(c).over(before), F.lit(0))
-                                          .alias(f"_o_{c}") for c in value_cols])
-    inside = Window.partitionBy(key, "_b").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
-    running = ev.select(key, "_b", "_row", *[F.sum(c).over(inside).alias(f"_r_{c}")
-                                           for c in value_cols])
-    side = offsets.select(F.col(key).alias("_ok"), F.col("_b").alias("_ob"), *[f"_o_{c}" for c in value_cols])
-    out = running.where(F.col("_row").isNotNull()).join(
-        side, F.col(key).eqNullSafe(F.col("_ok")) & (F.col("_b") == F.col("_ob")), "left")
-    return out.select("_row", *[(F.col(f"_r_{c}") + F.coalesce(F.col(f"_o_{c}"), F.lit(0)))
-                                .alias(c) for c in value_cols])
+def _prefix_sums(deltas: DataFrame, value_cols: list[str], bucket_ms: int) -> DataFrame:
+    """Running sums of ``value_cols`` per ``_k`` over ``_t`` (all deltas of one
+    ms included) at the points that have a row: (_k, _t, value_cols).
+
+    ``deltas``: (_k, _t, value_cols..., _at: whether a row stands there)."""
+    points = deltas.withColumn("_b", F.floor(F.col("_t") / bucket_ms)).groupBy("_k", "_b", "_t").agg(
+        *[F.sum(c).alias(c) for c in value_cols], F.max("_at").alias("_at"))
+    totals = points.groupBy("_k", "_b").agg(*[F.sum(c).alias(c) for c in value_cols])
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("_k").alias("_ok"), F.col("_b").alias("_ob"),
+                            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_o_{c}") for c in value_cols])
+    inside = Window.partitionBy("_k", "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
+    running = points.select("_k", "_b", "_t", "_at", *[F.sum(c).over(inside).alias(f"_r_{c}") for c in value_cols])
+    out = running.where("_at").join(
+        offsets, F.col("_k").eqNullSafe(F.col("_ok")) & (F.col("_b") == F.col("_ob")), "left")
+    return out.select("_k", "_t", *[(F.col(f"_r_{c}") + F.coalesce(F.col(f"_o_{c}"), F.lit(0))).alias(c)
+                                    for c in value_cols])
+
+
+def _at_rows(df: DataFrame, key: str, ms: str, sums: DataFrame, out: dict[str, Column]) -> DataFrame:
+    """``df`` with the values of its points."""
+    met = df.join(sums, F.col(key).eqNullSafe(F.col("_k")) & F.col(ms).eqNullSafe(F.col("_t")))
+    return met.select(*[F.col(f"`{c}`") for c in df.columns if c not in out], *[v.alias(c) for c, v in out.items()])
 
 
 def window_counts(df: DataFrame, key: str, ms: str, window_ms: int,
@@ -79,19 +82,14 @@ def window_counts(df: DataFrame, key: str, ms: str, window_ms: int,
     names = ["_n"] + [f"_s{i}" for i in range(len(sums))]
     vals = [F.lit(1).cast("bigint")] + [F.coalesce(F.col(c), F.lit(0)).cast("bigint")
                                         for c in sums.values()]
-    sign = F.explode(F.array(F.lit(1), F.lit(-1))).alias("_sign")
-    base = df.select(F.col(key), F.col(ms).alias("_ms"), F.struct(*df.columns).alias("_p"),
-                     *[v.alias(n) for v, n in zip(vals, names)], sign)
     # each row opens its contribution at ms and closes it one window later
-    events = base.select(
-        key,
-        F.when(F.col("_sign") == 1, F.col("_ms")).otherwise(F.col("_ms") + window_ms + 1)
-         .alias("_t"),
-        *[(F.col(n) * F.col("_sign")).alias(n) for n in names],
-        F.when(F.col("_sign") == 1, F.col("_p")).alias("_row"))
-    res = _prefix_sums(events, key, names, bucket_ms)
-    return res.select("_row.*", F.col("_n").alias(count_out),
-                      *[F.col(n).alias(o) for n, o in zip(names[1:], sums.keys())])
+    side = F.explode(F.array(F.lit(1), F.lit(-1))).alias("_sign")
+    base = df.select(F.col(key).alias("_k"), F.col(ms).alias("_ms"), *[v.alias(n) for v, n in zip(vals, names)], side)
+    deltas = base.select(
+        "_k", F.when(F.col("_sign") == 1, F.col("_ms")).otherwise(F.col("_ms") + window_ms + 1).alias("_t"),
+        *[(F.col(n) * F.col("_sign")).alias(n) for n in names], (F.col("_sign") == 1).alias("_at"))
+    out = {count_out: F.col("_n"), **{o: F.col(n) for n, o in zip(names[1:], sums)}}
+    return _at_rows(df, key, ms, _prefix_sums(deltas, names, bucket_ms), out)
 
 
 def window_distinct(df: DataFrame, key: str, ms: str, value: str, window_ms: int,
@@ -121,17 +119,13 @@ def window_distinct(df: DataFrame, key: str, ms: str, value: str, window_ms: int
     opens = prev.isNull() | (F.col(ms) - prev > window_ms)
     closes = nxt.isNull() | (nxt - F.col(ms) > window_ms)
     marks = occ.select(
-        key,
+        F.col(key).alias("_k"),
         F.explode(F.array(
             F.when(opens, F.struct(F.col(ms).alias("t"), F.lit(1).cast("bigint").alias("d"))),
             F.when(closes, F.struct((F.col(ms) + window_ms + 1).alias("t"),
                                     F.lit(-1).cast("bigint").alias("d"))))).alias("_m"))
-    payload = F.struct(*df.columns)
-    marks = (marks.where(F.col("_m").isNotNull())
-                  .select(key, F.col("_m.t").alias("_t"), F.col("_m.d").alias("_d"),
-                          F.lit(None).cast(df.select(payload.alias("p")).schema["p"].dataType)
-                           .alias("_row")))
-    rows = df.select(key, F.col(ms).alias("_t"), F.lit(0).cast("bigint").alias("_d"),
-                     payload.alias("_row"))
-    res = _prefix_sums(marks.unionByName(rows), key, ["_d"], bucket_ms)
-    return res.select("_row.*", F.col("_d").cast("int").alias(out))
+    marks = marks.where(F.col("_m").isNotNull()).select(
+        "_k", F.col("_m.t").alias("_t"), F.col("_m.d").alias("_d"), F.lit(False).alias("_at"))
+    rows = df.select(F.col(key).alias("_k"), F.col(ms).alias("_t"), F.lit(0).cast("bigint").alias("_d"),
+                     F.lit(True).alias("_at"))
+    return _at_rows(df, key, ms, _prefix_sums(marks.union(rows), ["_d"], bucket_ms), {out: F.col("_d").cast("int")})

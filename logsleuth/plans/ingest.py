@@ -65,6 +65,16 @@ def q_alert_store_runs(spark, d) -> DataFrame:
     return alert_store.load_alerts(spark, path).groupBy("log_type", "attack_type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_scored_view(spark, d) -> DataFrame:
+    """The view over a store of both logs, asked by SQL text."""
+    path, view = _scratch(spark, "view"), f"scored_{uuid.uuid4().hex}"
+    alert_store.save_alerts(Q.sys_alerts_df(spark, d), path)
+    alert_store.save_alerts(Q.net_alerts_df(spark, d), path)
+    intel.create_scored_view(spark, path, view)
+    return spark.sql(f"SELECT log_type, row_id, attack_type, risk_score, risk_level FROM {view} "
+                     "WHERE risk_score >= 4")
+
+
 def q_dbscan_grid(spark, d) -> DataFrame:
     """M6 on whole numbers: users by hour of day, weighted by their events."""
     checkpoint_dir(spark)
@@ -161,6 +171,7 @@ def q_report_summary(spark, d) -> DataFrame:
 QUERIES = {
     "report_summary": q_report_summary,
     "csv_folders": q_csv_folders, "alert_store_runs": q_alert_store_runs, "dbscan_grid": q_dbscan_grid,
+    "scored_view": q_scored_view,
     "csv_scan": q_csv_scan, "alert_store_roundtrip": q_alert_store_roundtrip, "network_alias": q_network_alias,
     "network_rows": q_network_rows, "network_sink": q_network_sink, "holdout_metrics": q_holdout_metrics,
 }
@@ -226,6 +237,7 @@ FROM cand, best"""),
     "alert_store_runs": _with(
         "SELECT log_type, attack_type, severity, count(*) AS n FROM alerts "
         "WHERE log_type = 'system' OR severity = 4 GROUP BY ALL"),
+    "scored_view": _with("SELECT log_type, row_id, attack_type, risk_score, risk_level FROM scored WHERE risk_score >= 4"),
     "dbscan_grid": _with(
         """, pt AS (SELECT uid % 40 AS x, hour(ts) AS y, CASE WHEN et = 'error' THEN 2 ELSE 0 END AS z, count(*) AS weight, min(eid) AS first
          FROM ev GROUP BY ALL),

@@ -13,11 +13,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import constants as C
 from ..functions import clock
 from ..operators import classify as CL, clustering as CU, risk as RK, triage as TR, views as V
+from ..sources import alert_store
 
 
 def _ordered_list(df: DataFrame, keys: list, fields: list[str], name: str) -> DataFrame:
@@ -135,3 +136,44 @@ def run_intel(alerts: DataFrame, n_init: int = C.KMEANS_N_INIT, generated_at: st
 def scored_on_read(alerts: DataFrame | None) -> DataFrame | None:
     """Loaded alerts with risk scores."""
     return None if alerts is None else RK.score_alerts(alerts)
+
+
+def create_scored_view(spark: SparkSession, store: str, view: str = "scored_alerts") -> bool:
+    """R7 for SQL users: a view over the alert store with ``risk_score`` and
+    ``risk_level``, computed by the scalar functions ``alert_risk_score`` and
+    ``alert_risk_level`` when it is read.  False, and no view, without stored
+    alerts.  Like the view, the functions belong to the session."""
+    alerts = alert_store.load_alerts(spark, store)
+    if alerts is None:
+        return False
+    weights = " ".join(f"WHEN {_text(k)} THEN {v}D" for k, v in C.COMPLEXITY.items())
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION alert_risk_score(
+            severity DOUBLE, confidence DOUBLE, external DOUBLE, attack STRING, at_hour DOUBLE, has_hour BOOLEAN)
+        RETURNS DOUBLE
+        RETURN rint(CASE WHEN severity IS NOT NULL AND confidence IS NOT NULL AND external IS NOT NULL THEN least(greatest((
+            {C.RISK_WEIGHT_SEVERITY}D * (least(greatest(severity, 0D), {C.TOP_SEVERITY}D) / {C.TOP_SEVERITY}D)
+            + {C.RISK_WEIGHT_CONFIDENCE}D * (least(greatest(confidence, 0D), 100D) / 100D)
+            + {C.RISK_WEIGHT_EXTERNAL}D * external
+            + {C.RISK_WEIGHT_COMPLEXITY}D * CASE attack {weights} ELSE {C.RISK_DEFAULT_COMPLEXITY}D END
+            + {C.RISK_WEIGHT_TIME}D * CASE WHEN NOT has_hour THEN {C.RISK_TIME_UNKNOWN}D
+                WHEN at_hour < {C.NIGHT_END_HOUR} OR at_hour >= {C.NIGHT_START_HOUR} THEN {C.RISK_TIME_NIGHT}D
+                ELSE {C.RISK_TIME_DAY}D END) * 10, 0D), 10D) END * 100) / 100""")
+    steps = " ".join(f"WHEN score >= {least}D THEN {_text(name)}" for name, least in C.RISK_LEVELS)
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION alert_risk_level(score DOUBLE) RETURNS STRING "
+              f"RETURN CASE {steps} ELSE {_text(C.RISK_LEVEL_DEFAULT)} END")
+    alerts.createOrReplaceTempView(f"{view}_stored")
+    names = set(alerts.columns)
+    external = "coalesce(try_cast(CAST(is_external_ip AS STRING) AS DOUBLE), 0D)" if "is_external_ip" in names else "0D"
+    hour = "CAST(hour AS DOUBLE)" if "hour" in names else "CAST(NULL AS DOUBLE)"
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY VIEW {view} AS
+        SELECT *, alert_risk_level(risk_score) AS risk_level FROM (
+            SELECT *, alert_risk_score(CAST(severity AS DOUBLE), CAST(confidence AS DOUBLE), {external},
+                                       attack_type, {hour}, {"true" if "hour" in names else "false"}) AS risk_score
+            FROM {view}_stored)""")
+    return True
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

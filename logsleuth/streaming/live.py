@@ -13,7 +13,9 @@ Z1 ``hourly_counts``: alerts per event-time hour with a watermark, the polling
 dashboard's timeline as an incremental aggregate, without zero fill.
 
 ``append_to`` and ``upsert_to`` run a stream over everything in its source now
-and write to a folder of Parquet files; nothing goes through the driver.
+and write to a folder of Parquet files; nothing goes through the driver.  The
+keyed table of ``upsert_to`` is compacted every ``COMPACT_EVERY`` batches, so
+its files stay bounded however long a stream runs.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ from .. import constants as C
 from ..session import checkpoint_dir, ship_package
 
 
+COMPACT_EVERY = 8
+
+
 def hourly_counts(alerts_stream: DataFrame, time_col: str = "timestamp",
                   watermark: str = "2 hours") -> DataFrame:
     """(hour_start, alert_count) per event-time hour."""
@@ -104,16 +109,65 @@ def append_to(spark: SparkSession, stream: DataFrame, folder: str | None = None)
     return f"{folder}/rows"
 
 
+def _folders(spark: SparkSession, folder: str) -> dict[int, str]:
+    """The complete folders ``batch=N`` below ``folder``, by N in ascending order."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return {}
+    paths = [s.getPath().toString() for s in fs.listStatus(root)]
+    done = {int(p.rsplit("=", 1)[1]): p for p in paths if "/batch=" in p
+            and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+    return dict(sorted(done.items()))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def latest(spark: SparkSession, folder: str, key: str) -> DataFrame | None:
+    """The rows of a table that ``merge_batch`` keeps, one for each key: the
+    newest base and the batches after it.  None without a batch."""
+    bases, deltas = _folders(spark, f"{folder}/base"), _folders(spark, f"{folder}/delta")
+    version = max(bases, default=-1)
+    parts = [(version, bases[version])] if bases else []
+    parts += [(n, p) for n, p in deltas.items() if n > version]
+    rows = None
+    for number, path in parts:
+        part = spark.read.parquet(path).withColumn("_batch", F.lit(number).cast("long"))
+        rows = part if rows is None else rows.unionByName(part)
+    if rows is None:
+        return None
+    rest = [c for c in rows.columns if c not in (key, "_batch")]
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("_v"))
+    return newest.select(key, *[F.col(f"_v.{c}").alias(c) for c in rest])
+
+
+def merge_batch(batch: DataFrame, number: int, folder: str, key: str, every: int = COMPACT_EVERY) -> None:
+    """Upsert the rows of a micro-batch by ``key``; its keys are distinct.
+
+    A batch is a folder of its own; ``every`` of them are merged with the last
+    base into a new one.  The base before and the batches it lacks stay for
+    readers that began with them; older folders go.  A batch that comes again
+    is overwritten, or passed over if a base holds it already."""
+    spark = batch.sparkSession
+    bases = _folders(spark, f"{folder}/base")
+    version = max(bases, default=-1)
+    if number <= version:
+        return
+    batch.write.mode("overwrite").parquet(f"{folder}/delta/batch={number}")
+    deltas = _folders(spark, f"{folder}/delta")
+    if sum(n > version for n in deltas) >= every:
+        latest(spark, folder, key).write.mode("overwrite").parquet(f"{folder}/base/batch={number}")
+        _delete(spark, [p for n, p in bases.items() if n < version] + [p for n, p in deltas.items() if n <= version])
+
+
 def upsert_to(spark: SparkSession, stream: DataFrame, key: str, folder: str | None = None) -> DataFrame:
-    """Run an aggregate over all input there is now; every batch appends the
-    groups it changed, and the latest state of each group is read back."""
+    """Run an aggregate over all input there is now; every batch upserts the
+    groups it changed into a keyed table, which is read back."""
     folder = folder or _folder(spark)
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode(
-        "update").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(f"{folder}/rows")
-    rest = [c for c in rows.columns if c not in (key, "batch")]
-    latest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("_v"))
-    return latest.select(key, *[F.col(f"_v.{c}").alias(c) for c in rest])
+    stream.writeStream.foreachBatch(lambda batch, number: merge_batch(batch, number, f"{folder}/rows", key)).option(
+        "checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return latest(spark, f"{folder}/rows", key)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from logsleuth.operators import windows
 from logsleuth.operators.windows import window_counts, window_distinct
 
 W = 600_000
@@ -78,3 +79,24 @@ def test_null_keys_are_a_group_of_their_own(spark):
     for fn in (lambda m: window_counts(df, "k", "ms", 300_000, method=m),
                lambda m: window_distinct(df, "k", "ms", "port", 300_000, method=m)):
         assert sorted(map(str, fn("prefix").collect())) == sorted(map(str, fn("range").collect()))
+
+
+def test_a_burst_minute_is_spread_over_tasks(spark):
+    """A third of all rows in one minute of one address: no task of the window
+    plan holds them, and values equal the single-task form."""
+    n = 30_000
+    df = spark.range(n).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 97) END AS k",
+        "CASE WHEN id % 3 = 0 THEN 600000 + pmod(xxhash64(id), 60000) ELSE pmod(xxhash64(id, 1), 7200000) END AS ms",
+        "pmod(id, 5) AS v", "repeat('wide', 50) AS payload")
+    got = window_counts(df, "k", "ms", 120_000, {"s": "v"})
+    want = window_counts(df, "k", "ms", 120_000, {"s": "v"}, method="range")
+    assert got.exceptAll(want).isEmpty() and got.count() == n
+    ports = window_distinct(df, "k", "ms", "v", 120_000).drop("payload")
+    assert ports.exceptAll(window_distinct(df, "k", "ms", "v", 120_000, method="range").drop("payload")).isEmpty()
+    points = windows._prefix_sums(df.selectExpr("k AS _k", "ms AS _t", "1L AS _n", "true AS _at"), ["_n"], 60_000)
+    assert "payload" not in got.select("id", "window_count")._jdf.queryExecution().optimizedPlan().toString()
+    assert points.where("_k = 'hot'").count() == df.where("k = 'hot'").select("ms").distinct().count()
+    # the join spreads the burst by ms: the fullest of 64 partitions has a small part of it
+    spread = df.where("k = 'hot'").repartition(64, "k", "ms").groupBy(F.spark_partition_id()).count()
+    assert spread.agg(F.max("count")).first()[0] < n / 3 / 20
