@@ -28,9 +28,10 @@ from logsleuth.llm import common, hashing
 LONGEST = 5
 MIN_COUNT = 100
 KEEP = 2000            # phrases returned for a language
-SLICE_BYTES = 8 << 20  # text that a task counts at a time
+SLICE_BYTES = 4 << 20  # text that a task counts at a time
 MAP_BITS = 27          # size of a bit map: 16 MB
 _CHUNK_BITS = 16
+_ROWS = 1 << 16        # rows that a task hands over at a time
 
 # space and tab part words, the other delimiters end pieces; A-Z are lower-cased
 _TABLE = np.arange(256, dtype=np.uint8)
@@ -116,7 +117,9 @@ def _counted(rows: DataFrame, work) -> DataFrame:
     def run(batches):
         for pieces in _slices(batches):
             if len(pieces.words.hash):
-                yield work(pieces)
+                tally = work(pieces)
+                for at in range(0, tally.num_rows, _ROWS):
+                    yield tally.slice(at, _ROWS)
     return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -194,6 +197,8 @@ def sequences(rows: DataFrame, longest: int, min_count: int, bits: int = MAP_BIT
                 yield grams(pieces)
     out = rows.mapInArrow(run, "lang string, k int, gram binary, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
     out = common.stored(out.withColumn("gram", F.col("gram").cast("string")), "phrase-edges")
+    for spent in (frequent, going_on):  # all that used them is stored: executors need not keep them
+        spent.destroy()
     # rows of no words have the number of words of a language
     return out.where("k > 0"), out.where("k = 0").select("lang", F.col("n").alias("total"))
 
