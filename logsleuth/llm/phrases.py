@@ -54,8 +54,7 @@ class _Pieces:
         self.langs = names.dictionary.to_pylist()
         row = np.repeat(np.arange(len(w)), np.diff(w.first))
         self.lang = names.indices.to_numpy(zero_copy_only=False)[row]
-        ends = np.cumsum(w.data == 10)
-        self.piece = ends[w.start] + row if len(row) else row
+        self.piece = np.searchsorted(np.flatnonzero(w.data == 10), w.start) + row
         salt = np.array([xxhash.xxh64(x.encode()).intdigest() for x in self.langs], np.uint64)
         self.salt = salt[self.lang] if len(row) else np.empty(0, np.uint64)
 
@@ -120,7 +119,9 @@ def _counted(rows: DataFrame, work) -> DataFrame:
                 tally = work(pieces)
                 for at in range(0, tally.num_rows, _ROWS):
                     yield tally.slice(at, _ROWS)
-    return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    # dealt out before they are summed: no hash table stands beside the Python worker of a task
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.mapInArrow(run, "key long, n long").repartition(parts, "key").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _spread(spark, data: bytes):
