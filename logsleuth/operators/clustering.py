@@ -2,21 +2,21 @@
 
 Both algorithms are fitted on the standardised alert features after collapsing
 identical feature vectors into one weighted point (hour and severity are
-discrete, so alerts repeat a lot): K-Means uses Spark ML with ``weightCol`` and
-labels rows by a narrow ``transform``; DBSCAN uses the weights as neighbour
+discrete, so alerts repeat a lot): K-Means moves all its starts in one pass over
+them and labels rows by a narrow ``transform``; DBSCAN uses the weights as neighbour
 counts and joins labels back on the feature values as read.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 from .density import dbscan
+from .lloyd import multi_start
 from .scaling import column_stats, standardise
 
 
@@ -48,40 +48,29 @@ def _order_cols(df: DataFrame) -> list[str]:
 
 
 def fit_kmeans(alerts: DataFrame, k: int = C.KMEANS_N_CLUSTERS, n_init: int = C.KMEANS_N_INIT,
-               seed: int = C.RANDOM_SEED, max_iter: int = 300):
-    """M5: the best of ``n_init`` seeded fits by training cost, as a pipeline
-    model over the helper columns (assemble, scale, assign)."""
-    num, xcols, stats = _numbers(alerts, cluster_feature_columns(alerts))
-    pts, _ = _points(num, xcols, stats, _order_cols(alerts))
-    pts = pts.select(*xcols, "weight").checkpoint()
-    # the scaler is fitted on all rows through the weights of the points
+               seed: int = C.RANDOM_SEED, max_iter: int = 300) -> PipelineModel:
+    """M5: the best of ``n_init`` starts by cost, see ``lloyd``, as a stored
+    statement over the feature columns that gives the label ``_lbl``.  Clusters
+    are numbered by sorted centroid."""
+    cols = cluster_feature_columns(alerts)
+    num, xcols, stats = _numbers(alerts, cols)
+    pts, zc = _points(num, xcols, stats, _order_cols(alerts))
+    pts = pts.select(*zc, "weight").checkpoint()
+    ship_package(alerts.sparkSession)
+    centres, _ = multi_start(pts, zc, k, n_init, seed, max_iter)
     row = stats.first()
-    prepare = Pipeline(stages=[VectorAssembler(inputCols=xcols, outputCol="_raw"), SQLTransformer(
-        statement="SELECT *, " + ", ".join(
-            f"({x} - ({row[f'_mean_{x}']!r}D)) / {row[f'_sd_{x}'] or 1.0!r}D AS _z{x}" for x in xcols)
-        + " FROM __THIS__"), VectorAssembler(inputCols=[f"_z{x}" for x in xcols], outputCol="_vec")]).fit(pts)
-    scaled = prepare.transform(pts).select("_vec", "weight").checkpoint()
-    best, best_cost = None, None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="_vec",
-                       weightCol="weight", predictionCol="_lbl", initMode="k-means||").fit(scaled)
-        cost = model.summary.trainingCost
-        if best_cost is None or cost < best_cost:
-            best, best_cost = model, cost
-    return PipelineModel(stages=[*prepare.stages, best])
-
-
-def assign_kmeans(model, alerts: DataFrame, out: str = "cluster_kmeans") -> DataFrame:
-    """Labels of a fitted (or loaded) model for any alerts: a narrow
-    projection.  Clusters are numbered by sorted centroid."""
-    xcols = [c[2:] for c in model.stages[2].getInputCols()]
-    num = alerts.withColumns({x: F.coalesce(F.col(x[3:]).cast("string").try_cast("double"), F.lit(0.0))
-                              for x in xcols})
-    centers = [tuple(float(x) for x in c) for c in model.stages[-1].clusterCenters()]
-    rank = {old: new for new, old in enumerate(sorted(range(len(centers)), key=lambda j: centers[j]))}
-    relabel = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
-    return model.transform(num).select(*[F.col(f"`{c}`") for c in alerts.columns],
-                                       relabel[F.col("_lbl")].cast("int").alias(out))
+    z = [f"((coalesce(try_cast(CAST(`{c}` AS STRING) AS DOUBLE), 0D) - ({float(row[f'_mean_{x}'] or 0)!r}D))"
+         f" / {float(row[f'_sd_{x}'] or 1)!r}D)" for c, x in zip(cols, xcols)]
+    far = [" + ".join(f"power({v} - ({m!r}D), 2)" for v, m in zip(z, centre)) for centre in centres.tolist()]
+    far = ", ".join(far) or "0D"
+    statement = (f"SELECT * EXCEPT (_far), cast(array_position(_far, array_min(_far)) - 1 AS int) AS _lbl "
+                 f"FROM (SELECT *, array({far}) AS _far FROM __THIS__)")
+    return PipelineModel(stages=[SQLTransformer(statement=statement)])
+
+
+def assign_kmeans(model: PipelineModel, alerts: DataFrame, out: str = "cluster_kmeans") -> DataFrame:
+    """Labels of a fitted (or loaded) model for any alerts: a narrow projection."""
+    return model.transform(alerts).select(*[F.col(f"`{c}`") for c in alerts.columns], F.col("_lbl").alias(out))
 
 
 def kmeans_labels(alerts: DataFrame, k: int = C.KMEANS_N_CLUSTERS, out: str = "cluster_kmeans", **kw) -> DataFrame:
