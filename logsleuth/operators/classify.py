@@ -19,6 +19,7 @@ from .. import constants as C
 from .clustering import cluster_feature_columns
 
 SLICE_BITS = 12   # hash ranges in which the rows of a class are ranked
+MAX_COPIES = 64   # rows that stand for equal alerts in training
 
 
 def _prepared(alerts: DataFrame):
@@ -53,6 +54,16 @@ def split_column(df: DataFrame, seed: int = C.RANDOM_SEED,
         "_u", "_slice", "_rank", "_class", "_at", "_take")
 
 
+def _collapsed(train: DataFrame, fcols: list[str]) -> DataFrame:
+    """Equal rows of ``train`` (label and features) as at most ``MAX_COPIES``
+    rows with a ``_weight`` that adds up to their number: a tree's bootstrap
+    draws these, and the forest's data grows with the distinct alerts."""
+    groups = train.groupBy("attack_type", *fcols).agg(F.count(F.lit(1)).alias("_n"))
+    copies = F.least("_n", F.lit(MAX_COPIES))
+    return groups.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(
+        "attack_type", *fcols, (F.col("_n") / copies).alias("_weight"))
+
+
 def fit_classifier(alerts: DataFrame, seed: int = C.RANDOM_SEED, trees: int = C.CLASSIFIER_TREES,
                    max_depth: int = 30, max_bins: int = 64):
     """Fitted pipeline model, or ``None`` when the step must be skipped: fewer
@@ -67,10 +78,10 @@ def fit_classifier(alerts: DataFrame, seed: int = C.RANDOM_SEED, trees: int = C.
     if n < C.CLASSIFIER_MIN_ROWS or (len(counts) > 1 and min(r["count"] for r in counts) < 2):
         return None
     df, fcols = _prepared(alerts)
-    train = split_column(df, seed).where(~F.col("_test"))
+    train = _collapsed(split_column(df, seed).where(~F.col("_test")), fcols)
     indexer = StringIndexer(inputCol="attack_type", outputCol="_label", stringOrderType="alphabetAsc")
     assembler = VectorAssembler(inputCols=fcols, outputCol="_features")
-    forest = RandomForestClassifier(labelCol="_label", featuresCol="_features", numTrees=trees,
+    forest = RandomForestClassifier(labelCol="_label", featuresCol="_features", weightCol="_weight", numTrees=trees,
                                     seed=seed, maxDepth=max_depth, maxBins=max_bins,
                                     featureSubsetStrategy="sqrt", predictionCol="_pred",
                                     probabilityCol="_prob", rawPredictionCol="_raw")

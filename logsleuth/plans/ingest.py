@@ -12,10 +12,11 @@ from .. import constants as C
 from ..operators import views as V
 from ..operators.classify import holdout_metrics
 from ..operators.clean import clean_system, first_seen_codes
+from ..operators.clustering import kmeans_labels
 from ..operators.density import dbscan
 from ..session import checkpoint_dir
 from ..sources import alert_store, aliases, csv_logs, winevent
-from . import bindings as B, catalog as Q, intel
+from . import bindings as B, catalog as Q, intel, oracle
 from .oracle import RESPONSE_CANDIDATES, _recommendations, _skills, _with
 
 
@@ -86,6 +87,23 @@ def q_dbscan_grid(spark, d) -> DataFrame:
     return points.join(dbscan(points, ["x", "y", "z"], 1.0, least), "pid").select("x", "y", "z", "weight", "label")
 
 
+def q_kmeans_groups(spark, d) -> DataFrame:
+    """M5 on four groups of alerts that lie far apart; clusters are numbered by centroid."""
+    group, noise = F.col("user_id") % 4, F.col("event_id") % 10
+    alerts = Q.events(spark, d).select(
+        F.lit("system").alias("log_type"), F.col("event_id").alias("row_id"), (group + noise / 100).alias("anomaly_score"),
+        F.lit(3).alias("severity"), (50 - group * group + noise / 200).alias("confidence"), F.lit(0).alias("hour"))
+    return kmeans_labels(alerts, 4).select("log_type", "row_id", "cluster_kmeans")
+
+
+def q_event_store(spark, d) -> DataFrame:
+    """S6 on a store of event documents by day and id."""
+    path = _scratch(spark, "event-store")
+    winevent.store_events(Q.event_xml(spark, d), path)
+    left = winevent.stored_events(spark, path, "2024-01-15 00:00:00", [C.LOGON_FAILED_ID], 800)
+    return winevent.parse_events(left.drop("win_event_id")).select("row_id", "win_event_id", "time_created", "provider")
+
+
 def q_alert_store_roundtrip(spark, d) -> DataFrame:
     """Two appends with different optional columns, read as one."""
     path = _scratch(spark, "alerts")
@@ -171,7 +189,7 @@ def q_report_summary(spark, d) -> DataFrame:
 QUERIES = {
     "report_summary": q_report_summary,
     "csv_folders": q_csv_folders, "alert_store_runs": q_alert_store_runs, "dbscan_grid": q_dbscan_grid,
-    "scored_view": q_scored_view,
+    "scored_view": q_scored_view, "kmeans_groups": q_kmeans_groups, "event_store": q_event_store,
     "csv_scan": q_csv_scan, "alert_store_roundtrip": q_alert_store_roundtrip, "network_alias": q_network_alias,
     "network_rows": q_network_rows, "network_sink": q_network_sink, "holdout_metrics": q_holdout_metrics,
 }
@@ -204,6 +222,8 @@ dns AS (
 _NAMES = ", ".join(f"'{n}'" for n, _ in C.ANALYSTS)
 
 SQL = {
+    "event_store": oracle.SQL["source_filter"],
+    "kmeans_groups": _with("SELECT 'system' AS log_type, eid AS row_id, uid % 4 AS cluster_kmeans FROM ev"),
     # every assignment by analyst numbers, alert after alert; the smallest that fills all
     "response_assignment": _with(f""", cand AS ({RESPONSE_CANDIDATES}),
 elig AS (

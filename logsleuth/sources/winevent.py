@@ -10,7 +10,8 @@ gives an empty map).  All extraction is column expressions - no Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .. import constants as C
 from ..functions import codes, text
@@ -63,6 +64,33 @@ def source_filter(events: DataFrame, start: Column | str, ids: list[int] | None
     return out
 
 
+def store_events(xml_rows: DataFrame, folder: str, col: str = "xml") -> None:
+    """Event documents as a store that time and id predicates prune.
+
+    Documents go to folders by day and id; inside, files and row groups hold
+    ranges of time, so a day with most of the events is many files.  Documents
+    without a time or an id have folders of their own."""
+    rows = quick_fields(xml_rows, col).withColumn("event_day", F.to_date("time_ts"))
+    order = ["event_day", "win_event_id", "time_ts"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(
+        "event_day", "win_event_id").parquet(folder)
+
+
+def stored_events(spark: SparkSession, folder: str, start: Column | str, ids: list[int] | None = None,
+                  max_events: int | None = None, tie: tuple[str, ...] = ("row_id",),
+                  schema: StructType | None = None) -> DataFrame:
+    """S6 on a store of ``store_events``: ``source_filter`` with the day of
+    ``start`` as a partition predicate.  Folders of other days and ids are not
+    opened, row groups before ``start`` are skipped by their statistics.
+    Without the ``schema`` of the store Spark reads it from any one footer."""
+    rows = (spark.read.schema(schema) if schema else spark.read).parquet(folder)
+    rows = rows.withColumns({"event_day": F.col("event_day").cast("date"),
+                             "win_event_id": F.col("win_event_id").cast("int")})
+    begin = F.lit(start).cast("timestamp") if isinstance(start, str) else start
+    return source_filter(rows.where(F.col("event_day") >= F.to_date(begin)), begin, ids, max_events, tie=tie
+                         ).drop("event_day")
+
+
 def _row(ts: Column, log_type: str, event_type: Column, event_id: Column, message: Column,
          **fields: Column) -> list[Column]:
     defaults = {

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from logsleuth import constants as C
 from logsleuth.operators.clean import first_seen_codes
 from logsleuth.plans import bindings as B, detection as D, intel as I
-from logsleuth.sources import aliases, alert_store, csv_logs, models, report_io
+from logsleuth.sources import aliases, alert_store, csv_logs, models, report_io, winevent
 
 from conftest import SF_SMALL
 
@@ -224,3 +224,40 @@ def test_csv_store_skips_long_lines(spark, scratch):
                                          f'{o},"7","p,q"', f"{o},8,,,,", "else,9,x"])
     got = sorted((r["a"] or "", r["b"]) for r in alert_store.load_alerts_csv(spark, path).collect())
     assert got == [("", None), ("1", "x"), ("2", None), ("5,5", None), ("6", None), ("7", "p,q")]
+
+
+def test_event_store_opens_only_days_and_ids_asked_for(spark, scratch):
+    def doc(i, day, event_id):
+        time = f' SystemTime="2024-01-{day:02d}T{i % 24:02d}:30:00"' if day else ""
+        return (i, f'<Event><System><EventID>{event_id}</EventID><TimeCreated{time}/></System></Event>')
+    docs = [doc(i, 1 + i % 3, 4624 + i // 3 % 2) for i in range(144)] + [doc(900, 0, 4625), doc(901, 3, ""), (902, None)]
+    rows = spark.createDataFrame(docs, "row_id int, xml string").repartition(4)
+    path = os.path.join(scratch, "event-store")
+    winevent.store_events(rows, path)
+    winevent.store_events(rows, path)   # a repeated run leaves one copy
+    schema = spark.read.parquet(path).schema
+
+    def ids(**kw):
+        got = winevent.stored_events(spark, path, "2024-01-03 12:00:00", schema=schema, **kw)
+        return sorted(r["row_id"] for r in got.collect())
+    late = [i for i in range(144) if i % 3 == 2 and i % 24 >= 12] + [901]   # 901: 2024-01-03 13:30, without an id
+    assert ids() == sorted(late)
+    asked = [i for i in late if i < 144 and 4624 + i // 3 % 2 == 4625]
+    plan = winevent.stored_events(spark, path, "2024-01-03 12:00:00", [4625])._jdf.queryExecution().executedPlan().toString()
+    assert "event_day" in plan.split("PartitionFilters")[1] and "GreaterThanOrEqual(time_ts" in plan.split("PushedFilters")[1]
+    broken = 0
+    for folder, _, files in os.walk(path):
+        if "event_day=2024-01-03/win_event_id=4625" not in folder:
+            for f in files:   # what is not opened may hold anything
+                if f.endswith(".parquet"):
+                    with open(os.path.join(folder, f), "wb") as out:
+                        out.write(b"PAR1 no table PAR1")
+                    os.remove(os.path.join(folder, f".{f}.crc"))
+                    broken += 1
+    assert broken >= 6
+    spark.catalog.refreshByPath(path)
+    assert ids(ids=[4625]) == asked and asked
+    newest = winevent.stored_events(spark, path, "2024-01-03 12:00:00", [4625], 2, schema=schema).collect()
+    assert [r["row_id"] for r in newest] == sorted(asked, key=lambda i: (-(i % 24), i))[:2]
+    with pytest.raises(Exception):
+        ids()
