@@ -5,9 +5,10 @@ arrival.  State is keyed by (address, time slice), a slice being as long as the
 window.  A row goes to its own slice, where it is judged, and to the next one,
 where it is context; so a judgement needs one state only, a busy address is
 spread over its slices, and a slice is dropped when the watermark has passed
-the end of the slice it serves.  State holds one entry for each millisecond in
-use, not for each row.  On time-ordered input the result equals the batch
-operator.
+the end of the slice it serves.  State holds one entry for each millisecond of
+a batch, not for each row, and a batch writes its own entries only.  A stream
+can begin with the state of a stored batch.  On time-ordered input the result
+equals the batch operator.
 
 Z1 ``hourly_counts``: alerts per event-time hour with a watermark, the polling
 dashboard's timeline as an incremental aggregate, without zero fill.
@@ -25,7 +26,7 @@ import uuid
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as C
 from ..session import checkpoint_dir, ship_package
@@ -43,56 +44,99 @@ def hourly_counts(alerts_stream: DataFrame, time_col: str = "timestamp",
                          .select(F.col("w.start").alias("hour_start"), "alert_count"))
 
 
-STATE_SCHEMA = "ms array<bigint>, n array<bigint>, fc array<bigint>"
-SCORED = ["ip_event_count", "ip_failed_count", "heuristic_brute_force"]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SEEN = "ms bigint, n bigint, fc bigint"
 
 
-def _judge(window_ms: int, columns: list[str]):
-    def fn(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
+def _points(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(ms, n, fc): rows and failed log-ins of each millisecond."""
+    return pdf.groupby("ts_ms", as_index=False).agg(n=("failed_count", "size"), fc=("failed_count", "sum"))
+
+
+class _BruteForce(StatefulProcessor):
+    """State of one (address, slice): a list of (ms, n, fc).  A batch appends
+    one entry for each of its own milliseconds and writes nothing else; a timer
+    at the end of the slice drops the list."""
+
+    def __init__(self, window_ms: int, columns: list[str]):
+        self.window_ms, self.columns = window_ms, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getListState("seen", SEEN)
+
+    def _append(self, key, points: pd.DataFrame, timers) -> int:
+        """End of the slice, after the points have been added to its list."""
+        end = (int(key[1]) + 1) * self.window_ms
+        if not self.seen.exists():
+            self.handle.registerTimer(max(end, timers.getCurrentWatermarkInMs() + 1))
+        self.seen.appendList([tuple(map(int, x)) for x in points.itertuples(index=False)])
+        return end
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._append(key, initialState[["ms", "n", "fc"]], timerValues)
+
+    def handleInputRows(self, key, rows, timerValues):
+        start = int(key[1]) * self.window_ms
+        points, own = [], []
+        for pdf in rows:   # first everything that has arrived, then the judgements
+            points.append(_points(pdf))
+            own.append(pdf[pdf["ts_ms"] >= start])
+        self._append(key, pd.concat(points), timerValues)
+        if not any(map(len, own)):
             return
-        end = (int(key[1]) + 1) * window_ms   # of the slice that the state serves
-        ms, n, fc = (np.asarray(x, np.int64) for x in (state.get if state.exists else ([], [], [])))
-        own = []
-        for pdf in batches:   # first everything that has arrived, then the judgements
-            add = pdf.groupby("ts_ms")["failed_count"].agg(["size", "sum"])
-            ms = np.concatenate([ms, add.index.to_numpy(np.int64)])
-            n = np.concatenate([n, add["size"].to_numpy(np.int64)])
-            fc = np.concatenate([fc, add["sum"].to_numpy(np.int64)])
-            own.append(pdf[pdf["ts_ms"] >= end - window_ms])
-        ms, at = np.unique(ms, return_inverse=True)
-        n, fc = (np.bincount(at, x, len(ms)).astype(np.int64) for x in (n, fc))
-        state.update((ms.tolist(), n.tolist(), fc.tolist()))
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-        cn, cf = (np.concatenate([[0], np.cumsum(x)]) for x in (n, fc))
+        seen = np.array(list(self.seen.get()), np.int64).reshape(-1, 3)
+        ms, at = np.unique(seen[:, 0], return_inverse=True)
+        cn, cf = (np.concatenate([[0], np.cumsum(np.bincount(at, seen[:, i], len(ms)).astype(np.int64))]) for i in (1, 2))
         for pdf in own:
             t = pdf["ts_ms"].to_numpy(np.int64)
-            hi, lo = np.searchsorted(ms, t, "right"), np.searchsorted(ms, t - window_ms, "left")
-            count, failed = cn[hi] - cn[lo], cf[hi] - cf[lo]
+            hi, lo = np.searchsorted(ms, t, "right"), np.searchsorted(ms, t - self.window_ms, "left")
+            failed = cf[hi] - cf[lo]
             brute = (pdf["failed_count"].to_numpy() >= C.BRUTE_FORCE_FAILED_LOGINS) \
                 | (failed >= C.BRUTE_FORCE_FAILED_LOGINS)
-            yield pdf[columns].assign(ip_event_count=count, ip_failed_count=failed,
-                                      heuristic_brute_force=brute.astype("int32"))
-    return fn
+            yield pdf[self.columns].assign(ip_event_count=cn[hi] - cn[lo], ip_failed_count=failed,
+                                           heuristic_brute_force=brute.astype("int32"))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _slices(rows: DataFrame, window: int) -> DataFrame:
+    """Each row twice: in its own slice and, as context, in the next one."""
+    own = F.floor(F.col("ts_ms") / window).cast("bigint")
+    return rows.withColumn("slice", F.explode(F.array(own, own + 1)))
 
 
 def brute_force_stream(clean_stream: DataFrame, window_minutes: int = C.WINDOW_MINUTES,
-                       keep: tuple[str, ...] = (), lateness: str = "2 hours") -> DataFrame:
+                       keep: tuple[str, ...] = (), lateness: str = "2 hours",
+                       before: DataFrame | None = None) -> DataFrame:
     """Z2 on a cleaned system-log stream (``row_id``, ``source_ip``, ``ts_ms``,
-    ``failed_count``, ``timestamp`` and the columns ``keep``)."""
-    ship_package(clean_stream.sparkSession)
+    ``failed_count``, ``timestamp`` and the columns ``keep``).
+
+    ``before``, a stored batch (``source_ip``, ``ts_ms``, ``failed_count``), is
+    the state that the stream begins with: its rows are context and are not
+    judged.  It is read when the query starts for the first time; later starts
+    go on from the stream's own state."""
+    spark = clean_stream.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     window = window_minutes * 60_000
+    failed = F.coalesce("failed_count", F.lit(0)).cast("bigint").alias("failed_count")
     columns = ["row_id", "source_ip", "ts_ms", "timestamp", *[c for c in keep if c != "timestamp"]]
-    rows = clean_stream.select(*columns, F.coalesce("failed_count", F.lit(0)).cast("bigint").alias("failed_count"))
-    slice_ = F.floor(F.col("ts_ms") / window).cast("bigint")
-    rows = rows.withWatermark("timestamp", lateness).withColumn(
-        "slice", F.explode(F.array(slice_, slice_ + 1)))
+    rows = _slices(clean_stream.select(*columns, failed).withWatermark("timestamp", lateness), window)
     fields = [rows.schema[c] for c in columns] + [
         T.StructField("ip_event_count", T.LongType()), T.StructField("ip_failed_count", T.LongType()),
         T.StructField("heuristic_brute_force", T.IntegerType())]
-    return rows.groupBy("source_ip", "slice").applyInPandasWithState(
-        _judge(window, columns), T.StructType(fields), STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    if before is not None:
+        before = (_slices(before.select("source_ip", "ts_ms", failed), window)
+                  .groupBy("source_ip", "slice", F.col("ts_ms").alias("ms"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.sum("failed_count").alias("fc")).groupBy("source_ip", "slice"))
+    return rows.groupBy("source_ip", "slice").transformWithStateInPandas(
+        _BruteForce(window, columns), T.StructType(fields), "append", "EventTime", initialState=before)
 
 
 def _folder(spark: SparkSession) -> str:
