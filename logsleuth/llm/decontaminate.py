@@ -16,6 +16,10 @@ missed with probability (1 - s) ** PERMS (below 1e-4).  Block minima are
 computed once for the smallest class and merged upwards.  Candidates are
 verified by exact shingle containment of the item in the whole document.
 
+An item of fewer than five words has one shingle, the whole item.  These are
+looked up by the hash of their words at every place of a text and verified
+likewise.
+
 The item index is broadcast behind a check of its size; a larger benchmark is
 searched in blocks of items, one pass over the documents for each.
 """
@@ -60,8 +64,8 @@ def _pairs_up(m: np.ndarray) -> np.ndarray:
     return np.minimum(m[:, ::2], m[:, 1::2])
 
 
-def _grams(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    return set(zip(*(words[i:] for i in range(SHINGLE))))
+def _grams(words: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    return set(zip(*(words[i:] for i in range(size))))
 
 
 def _flags(values: np.ndarray) -> np.ndarray:
@@ -73,26 +77,48 @@ def _flags(values: np.ndarray) -> np.ndarray:
 
 class Index:
     """Signatures of items by size class: class -> (sorted minima, their items,
-    flags of the minima) for each permutation."""
+    flags of the minima) for each permutation.  Items without a five-word
+    shingle: number of words -> (sorted hashes, their items).  The texts are
+    kept as they are; an item's shingles are made when it is a candidate."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.grams, classes = [], {}
         self.ids = [i for i, _ in items]
-        for n, (_, text) in enumerate(items):
-            words = text.lower().split()
-            self.grams.append(_grams(words))
-            h = hashing.windows(hashing.Words(pa.array([text])).hash, SHINGLE)
+        self.texts = [t for _, t in items]
+        classes, short = {}, {}
+        for n, text in enumerate(self.texts):
+            words = hashing.Words(pa.array([text])).hash
+            h = hashing.windows(words, SHINGLE)
             if len(h):
                 size = FINEST
                 while 2 * size < len(h):
                     size *= 2
                 classes.setdefault(size, []).append((n, _minima(h, len(h))[:, 0]))
-        self.classes = {}
+            elif len(words):
+                short.setdefault(len(words), []).append((n, hashing.windows(words, len(words))[0]))
+        self.classes, self.short = {}, {}
         for size, rows in sorted(classes.items()):
-            owner = np.array([n for n, _ in rows])
+            owner = np.array([n for n, _ in rows], np.int32)
             sig = np.stack([s for _, s in rows])
             order = np.argsort(sig, axis=0, kind="stable")
             self.classes[size] = [(sig[order[:, p], p], owner[order[:, p]], _flags(sig[:, p])) for p in range(PERMS)]
+        for size, rows in short.items():
+            rows.sort(key=lambda x: x[1])
+            self.short[size] = np.array([h for _, h in rows], np.uint64), np.array([n for n, _ in rows], np.int32)
+
+    def _short_candidates(self, words: hashing.Words):
+        """(text number, item) where the words of a short item occur."""
+        for size, (values, owner) in self.short.items():
+            at = hashing.inside(words, size)
+            if not len(at):
+                continue
+            run = hashing.windows(words.hash, size)[at]
+            place = np.searchsorted(values, run)
+            hit = np.flatnonzero(values[np.minimum(place, len(values) - 1)] == run)
+            text = np.searchsorted(words.first, at[hit], "right") - 1
+            for pair in np.unique(text * len(values) + place[hit]).tolist():
+                d, v = divmod(pair, len(values))
+                for n in owner[v:np.searchsorted(values, values[v], "right")].tolist():
+                    yield d, n
 
     def windows(self, shingles: np.ndarray):
         """(first shingle, end, item) of the windows of a run of shingles that
@@ -117,9 +143,27 @@ class Index:
         that the texts of a column contain.  The shingles of all texts stand in
         one run, so the cost of an array operation is spread over many short
         texts; a window over a border is a candidate for every text it touches."""
-        if not self.classes:
-            return []
         words = hashing.Words(column)
+        near = set(self._short_candidates(words))
+        if self.classes:
+            near |= self._long_candidates(words)
+        out, have, of, grams = [], {}, -1, {}
+        for d, n in sorted(near):
+            if d != of:
+                text, have, of = (column[d].as_py() or b"").lower().split(), {}, d
+            if n not in grams:
+                item = self.texts[n].lower().split()
+                grams[n] = _grams(item, min(len(item), SHINGLE)), min(len(item), SHINGLE)
+            want, size = grams[n]
+            if size not in have:
+                have[size] = _grams(text, size)
+            shared = len(want & have[size])
+            if shared >= CONTAINMENT * len(want) - 1e-9:
+                out.append((d, self.ids[n], shared, len(want)))
+        return out
+
+    def _long_candidates(self, words: hashing.Words) -> set[tuple[int, int]]:
+        """(text number, item) of the windows that share a band with an item."""
         at = hashing.inside(words, SHINGLE)
         run = hashing.windows(words.hash, SHINGLE)[at] if len(at) else np.empty(0, np.uint64)
         ends = np.searchsorted(at, words.first[1:])
@@ -132,14 +176,7 @@ class Index:
                 first = np.searchsorted(ends, max(0, a + s), "right")
                 last = np.searchsorted(ends, min(len(run), a + e) - 1, "right")
                 near.update((d, n) for d in range(first, last + 1) if full[d])
-        out, have, of = [], set(), -1
-        for d, n in sorted(near):
-            if d != of:
-                have, of = _grams((column[d].as_py() or b"").lower().split()), d
-            shared = len(self.grams[n] & have)
-            if shared >= CONTAINMENT * len(self.grams[n]) - 1e-9:
-                out.append((d, self.ids[n], shared, len(self.grams[n])))
-        return out
+        return near
 
 
 def _item_blocks(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
@@ -160,9 +197,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
     at least 80 % of the distinct five-word shingles: the columns ``keep``,
     item_id, n_shared, n_shingles, containment.
 
-    Words are lower-cased A-Z and cut at blanks.  Items of fewer than five
-    words have no shingle and are never found; null texts and null item_ids
-    are passed over.  Equal items are searched once; an item_id with several
+    Words are lower-cased A-Z and cut at blanks.  An item of one to four words
+    is one shingle; blank items, null texts and null item_ids are passed over.  Equal items are searched once; an item_id with several
     texts is searched with each.  Repeated document rows give repeated rows;
     documents without a match give none; other columns are not read."""
     spark = docs.sparkSession
@@ -217,18 +253,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def _sql_shingles(key: str, table: str) -> str:
-    return f"""(SELECT DISTINCT {key}, array_to_string(a[i:i + {SHINGLE - 1}], ' ') AS g FROM (
-  SELECT {key}, a, unnest(range(1, len(a) - {SHINGLE} + 2)) AS i FROM (
-    SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-           'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS a FROM {table})))"""
+def _sql_words(key: str, table: str) -> str:
+    return f"""(SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS a FROM {table})"""
 
 
 SQL = f"""
-WITH d AS {_sql_shingles('doc_id', 'documents')},
-b AS {_sql_shingles('item_id', 'benchmark')},
-n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
+WITH i AS (SELECT item_id, a FROM {_sql_words('item_id', 'benchmark')}),
+t AS (SELECT doc_id, a FROM {_sql_words('doc_id', 'documents')}),
+b AS (SELECT DISTINCT item_id, array_to_string(a[p:p + {SHINGLE - 1}], ' ') AS g FROM (
+  SELECT item_id, a, unnest(range(1, len(a) - {SHINGLE} + 2)) AS p FROM i)),
+d AS (SELECT DISTINCT doc_id, array_to_string(a[p:p + {SHINGLE - 1}], ' ') AS g FROM (
+  SELECT doc_id, a, unnest(range(1, len(a) - {SHINGLE} + 2)) AS p FROM t)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id),
+short AS (SELECT DISTINCT item_id, ' ' || array_to_string(a, ' ') || ' ' AS g FROM i WHERE len(a) BETWEEN 1 AND {SHINGLE - 1})
 SELECT doc_id, item_id, count(*) AS n_shared, n_shingles, count(*) / n_shingles AS containment
 FROM d JOIN b USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles
 HAVING count(*) >= {CONTAINMENT} * n_shingles - 1e-9
+UNION ALL
+SELECT DISTINCT doc_id, item_id, 1::BIGINT, 1::BIGINT, 1::DOUBLE
+FROM (SELECT doc_id, ' ' || array_to_string(a, ' ') || ' ' AS x FROM t) JOIN short ON contains(x, g)
 """

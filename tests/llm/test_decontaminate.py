@@ -1,25 +1,28 @@
+import pickle
 import random
 
+import duckdb
 import pyarrow as pa
 
 from logsleuth.llm import decontaminate as D
+from tests.oracle_check import compare
 from tests.llm.helpers import prose, rows, table, words
 
 
-def grams(text):
+def grams(text, size=5):
     w = [x.lower() for x in words(text)]
-    return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    return {tuple(w[i:i + size]) for i in range(len(w) - size + 1)}
 
 
 def fixture():
     rng = random.Random(4)
-    items = [(i, " ".join(f"{prose(rng, 1)}{rng.randrange(999)}" for _ in range(rng.choice([4, 5, 6, 9, 17, 33, 60, 130]))))
-             for i in range(60)]
+    items = [(i, " ".join(f"{prose(rng, 1)}{rng.randrange(999)}" for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 9, 17, 33, 60, 130]))))
+             for i in range(60)] + [(60, ""), (61, " \n"), (62, "w1 w1"), (63, "the")]
     docs = []
     for i in range(250):
         text = " ".join(f"{prose(rng, 1)}{rng.randrange(9999)}" for _ in range(rng.choice([0, 3, 60, 400, 6000])))
         if rng.random() < .6:
-            _, item = rng.choice(items)
+            _, item = rng.choice(items[:60])
             w = item.split()
             for _ in range(rng.choice([0, 0, 0, 1])):
                 w[rng.randrange(len(w))] = "changed"
@@ -32,9 +35,9 @@ def fixture():
 def brute(items, docs):
     out = set()
     for d, text, *_ in docs:
-        have = grams(text)
         for i, item in items:
-            want = grams(item)
+            size = min(5, len(words(item)))
+            want, have = grams(item, size) if size else set(), grams(text, size)
             if want and len(want & have) >= .8 * len(want) - 1e-9:
                 out.add((d, i, len(want & have), len(want)))
     return out
@@ -64,6 +67,22 @@ def test_short_item_in_a_very_long_document(spark):
     assert found(D.contained_items(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))) == {(1, 7, 8, 8)}
 
 
+def test_short_items_equal_sql(spark):
+    items, docs = fixture()
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    df = table(spark, docs)
+    con = duckdb.connect()
+    for name, frame in (("documents", df.select("doc_id", "text").toPandas()), ("benchmark", bench.toPandas())):
+        con.register(name, frame)
+    assert compare(D.contained_items(df, bench).toPandas(), con.execute(D.SQL).df()) == "OK"
+
+
+def test_index_grows_with_its_texts():
+    rng = random.Random(2)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)).encode()) for i in range(4000)]
+    assert len(pickle.dumps(D.Index(items))) < sum(len(t) for _, t in items) + 4000 * D.PERMS * 14 + 6 * (D.PERMS << 16)
+
+
 def test_items_of_one_shingle_are_not_missed():
     rng = random.Random(12)
     items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(5)).encode()) for i in range(2000)]
