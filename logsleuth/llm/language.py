@@ -12,6 +12,11 @@ Four kinds of evidence are combined for each row:
 * the host: a prior smoothed hierarchically, host towards its parent domain,
   that towards the whole corpus, from counts by grouped aggregation.
 
+The ``MAX_LANGUAGES`` tags that most rows declare, ``MIN_DECLARED`` at least,
+have profiles.  Text in another language is likeliest under the flat profile,
+so where ``und`` wins and the row declares a tag without a profile, that tag is
+its language: the declaration is the only evidence there can be.
+
 A row is kept if it has letters and the best language, other than ``und``,
 reaches ``MIN_POSTERIOR``.
 """
@@ -28,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from logsleuth.llm import common, hashing
 
 DIMS = 1 << 15
-MAX_LANGUAGES = 256
+MAX_LANGUAGES = 256     # profiles; the rows of further tags go by their declaration
 MIN_DECLARED = 5        # rows that must declare a language before it gets a profile
 TEMPER = 0.25
 CLEAR = 0.95            # text posterior from which a row counts in the evidence tables
@@ -109,11 +114,9 @@ class Model:
 
 
 def _profiles(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and trigram log-probabilities from all rows with a declared language."""
+    """Languages and trigram log-probabilities from all rows that declare one of them."""
     declared = rows.where("_declared IS NOT NULL").groupBy("_declared").count().where(F.col("count") >= MIN_DECLARED)
-    languages = sorted(r[0] for r in declared.orderBy(F.desc("count"), "_declared").limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} declared languages")
+    languages = sorted(r[0] for r in declared.orderBy(F.desc("count"), "_declared").limit(MAX_LANGUAGES).collect())
     number = {x: i for i, x in enumerate(languages)}
 
     def count(batches):
@@ -230,7 +233,8 @@ def identify(df: DataFrame, evidence: Evidence, model: Model, keep: tuple[str, .
 
     Null and blank texts, and texts without letters, have text_language null
     and are not kept.  A null or unusual declared language, host or address is
-    no evidence.  Rows are judged each for itself, so repeated rows give
+    no evidence.  A tag without a profile is the language of its row where no
+    profile fits better than the flat one.  Rows are judged each for itself, so repeated rows give
     repeated results; an empty table gives an empty one."""
     rows = evidence.select(df, *[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)])
     out = _with_likelihood(rows, model.languages, model.profiles).drop("_text")
@@ -245,12 +249,14 @@ def identify(df: DataFrame, evidence: Evidence, model: Model, keep: tuple[str, .
     names = F.array(*[F.lit(x) for x in model.languages])
     out = out.withColumn("_p", _softmax(logs)).withColumn("_best", F.array_position("_p", F.array_max("_p")).cast("int"))
     own = F.array_position("_ll", F.array_max("_ll")).cast("int")
+    without = ~F.coalesce(F.array_contains(names, F.col("_declared")), F.lit(True))  # a tag, but no profile
+    by_tag = without & (F.col("_best") == len(model.languages))
     return out.select(
         *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)],
-        F.element_at(names, F.col("_best")).alias("language"), F.array_max("_p").alias("posterior"),
+        F.when(by_tag, F.col("_declared")).otherwise(F.element_at(names, F.col("_best"))).alias("language"), F.array_max("_p").alias("posterior"),
         F.when(F.col("_n") > 0, F.element_at(names, own)).alias("text_language"),
         F.col("_declared").alias("declared"),
-        ((F.col("_n") > 0) & (F.col("_best") < len(model.languages)) & (F.array_max("_p") >= MIN_POSTERIOR)).alias("kept"))
+        ((F.col("_n") > 0) & ((F.col("_best") < len(model.languages)) | by_tag) & (F.array_max("_p") >= MIN_POSTERIOR)).alias("kept"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

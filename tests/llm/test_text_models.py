@@ -121,6 +121,33 @@ def test_language_accuracy_and_rejection(spark):
     assert not got[900]["kept"] and not got[901]["kept"]
 
 
+def test_rare_languages_are_kept(spark):
+    rng = random.Random(6)
+    docs = [(i, speech(rng, lang, 40), lang, "h") for i, lang in enumerate(["de", "fr"] * 60)]
+    docs += [(900 + i, " ".join(chr(0x10A0 + rng.randrange(30)) * 3 for _ in range(40)), x, "h")
+             for i, x in enumerate(["ka", "ka-GE", None])]
+    docs += [(910, speech(rng, "de", 40), "ka", "h"), (911, "123", "ka", "h")]
+    df = table(spark, docs)
+    evidence = language.of_documents(df)
+    got = {r["doc_id"]: (r["language"], r["kept"]) for r in rows(
+        language.identify(df, evidence, language.fit(df, evidence)))}
+    assert [got[i] for i in (900, 901, 902, 910)] == [("ka", True), ("ka", True), ("und", False), ("de", True)]
+    assert not got[911][1] and all(got[i] == (["de", "fr"][i % 2], True) for i in range(120))
+
+
+def test_more_tags_than_profiles(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 20)
+    rng = random.Random(7)
+    tags = [a + b + c for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd"]
+    docs = [(i, speech(rng, "de", 40), "de", "h") for i in range(60)]
+    docs += [(1000 + i, " ".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(30)), x, "h")
+             for i, x in enumerate(t for t in tags for _ in range(5 if t < "b" else 1))]
+    df = table(spark, docs)
+    got = rows(language.identify(df, language.of_documents(df), language.fit(df, language.of_documents(df))))
+    assert len(tags) == 1000 and len(got) == len(docs)
+    assert all(r["kept"] for r in got if r["doc_id"] < 60 or r["declared"] >= "b")
+
+
 def test_host_prior_decides_without_text_evidence(spark):
     rng = random.Random(5)
     docs = [(i, speech(rng, lang, 40), lang, host) for i, (lang, host) in enumerate(
