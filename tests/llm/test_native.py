@@ -151,3 +151,12 @@ def test_split_tree_is_hypergeometric(spark):
         p = comb(20, r["x"]) * comb(30, 10 - r["x"]) / comb(50, 10)
         assert abs(r["count"] / 4000 - p) < 1e-3
     assert np.isclose(sum(r["count"] for r in x), 4000)
+
+
+def test_draws_from_many_blocks_walk_near_the_mean(spark):
+    pool, good, drawn = 3 * 10**8, 10**8, 15 * 10**7
+    x = spark.range(9, numPartitions=4).select(mixing.hypergeometric(
+        *[F.lit(n).cast("long") for n in (pool, good, drawn)], (F.col("id") + 0.5) / 9).alias("x")).collect()
+    sd = (drawn * (good / pool) * (1 - good / pool) * (pool - drawn) / (pool - 1)) ** 0.5
+    from statistics import NormalDist
+    assert all(abs((r["x"] - drawn * good / pool) / sd - NormalDist().inv_cdf((i + 0.5) / 9)) < 1e-3 for i, r in enumerate(x))
