@@ -140,12 +140,14 @@ def test_more_tags_than_profiles(spark, monkeypatch):
     rng = random.Random(7)
     tags = [a + b + c for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxyzabcd"]
     docs = [(i, speech(rng, "de", 40), "de", "h") for i in range(60)]
-    docs += [(1000 + i, " ".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(30)), x, "h")
-             for i, x in enumerate(t for t in tags for _ in range(5 if t < "b" else 1))]
+    # a hundred tags on five rows each, with letters of their own; the others once, with letters of another range
+    texts = [(x, 0x4E00 + 64 * n, 64, 5) if n < 100 else (x, 0xAC00 + 12 * (n - 100), 12, 1) for n, x in enumerate(tags)]
+    docs += [(1000 + i, " ".join(chr(at + rng.randrange(size)) for _ in range(30)), x, "h")
+             for i, (x, at, size) in enumerate((x, at, size) for x, at, size, k in texts for _ in range(k))]
     df = table(spark, docs)
     got = rows(language.identify(df, language.of_documents(df), language.fit(df, language.of_documents(df))))
-    assert len(tags) == 1000 and len(got) == len(docs)
-    assert all(r["kept"] for r in got if r["doc_id"] < 60 or r["declared"] >= "b")
+    assert len(set(tags)) == 1000 and len(got) == len(docs)
+    assert all(r["kept"] and r["language"] == r["declared"] for r in got if r["doc_id"] < 60 or r["declared"] >= "b")
 
 
 def test_host_prior_decides_without_text_evidence(spark):
