@@ -13,9 +13,10 @@ Four kinds of evidence are combined for each row:
   that towards the whole corpus, from counts by grouped aggregation.
 
 The ``MAX_LANGUAGES`` tags that most rows declare, ``MIN_DECLARED`` at least,
-have profiles.  Text in another language is likeliest under the flat profile,
-so where ``und`` wins and the row declares a tag without a profile, that tag is
-its language: the declaration is the only evidence there can be.
+have profiles.  Text in another language is likeliest under the flat profile:
+where it is and the row declares a tag without a profile, that tag is its
+language, with the text's own posterior of ``und``.  The priors of hosts and
+corpus say nothing about languages without a profile.
 
 A row is kept if it has letters and the best language, other than ``und``,
 reaches ``MIN_POSTERIOR``.
@@ -247,16 +248,17 @@ def identify(df: DataFrame, evidence: Evidence, model: Model, keep: tuple[str, .
         other = _doubles(model.base) if key == "_host" else zero
         logs = F.zip_with(logs, F.coalesce(F.col(f"{key}_logs"), other), lambda a, b: a + b)
     names = F.array(*[F.lit(x) for x in model.languages])
+    without = ~F.coalesce(F.array_contains(names, F.col("_declared")), F.lit(True))  # a tag, but no profile
     out = out.withColumn("_p", _softmax(logs)).withColumn("_best", F.array_position("_p", F.array_max("_p")).cast("int"))
     own = F.array_position("_ll", F.array_max("_ll")).cast("int")
-    without = ~F.coalesce(F.array_contains(names, F.col("_declared")), F.lit(True))  # a tag, but no profile
-    by_tag = without & (F.col("_best") == len(model.languages))
+    by_tag = without & (own == len(model.languages))
+    posterior = F.when(by_tag, F.element_at(_softmax(F.col("_ll")), -1)).otherwise(F.array_max("_p"))
     return out.select(
         *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)],
-        F.when(by_tag, F.col("_declared")).otherwise(F.element_at(names, F.col("_best"))).alias("language"), F.array_max("_p").alias("posterior"),
+        F.when(by_tag, F.col("_declared")).otherwise(F.element_at(names, F.col("_best"))).alias("language"), posterior.alias("posterior"),
         F.when(F.col("_n") > 0, F.element_at(names, own)).alias("text_language"),
         F.col("_declared").alias("declared"),
-        ((F.col("_n") > 0) & ((F.col("_best") < len(model.languages)) | by_tag) & (F.array_max("_p") >= MIN_POSTERIOR)).alias("kept"))
+        ((F.col("_n") > 0) & ((F.col("_best") < len(model.languages)) | by_tag) & (posterior >= MIN_POSTERIOR)).alias("kept"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
