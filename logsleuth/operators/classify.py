@@ -1,21 +1,19 @@
-"""Attack-type classifier (M7, M8, A15) with Spark ML.
+"""Attack-type classifier.
 
 Labels are indexed alphabetically (like a label encoder), a 100-tree random
-forest (``sqrt`` feature subsets, seed 42) is trained on a stratified 80 %
-split and applied to every alert.  With fewer than 10 alerts, or a class with a
+forest (``sqrt`` feature subsets, seed 42, see ``forest``) is trained on a
+stratified 80 % split and applied to every alert.  With fewer than 10 alerts, or a class with a
 single alert (a stratified split cannot place it), the step is skipped and
 the alerts come back unchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as C
+from ..session import checkpoint_dir
+from . import forest as FO
 from .clustering import cluster_feature_columns
 
 SLICE_BITS = 12   # hash ranges in which the rows of a class are ranked
@@ -55,10 +53,9 @@ def split_column(df: DataFrame, seed: int = C.RANDOM_SEED,
 
 def fit_classifier(alerts: DataFrame, seed: int = C.RANDOM_SEED, trees: int = C.CLASSIFIER_TREES,
                    max_depth: int = 30, max_bins: int = 64):
-    """Fitted pipeline model, or ``None`` when the step must be skipped: fewer
+    """Fitted forest, or ``None`` when the step must be skipped: fewer
     than ``CLASSIFIER_MIN_ROWS`` alerts, or a class with one alert.  Trees grow
-    to ``max_depth`` (30 is the deepest Spark allows); ``max_bins`` is the
-    number of split candidates a feature."""
+    to ``max_depth``; ``max_bins`` is the number of split candidates a feature."""
     if "attack_type" not in alerts.columns:
         raise ValueError("alerts must have an 'attack_type' column for training.")
     alerts = alerts.where(F.col("attack_type").isNotNull())
@@ -67,14 +64,10 @@ def fit_classifier(alerts: DataFrame, seed: int = C.RANDOM_SEED, trees: int = C.
     if n < C.CLASSIFIER_MIN_ROWS or (len(counts) > 1 and min(r["count"] for r in counts) < 2):
         return None
     df, fcols = _prepared(alerts)
-    train = split_column(df, seed).where(~F.col("_test"))
-    indexer = StringIndexer(inputCol="attack_type", outputCol="_label", stringOrderType="alphabetAsc")
-    assembler = VectorAssembler(inputCols=fcols, outputCol="_features")
-    forest = RandomForestClassifier(labelCol="_label", featuresCol="_features", numTrees=trees,
-                                    seed=seed, maxDepth=max_depth, maxBins=max_bins,
-                                    featureSubsetStrategy="sqrt", predictionCol="_pred",
-                                    probabilityCol="_prob", rawPredictionCol="_raw")
-    return Pipeline(stages=[indexer, assembler, forest]).fit(train)
+    checkpoint_dir(alerts.sparkSession)
+    train = split_column(df, seed).where(~F.col("_test")).select("attack_type", *fcols).checkpoint()
+    labels = sorted((r["attack_type"] for r in counts), key=lambda t: t.encode())
+    return FO.fit_forest(train, "attack_type", fcols, labels, trees, max_depth, max_bins, seed)
 
 
 def predict(model, alerts: DataFrame) -> DataFrame:
@@ -82,16 +75,9 @@ def predict(model, alerts: DataFrame) -> DataFrame:
     true type is not looked at, so rows without one are predicted too."""
     if model is None:
         return alerts
-    indexer, *rest = model.stages
-    scored, _ = _prepared(alerts)
-    for stage in rest:
-        scored = stage.transform(scored)
-    scored = IndexToString(inputCol="_pred", outputCol="predicted_attack_type",
-                           labels=list(indexer.labelsArray[0])).transform(scored)
-    conf = F.rint(F.array_max(vector_to_array("_prob")) * 100 * 10) / 10
-    keep = alerts.columns + ["predicted_attack_type"]
-    return scored.withColumn("classification_confidence", conf).select(
-        *keep, "classification_confidence")
+    scored = FO.predict(model, _prepared(alerts)[0], "predicted_attack_type", "_conf")
+    return scored.withColumn("classification_confidence", F.rint(F.col("_conf") * 100 * 10) / 10).select(
+        *alerts.columns, "predicted_attack_type", "classification_confidence")
 
 
 def holdout_metrics(pairs: DataFrame) -> DataFrame:

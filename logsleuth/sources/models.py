@@ -34,10 +34,24 @@ def load_detector(spark: SparkSession, path: str, features: list[str], name: str
 
 
 def save_ml_model(model, path: str) -> None:
-    """Spark ML models (K-Means, random forest, string indexer)."""
+    """Spark ML models (K-Means)."""
     model.write().overwrite().save(path)
 
 
 def load_ml_model(path: str) -> PipelineModel:
-    """A stored K-Means or classifier pipeline."""
+    """A stored K-Means pipeline."""
     return PipelineModel.load(path)
+
+
+def save_classifier(model, path: str) -> None:
+    """Node table, class names and bin bounds of a fitted classifier."""
+    save_table(model.nodes, f"{path}/nodes")
+    row = [(model.labels, model.trees, list(model.splits), list(model.splits.values()))]
+    save_table(model.nodes.sparkSession.createDataFrame(
+        row, "labels array<string>, trees int, features array<string>, bounds array<array<double>>"), f"{path}/bins")
+
+
+def load_classifier(spark: SparkSession, path: str):
+    from ..operators.forest import Forest
+    row = load_table(spark, f"{path}/bins").first()
+    return Forest(row["labels"], row["trees"], dict(zip(row["features"], row["bounds"])), load_table(spark, f"{path}/nodes"))
