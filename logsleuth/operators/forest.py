@@ -218,7 +218,7 @@ def predict(model: Forest, rows: DataFrame, label: str, share: str) -> DataFrame
 
     def shares(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = walk(right, left[bcols].to_numpy()) if len(left) else []
-        return left[bcols].assign(_share=list(found))
+        return left[bcols].assign(_share=pd.Series(list(found), left.index, dtype=object))
     each = _by_tree(cells, model.trees).groupBy("tree").cogroup(model.nodes.groupBy("tree")).applyInPandas(
         shares, ", ".join(f"`{c}` int" for c in bcols) + ", _share array<double>")
     mean = [F.sum(F.get("_share", F.lit(i))).alias(f"_p{i}") for i in range(len(model.labels))]

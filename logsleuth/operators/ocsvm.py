@@ -63,7 +63,8 @@ def _pass(z: DataFrame, zcols: list[str], gamma: float, seed: int, w: np.ndarray
             count += np.bincount(at, minlength=BINS)
             np.add.at(total, at, f)
         full = np.flatnonzero(count)
-        yield pd.DataFrame({"bin": full, "n": count[full], "f": [total[i].tolist() for i in full]})
+        if len(full):   # a task without rows has no lists to tell their type by
+            yield pd.DataFrame({"bin": full, "n": count[full], "f": [total[i].tolist() for i in full]})
     parts = z.select(*zcols).mapInPandas(sums, "bin long, n double, f array<double>")
     rows = parts.groupBy("bin").agg(
         F.sum("n").alias("n"), *[F.sum(F.get("f", F.lit(i))).alias(f"f{i}") for i in range(FEATURES)])

@@ -75,3 +75,14 @@ def test_repeated_value_has_a_bin_of_its_own(spark):
     bins, names = FO.binned(df, FO.find_splits(df, ["x"], 64))
     own = bins.where("x = 75").select(names[0]).distinct().collect()
     assert len(own) == 1 and bins.where(F.col(names[0]) == own[0][0]).where("x <> 75").count() == 0
+
+
+def test_no_rows_to_predict_and_tasks_without_rows(spark):
+    from logsleuth.operators import ocsvm as OC
+    alerts = _alerts(spark, 300)
+    rows = CL._prepared(alerts)[0]
+    model = FO.fit_forest(rows.select("attack_type", "_f_hour"), "attack_type", ["_f_hour"], list("abcd"), 3, 5, 64, 1)
+    assert FO.predict(model, rows.limit(0), "p", "c").collect() == []
+    z = spark.range(200).select("id", (F.col("id") % 7 - 3.0).alias("x")).repartition(4).where("id < 400")
+    z = z.union(z.where("id < 0"))   # four tasks have no rows
+    assert OC.fit_ocsvm(z, ["x"], steps=1).count() == 1
