@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .. import constants as C
 
 _OFFSET = r"\s*(Z|z|UTC|GMT|[+-]\d{2}(:?\d{2})?)$"
+# an offset has one of these among the last characters; most texts have none
+_MAY_OFFSET, _OFFSET_TAIL = "[zZCT+-]", 8
 
 
 def _c(col) -> Column:
@@ -39,7 +41,8 @@ def parse_log_time(df: DataFrame, col: str = "timestamp") -> tuple[Column, Colum
     if isinstance(dtype, T.DateType):
         return c.cast("timestamp"), c.cast("timestamp_ntz")
     text = F.btrim(c.cast("string"), F.lit(C.STRIP_CHARS))
-    local = F.regexp_replace(text, _OFFSET, "").try_cast("timestamp_ntz")
+    may = F.right(text, F.lit(_OFFSET_TAIL)).rlike(_MAY_OFFSET)
+    local = F.when(may, F.regexp_replace(text, _OFFSET, "")).otherwise(text).try_cast("timestamp_ntz")
     instant = text.try_cast("timestamp")
     # a bare "UTC"/"GMT" suffix is not understood by the cast: use the wall clock
     instant = F.coalesce(instant, local.cast("timestamp"))

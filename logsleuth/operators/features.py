@@ -8,6 +8,11 @@ from .. import constants as C
 from ..functions import scoring as S
 from .windows import DEFAULT_BUCKET_MS, window_counts, window_distinct
 
+# what the window stats and heuristics read of a cleaned log
+SYSTEM_INPUTS = ["source_ip", "ts_ms", "failed_count", "event_code"]
+NETWORK_INPUTS = ["source_ip", "ts_ms", "destination_port", "has_destination_port", "has_destination_ip",
+                  "is_firewall_event", "is_external_dst", "connection_observation_count", "duration_sec"]
+
 
 def system_features(df: DataFrame, window_minutes: int = C.WINDOW_MINUTES,
                     method: str = "prefix", bucket_ms: int = DEFAULT_BUCKET_MS) -> DataFrame:

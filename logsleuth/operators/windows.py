@@ -25,10 +25,10 @@ Two physical forms are offered:
 
     Distinct counts (W3) turn each (key, value) into merged activity
     intervals: +1 where a gap larger than the window opens, -1 one window
-    after the last occurrence.  Previous/next occurrences come from a lag/lead
-    inside (key, value, window-wide bucket) partitions - at most
-    ``window_ms`` distinct ms each after de-duplication - and across buckets
-    from per-bucket min/max.  The marks then go through the same prefix sum.
+    after the last occurrence.  Two times in one window-wide bucket are never
+    farther apart than the window, so a gap lies between buckets only: the
+    first and last time of each (key, value, bucket), one aggregate, are all
+    that is compared.  The marks then go through the same prefix sum.
 
 ``method="range"``
     ``sum/count(...).over(partitionBy(key).orderBy(ms).rangeBetween(-w, 0))``
@@ -49,11 +49,14 @@ def _prefix_sums(deltas: DataFrame, value_cols: list[str], bucket_ms: int) -> Da
 
     ``deltas``: (_k, _t, value_cols..., _at: whether a row stands there)."""
     points = deltas.withColumn("_b", F.floor(F.col("_t") / bucket_ms)).groupBy("_k", "_b", "_t").agg(
-        *[F.sum(c).alias(c) for c in value_cols], F.max("_at").alias("_at"))
-    totals = points.groupBy("_k", "_b").agg(*[F.sum(c).alias(c) for c in value_cols])
+        F.max("_at").alias("_at"), *[F.sum(c).alias(c) for c in value_cols])
+    # offsets are asked for where a row stands; both branches so read the same
+    # columns of the points, in one order, and their shuffle is used twice
+    totals = points.groupBy("_k", "_b").agg(F.max("_at").alias("_at"), *[F.sum(c).alias(c) for c in value_cols])
     before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(F.col("_k").alias("_ok"), F.col("_b").alias("_ob"),
+    offsets = totals.select(F.col("_at").alias("_oat"), F.col("_k").alias("_ok"), F.col("_b").alias("_ob"),
                             *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_o_{c}") for c in value_cols])
+    offsets = offsets.where("_oat").drop("_oat")
     inside = Window.partitionBy("_k", "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
     running = points.select("_k", "_b", "_t", "_at", *[F.sum(c).over(inside).alias(f"_r_{c}") for c in value_cols])
     out = running.where("_at").join(
@@ -100,29 +103,18 @@ def window_distinct(df: DataFrame, key: str, ms: str, value: str, window_ms: int
         w = Window.partitionBy(key).orderBy(ms).rangeBetween(-window_ms, 0)
         return df.withColumn(out, F.size(F.collect_set(value).over(w)))
     wb = F.floor(F.col(ms) / window_ms)
-    occ = (df.where(F.col(value).isNotNull())
-             .select(key, value, ms, wb.alias("_wb"))
-             .distinct())   # partial on the map side, so a repeated port leaves a task once
-    inb = Window.partitionBy(key, value, "_wb").orderBy(ms)
-    occ = occ.withColumns({"_prev": F.lag(ms).over(inb), "_next": F.lead(ms).over(inb)})
-    stats = occ.groupBy(key, value, "_wb").agg(F.min(ms).alias("_bmin"), F.max(ms).alias("_bmax"))
-    ob = Window.partitionBy(key, value).orderBy("_wb")
-    nb = stats.select(
-        key, value, "_wb",
-        F.when(F.lag("_wb").over(ob) == F.col("_wb") - 1, F.lag("_bmax").over(ob)).alias("_pmax"),
-        F.when(F.lead("_wb").over(ob) == F.col("_wb") + 1, F.lead("_bmin").over(ob)).alias("_nmin"))
-    nb = nb.select(F.col(key).alias("_nk"), F.col(value).alias("_nv"), F.col("_wb").alias("_nw"), "_pmax", "_nmin")
-    occ = occ.join(nb, F.col(key).eqNullSafe(F.col("_nk")) & (F.col(value) == F.col("_nv"))
-                   & (F.col("_wb") == F.col("_nw")), "left")
-    prev = F.coalesce(F.col("_prev"), F.col("_pmax"))
-    nxt = F.coalesce(F.col("_next"), F.col("_nmin"))
-    opens = prev.isNull() | (F.col(ms) - prev > window_ms)
-    closes = nxt.isNull() | (nxt - F.col(ms) > window_ms)
-    marks = occ.select(
-        F.col(key).alias("_k"),
+    # partial on the map side, so a task hands a port over once for each bucket
+    seen = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).alias("_v"), wb.alias("_wb")).agg(
+        F.min(ms).alias("_first"), F.max(ms).alias("_last"))
+    ob = Window.partitionBy("_k", "_v").orderBy("_wb")
+    seen = seen.select("_k", "_first", "_last", F.lag("_last").over(ob).alias("_prev"), F.lead("_first").over(ob).alias("_next"))
+    opens = F.col("_prev").isNull() | (F.col("_first") - F.col("_prev") > window_ms)
+    closes = F.col("_next").isNull() | (F.col("_next") - F.col("_last") > window_ms)
+    marks = seen.select(
+        "_k",
         F.explode(F.array(
-            F.when(opens, F.struct(F.col(ms).alias("t"), F.lit(1).cast("bigint").alias("d"))),
-            F.when(closes, F.struct((F.col(ms) + window_ms + 1).alias("t"),
+            F.when(opens, F.struct(F.col("_first").alias("t"), F.lit(1).cast("bigint").alias("d"))),
+            F.when(closes, F.struct((F.col("_last") + window_ms + 1).alias("t"),
                                     F.lit(-1).cast("bigint").alias("d"))))).alias("_m"))
     marks = marks.where(F.col("_m").isNotNull()).select(
         "_k", F.col("_m.t").alias("_t"), F.col("_m.d").alias("_d"), F.lit(False).alias("_at"))

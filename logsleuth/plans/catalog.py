@@ -16,8 +16,8 @@ from .. import constants as C
 from ..functions import (ipv4_to_long, is_external_ip, is_external_ip_strict)
 from ..operators import alerts as AL, evaluate as EV, features as FE, risk as RK
 from ..operators import triage as TR, views as V
-from ..operators.clean import clean_network, clean_system, first_seen_codes
-from ..session import apply_runtime_defaults, checkpoint_dir
+from ..operators.clean import clean_network, clean_system, first_seen_codes, stored_clean
+from ..session import apply_runtime_defaults, stored
 from . import bindings as B
 
 W_SHORT = C.WINDOW_MINUTES       # default look-back
@@ -37,26 +37,25 @@ _SHARED: dict[tuple, DataFrame] = {}
 
 
 def shared(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """A table that many queries start from, written with ``checkpoint()`` to
-    the shared ``spark.checkpoint.dir`` like the stored alerts of a run, and
-    kept per application and folder."""
+    """A table that many queries start from, written as Parquet below the
+    shared ``spark.checkpoint.dir`` like the stored alerts of a run, and kept
+    per application and folder."""
     k = (spark.sparkContext.applicationId, *key)
     if k not in _SHARED:
-        checkpoint_dir(spark)
-        _SHARED[k] = build().checkpoint()
+        _SHARED[k] = stored(build(), key[0])
     return _SHARED[k]
 
 
 def release_shared(spark: SparkSession) -> None:
     """Forget this application's shared tables; their files go with the
-    checkpoint folder or when the cleaner finds them unused."""
+    checkpoint folder."""
     app = spark.sparkContext.applicationId
     for k in [k for k in _SHARED if k[0] == app]:
         del _SHARED[k]
 
 
 def sys_clean_df(spark, d) -> DataFrame:
-    """Not stored: each query scans the columns it needs."""
+    """Not stored: each query scans the columns it needs.  Alerts need most, and store them."""
     return clean_system(B.security_log(events(spark, d)))
 
 
@@ -75,12 +74,19 @@ def net_feat_df(spark, d, minutes=W_LONG) -> DataFrame:
 KEEP = ("row_id", "user_id")
 
 
+ALERT_INPUTS = [*C.ALERT_FIXED_COLUMNS, *C.ALERT_OPTIONAL_COLUMNS, *KEEP, "value"]
+
+
 def sys_alerts_df(spark, d) -> DataFrame:
-    return AL.build_alerts(B.standin_scores(sys_feat_df(spark, d)), "system", DETECTED_AT, KEEP)
+    log = stored_clean(B.security_log(events(spark, d)), "system", ALERT_INPUTS + FE.SYSTEM_INPUTS)
+    feats = FE.system_features(log, W_LONG)
+    return AL.build_alerts(B.standin_scores(feats), "system", DETECTED_AT, KEEP)
 
 
 def net_alerts_df(spark, d) -> DataFrame:
-    return AL.build_alerts(B.standin_scores(net_feat_df(spark, d)), "network", DETECTED_AT, KEEP)
+    log = stored_clean(B.network_log(events(spark, d)), "network", ALERT_INPUTS + FE.NETWORK_INPUTS)
+    feats = FE.network_features(log, W_LONG)
+    return AL.build_alerts(B.standin_scores(feats), "network", DETECTED_AT, KEEP)
 
 
 def alerts_df(spark, d) -> DataFrame:

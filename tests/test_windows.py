@@ -100,3 +100,23 @@ def test_a_burst_minute_is_spread_over_tasks(spark):
     # the join spreads the burst by ms: the fullest of 64 partitions has a small part of it
     spread = df.where("k = 'hot'").repartition(64, "k", "ms").groupBy(F.spark_partition_id()).count()
     assert spread.agg(F.max("count")).first()[0] < n / 3 / 20
+
+
+def test_distinct_counts_join_once_and_share_the_points(spark):
+    """Gaps are found by one aggregate, without a join back to the rows, and
+    the points are shuffled once for running sums and bucket totals."""
+    df = spark.createDataFrame(_fixture(), "row_id long, k string, ms long, v int, port int")
+    out = window_distinct(df, "k", "ms", "port", W, "dp")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2   # offsets of the buckets, rows to their points
+    for frame in (out, window_counts(df, "k", "ms", W, {"s": "v"})):
+        frame.collect()
+        assert "ReusedExchange" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gaps_at_bucket_edges(spark):
+    """One value at times one bucket, one window and one ms more apart."""
+    at = [0, W - 1, W, 2 * W - 1, 2 * W, 3 * W, 4 * W + 1, 6 * W + 1, 6 * W + 1, 8 * W]
+    df = spark.createDataFrame([(i, "a", t, 7 + i % 2) for i, t in enumerate(at)], "row_id long, k string, ms long, port int")
+    got = window_distinct(df, "k", "ms", "port", W, "dp")
+    assert got.exceptAll(window_distinct(df, "k", "ms", "port", W, "dp", method="range")).isEmpty()
