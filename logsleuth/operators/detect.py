@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as C
-from ..session import checkpoint_dir, ship_package
+from ..session import checkpoint_dir, ship_package, stored
 from . import iforest as IF, ocsvm as OC
 from .scaling import column_range, column_stats, minmax, standardise
 
@@ -47,12 +47,13 @@ class Detector:
 
 def fit_detector(df: DataFrame, features: list[str], name: str = "detector",
                  n_trees: int = C.IFOREST_N_ESTIMATORS, seed: int = C.RANDOM_SEED) -> Detector:
-    """M4: fit one detector on a feature frame (``row_id`` identifies rows)."""
+    """M4: fit one detector on a feature frame (``row_id`` identifies rows),
+    which is read twice and should be stored; the standardised columns, which
+    the fits read many times, are stored here."""
     checkpoint_dir(df.sparkSession)
-    narrow = df.select("row_id", *features).checkpoint()
-    stats = column_stats(narrow, features).checkpoint()
+    stats = column_stats(df, features).checkpoint()
     zcols = [f"z_{c}" for c in features]
-    z = standardise(narrow, features, "z_", stats).select("row_id", *zcols)
+    z = stored(standardise(df.select("row_id", *features), features, "z_", stats).select("row_id", *zcols), "detector-features")
     forest = IF.fit_forest(z, zcols, n_trees=n_trees, seed=seed).checkpoint()
     return Detector(name, features, stats, forest, OC.fit_ocsvm(z, zcols, seed=seed).checkpoint())
 
@@ -75,7 +76,7 @@ def raw_scores(det: Detector, df: DataFrame) -> DataFrame:
 def score_detector(det: Detector, df: DataFrame, frozen: bool = False) -> DataFrame:
     """Scores of a batch, over its own range or (``frozen``) that of the fit."""
     checkpoint_dir(df.sparkSession)
-    scored = raw_scores(det, df).checkpoint()
+    scored = stored(raw_scores(det, df), "raw-scores")
     return combine_scores(scored, fit=det.range if frozen else None)
 
 
@@ -83,6 +84,6 @@ def detect(df: DataFrame, features: list[str], name: str = "detector", **kw) ->
     """Fit on the batch and score the same batch (what the detection job does):
     the scored rows, and the detector with the batch's range."""
     det = fit_detector(df, features, name, **kw)
-    scored = raw_scores(det, df).checkpoint()
+    scored = stored(raw_scores(det, df), "raw-scores")
     det.range = column_range(scored, list(RAW)).checkpoint()
     return combine_scores(scored, fit=det.range), det

@@ -108,41 +108,38 @@ def fit_forest(z: DataFrame, zcols: list[str], n_trees: int = C.IFOREST_N_ESTIMA
 
 
 def _pack(nodes: pd.DataFrame):
-    """Dense per-tree arrays for vectorised traversal."""
+    """Dense per-tree arrays for vectorised traversal: feature, threshold, both
+    children (right, left) side by side, height, and the depth of each tree.  A
+    leaf is its own child, so a walk needs no test for it."""
     n_trees = int(nodes["tree"].max()) + 1
     width = int(nodes["node"].max()) + 1
-    feat = np.full((n_trees, width), -1, dtype=np.int64)
+    feat = np.zeros((n_trees, width), dtype=np.int64)
     thr = np.zeros((n_trees, width))
-    left = np.full((n_trees, width), -1, dtype=np.int64)
-    right = np.full((n_trees, width), -1, dtype=np.int64)
+    child = np.zeros((n_trees, 2 * width), dtype=np.int64)
     leaf_h = np.zeros((n_trees, width))
-    t, nd = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
-    feat[t, nd] = nodes["feature"].to_numpy()
+    deep = np.zeros(n_trees, dtype=np.int64)
+    t, nd, f = nodes["tree"].to_numpy(), nodes["node"].to_numpy(), nodes["feature"].to_numpy()
+    feat[t, nd] = np.maximum(f, 0)
     thr[t, nd] = nodes["threshold"].to_numpy()
-    left[t, nd] = nodes["left"].to_numpy()
-    right[t, nd] = nodes["right"].to_numpy()
+    child[t, 2 * nd] = np.where(f < 0, nd, nodes["right"].to_numpy())
+    child[t, 2 * nd + 1] = np.where(f < 0, nd, nodes["left"].to_numpy())
     leaf_h[t, nd] = nodes["depth"].to_numpy() + avg_path_length(nodes["size"].to_numpy())
-    return feat, thr, left, right, leaf_h
+    np.maximum.at(deep, t, nodes["depth"].to_numpy())
+    return feat, thr, child, leaf_h, deep
 
 
 def path_lengths(X: np.ndarray, packed) -> np.ndarray:
     """Mean path length over all trees for every row of ``X``."""
-    feat, thr, left, right, leaf_h = packed
+    feat, thr, child, leaf_h, deep = packed
     n_trees = feat.shape[0]
-    rows = np.arange(len(X))
+    values = np.ascontiguousarray(X, dtype=float).ravel()
+    first = np.arange(len(X)) * X.shape[1]
     total = np.zeros(len(X))
     for t in range(n_trees):
         node = np.zeros(len(X), dtype=np.int64)
-        while True:
-            f = feat[t, node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            fi = np.where(inner, f, 0)
-            go_left = X[rows, fi] <= thr[t, node]
-            nxt = np.where(go_left, left[t, node], right[t, node])
-            node = np.where(inner, nxt, node)
-        total += leaf_h[t, node]
+        for _ in range(deep[t]):
+            node = child[t].take(2 * node + (values.take(first + feat[t].take(node)) <= thr[t].take(node)))
+        total += leaf_h[t].take(node)
     return total / n_trees
 
 

@@ -61,7 +61,8 @@ def _pass(z: DataFrame, zcols: list[str], gamma: float, seed: int, w: np.ndarray
             f = cosines(b.to_numpy(dtype=float), gamma, seed)
             at = np.clip((f @ w - low) * (BINS / (high - low)), 0, BINS - 1).astype(int)
             count += np.bincount(at, minlength=BINS)
-            np.add.at(total, at, f)
+            total += np.bincount((at[:, None] * FEATURES + np.arange(FEATURES)).ravel(), f.ravel(),
+                                 BINS * FEATURES).reshape(BINS, FEATURES)
         full = np.flatnonzero(count)
         if len(full):   # a task without rows has no lists to tell their type by
             yield pd.DataFrame({"bin": full, "n": count[full], "f": [total[i].tolist() for i in full]})

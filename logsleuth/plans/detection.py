@@ -13,31 +13,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import constants as C
 from ..operators import alerts as AL, detect as DT, features as FE
-from ..operators.clean import clean_network, clean_system
-from ..session import checkpoint_dir
+from ..operators.clean import stored_clean
+from ..session import stored
 from ..sources import alert_store, csv_logs
 
 
+def _columns(features: list[str], inputs: list[str], keep: tuple[str, ...]) -> list[str]:
+    """Columns of a cleaned log that the features, the model or the alerts read."""
+    return [*C.ALERT_FIXED_COLUMNS, *C.ALERT_OPTIONAL_COLUMNS, *features, *inputs, *keep, "row_id"]
+
+
 def _alerts(feats: DataFrame, columns: list[str], kind: str, detected_at: str | None, n_trees: int,
             keep: tuple[str, ...]) -> DataFrame:
     """Features are stored once: the fit reads their feature columns, the
     scoring reads the rows."""
-    checkpoint_dir(feats.sparkSession)
-    scored, _ = DT.detect(feats.checkpoint(), columns, f"{kind}_detector", n_trees=n_trees)
+    scored, _ = DT.detect(stored(feats, f"{kind}-features"), columns, f"{kind}_detector", n_trees=n_trees)
     return AL.build_alerts(scored, kind, detected_at, keep)
 
 
 def system_alerts(raw: DataFrame, window_minutes: int = C.WINDOW_MINUTES,
                   detected_at: str | None = None, n_trees: int = C.IFOREST_N_ESTIMATORS,
                   keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
-    feats = FE.system_features(clean_system(raw), window_minutes)
+    log = stored_clean(raw, "system", _columns(C.SYSTEM_FEATURE_COLS, FE.SYSTEM_INPUTS, keep))
+    feats = FE.system_features(log, window_minutes)
     return _alerts(feats, C.SYSTEM_FEATURE_COLS, "system", detected_at, n_trees, keep)
 
 
 def network_alerts(raw: DataFrame, window_minutes: int = C.WINDOW_MINUTES,
                    detected_at: str | None = None, n_trees: int = C.IFOREST_N_ESTIMATORS,
                    keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
-    feats = FE.network_features(clean_network(raw), window_minutes)
+    log = stored_clean(raw, "network", _columns(C.NETWORK_FEATURE_COLS, FE.NETWORK_INPUTS, keep))
+    feats = FE.network_features(log, window_minutes)
     return _alerts(feats, C.NETWORK_FEATURE_COLS, "network", detected_at, n_trees, keep)
 
 
