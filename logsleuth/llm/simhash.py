@@ -12,6 +12,10 @@ list.  Fingerprints under a fuller key (a crowd of near copies) are linked by
 an exact route with linear output: two points are within 2 bits just if their
 one-bit neighbourhoods meet, so each point is listed under its 65 neighbours
 and linked to the smallest point of every list it is in.
+
+Spark sizes a table after an explode like the one before it.  The joins that
+read exploded keys ask for a merge join, else 64 keys for each of some 200,000
+fingerprints would be broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -96,7 +100,7 @@ def _crowd_links(points: DataFrame, max_bits: int) -> DataFrame:
         near = near.select("fp", "place", F.explode(holes).alias("h")).select(
             "fp", F.col("place").bitwiseAND(F.col("h.m")).alias("place"), F.col("h.bit").alias("bit"))
     low = near.groupBy("place", "bit").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return (near.join(low, ["place", "bit"]).where("fp <> low")
+    return (near.join(low.hint("merge"), ["place", "bit"]).where("fp <> low")
             .select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct())
 
 
@@ -109,7 +113,7 @@ def links(points: DataFrame, max_bits: int = 2) -> DataFrame:
     keys = points.select("fp", F.explode(variants).alias("v")).select(
         "fp", F.col("v.bit").alias("bit"), F.col("fp").bitwiseAND(F.col("v.mask")).alias("part"))
     sizes = keys.groupBy("bit", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = keys.join(sizes, ["bit", "part"]).select("fp", "bit", "part", "n").checkpoint()
+    shared = keys.join(sizes.hint("merge"), ["bit", "part"]).select("fp", "bit", "part", "n").checkpoint()
     lists = shared.where(F.col("n") <= SMALL).groupBy("bit", "part").agg(
         F.sort_array(F.collect_list("fp")).alias("m"))
     pairs = (lists.select(F.explode("m").alias("a"), "m")

@@ -88,3 +88,33 @@ def test_one_of_each_group_stays(spark):
     docs = table(spark, [(3, a, "en", "s"), (2, a, "en", "t"), (9, b, "en", "s"), (2, a, "en", "t"), (None, b, "en", "s")])
     kept = rows(simhash.drop_near_duplicates(docs))
     assert sorted((r["doc_id"], r["source"]) for r in kept) == [(2, "t"), (9, "s")]
+
+
+@pytest.mark.parametrize("max_bits, n", [(1, 1000), (2, 1000), (3, 100)])
+def test_exploded_keys_are_not_broadcast(spark, max_bits, n):
+    """The points pass for a small table, their keys are none: a broadcast of
+    more than 8 MB fails.  Pairs of points are linked, and so is a crowd."""
+    rng = random.Random(n)
+    alone = [rng.getrandbits(64) for _ in range(n)]
+    pairs = [(x, x ^ 1 << rng.randrange(64)) for x in alone]
+    centre = rng.getrandbits(64)
+    crowd = {centre} | {centre ^ 1 << i for i in range(64)}
+    if n >= 1000:  # further circles, so that the crowds together are large as well
+        for c in (rng.getrandbits(64) for _ in range(30)):
+            crowd |= {c} | {c ^ 1 << i for i in range(64)}
+    points = {x for pair in pairs for x in pair} | crowd
+    df = spark.createDataFrame([(simhash._signed(x),) for x in points], "fp bigint")
+    held = {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.maxBroadcastTableSize": "8m"}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        crowded = rows(simhash._crowd_links(df.where(F.col("fp").isin([simhash._signed(x) for x in crowd])), max_bits))
+        got = {r["fp"]: r["root"] for r in rows(simhash.classes(df, max_bits))}
+    finally:
+        for k in held:
+            spark.conf.unset(k)
+    assert {r["a"] for r in crowded} | {r["b"] for r in crowded} == {simhash._signed(x) for x in crowd}
+    assert len(got) == len(points)
+    assert all(got[simhash._signed(a)] == got[simhash._signed(b)] for a, b in pairs)
+    assert got[simhash._signed(centre)] == got[simhash._signed(centre ^ 1)]
+    assert len(set(got.values())) == len(alone) + len(crowd) // 65
